@@ -36,15 +36,16 @@ def round_to(c: str | Column, digits: int = 0) -> Column:
     The value goes through DECIMAL first, so a tie such as 1.005 does not depend on its
     binary neighbour.
     """
-    return F.round(col(c).cast("decimal(28,8)"), digits).cast("double")
+    return F.round(col(c).cast("decimal(30,12)"), digits).cast("double")
 
 
 def round_int(c: str | Column) -> Column:
-    return F.round(col(c).cast("decimal(28,8)"), 0).cast("bigint")
+    return F.round(col(c).cast("decimal(30,12)"), 0).cast("bigint")
 
 
 def round_half_even_int(c: str | Column) -> Column:
-    return F.bround(col(c).cast("decimal(28,8)"), 0).cast("bigint")
+    """Nearest integer of the DOUBLE itself, ties to even."""
+    return F.rint(col(c)).cast("bigint")
 
 
 def money(c: str | Column, digits: int = 2) -> Column:

@@ -415,7 +415,7 @@ def inventory_status(t: Tables) -> DataFrame:
         .when(free <= rop * 1.5, "Low Stock")
         .otherwise("In Stock")
     )
-    dates = [c for c in ("last_received_date", "last_sold_date") if c in t("inventory").columns]
+    dates = [c for c in ("last_received_date", "last_sold_date") if c in t.columns("inventory")]
     return (
         t(
             "inventory", "inventory_id", "warehouse_id", "product_id", "quantity_on_hand",

@@ -258,7 +258,7 @@ def _numbered(lines: DataFrame, order: str, serial: str) -> DataFrame:
 
 
 def _with_line_number(t: Tables, name: str, *columns: str) -> DataFrame:
-    extra = [c for c in ("line_number",) if c in t(name).columns]
+    extra = [c for c in ("line_number",) if c in t.columns(name)]
     return t(name, *columns, *extra)
 
 

@@ -3,16 +3,19 @@
 Maps an ``orders / lineitem / part / supplier / customer / nation / region / events`` set
 of Parquet tables onto the domain schema, so that the operators can run on it. Only
 row-wise integer arithmetic is used: a value depends on its own row and on the latest order
-date. Each table is built from the columns asked for, so a join (say, customer for the
+date. A table is built from the columns asked for, so a join (say, customer for the
 warehouse of an order) is only paid by operators that need it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.sources.tables import Tables
+from stocklens.sources.schemas import RAW
+from stocklens.sources.tables import Source, Tables
 
 # Fixed values of the data model.
 ROOT_CAUSES = [
@@ -22,13 +25,16 @@ ROOT_CAUSES = [
 MODELS = ["ARIMA", "Prophet", "LightGBM", "Exponential_Smoothing"]
 FORECAST_WINDOW_DAYS = 90
 
+Columns = dict[str, Callable[[], Column]]
+
 
 def _cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
+    """Cents of a two-decimal DOUBLE."""
+    return F.rint(F.col(c) * 100).cast("bigint")
 
 
 def _amount(cents: Column, kind: str = "decimal(12,2)") -> Column:
-    return (cents.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(kind)
+    return (cents.cast("decimal(15,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(kind)
 
 
 def _idiv(a: Column, b: Column | int) -> Column:
@@ -41,13 +47,62 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _key_text(*columns: str) -> Column:
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in columns])
+
+
+def _category_id() -> Column:
+    """60 bits of the type's MD5, so that products need no join to get their category."""
+    return F.conv(F.substring(F.md5("p_type"), 1, 15), 16, 10).cast("bigint")
+
+
+def _unit_cost() -> Column:
+    return _amount(_idiv(_cents("p_retailprice") * 6, 10))
+
+
+def _quantity() -> Column:
+    return F.col("l_quantity").cast("bigint")
+
+
+def _price_cents() -> Column:
+    return _idiv(2 * _cents("l_extendedprice") + _quantity(), 2 * _quantity())
+
+
+def _discount() -> Column:
+    return F.rint(F.col("l_discount") * 100).cast("bigint")
+
+
+def _line_total() -> Column:
+    """Quantity x price less discount, rounded half-up, all in integers."""
+    hundredths = _quantity() * _price_cents() * (100 - _discount())
+    return _amount(_idiv(hundredths + 50, 100), "decimal(14,2)")
+
+
+def _order_status() -> Column:
+    pending = F.col("o_orderstatus") == "P"
+    return (
+        F.when(pending & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), "Cancelled")
+        .when(pending, "Pending")
+        .when(F.col("o_orderstatus") == "O", "Shipped")
+        .otherwise("Delivered")
+    )
+
+
+def _order_day() -> Column:
+    return F.col("o_orderdate").cast("date")
+
+
 class OrderBook:
     def __init__(self, spark: SparkSession, folder: str):
         self._spark = spark
         self._folder = folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        """A raw table; its schema is declared, so reading it starts no inference job."""
+        if name not in self._raw:
+            self._raw[name] = self._spark.read.schema(RAW[name]).parquet(f"{self._folder}/{name}.parquet")
+        return self._raw[name]
 
     def tables(self) -> Tables:
         names = [
@@ -55,340 +110,345 @@ class OrderBook:
             "customers", "sales_orders", "sales_order_items", "purchase_orders",
             "purchase_order_items", "inventory", "stockout_events", "demand_forecasts",
         ]
-        return Tables({n: getattr(self, n) for n in names})
+        return Tables({n: getattr(self, f"_{n}")() for n in names})
 
     def last_order_date(self) -> Column:
-        return self.raw("orders").agg(F.max(F.col("o_orderdate").cast("date"))).scalar()
+        return self.raw("orders").agg(F.max(_order_day())).scalar()
+
+    @staticmethod
+    def _source(base: Callable[[set[str]], DataFrame], columns: Columns) -> Source:
+        def load(wanted: Sequence[str]) -> DataFrame:
+            return base(set(wanted)).select(*[columns[c]().alias(c) for c in wanted])
+
+        return Source(tuple(columns), load)
 
     # ---- dimensions -------------------------------------------------------------------
 
-    def warehouses(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        key = F.col("r_regionkey")
-        return self.raw("region").select(
-            key.cast("bigint").alias("warehouse_id"),
-            F.concat(F.lit("WH00"), (key + 1).cast("string")).alias("warehouse_code"),
-            F.col("r_name").alias("warehouse_name"),
-            F.col("r_name").alias("city"),
-            F.col("r_name").alias("state"),
-            (key * 10).cast("decimal(10,6)").alias("latitude"),
-            (key * -15).cast("decimal(10,6)").alias("longitude"),
-            (50000 + key * 1000).cast("int").alias("capacity_units"),
-            F.lit("2.50").cast("decimal(10,2)").alias("operating_cost_per_unit"),
-            F.lit(True).alias("is_active"),
+    def _warehouses(self) -> Source:
+        key = lambda: F.col("r_regionkey")
+        return self._source(
+            lambda _: self.raw("region"),
+            {
+                "warehouse_id": lambda: key().cast("bigint"),
+                "warehouse_code": lambda: F.concat(F.lit("WH00"), (key() + 1).cast("string")),
+                "warehouse_name": lambda: F.col("r_name"),
+                "city": lambda: F.col("r_name"),
+                "state": lambda: F.col("r_name"),
+                "latitude": lambda: (key() * 10).cast("decimal(10,6)"),
+                "longitude": lambda: (key() * -15).cast("decimal(10,6)"),
+                "capacity_units": lambda: 50000 + key() * 1000,
+                "operating_cost_per_unit": lambda: F.lit("2.50").cast("decimal(10,2)"),
+                "is_active": lambda: F.lit(True),
+            },
         )
 
-    @staticmethod
-    def _category_id(name: Column) -> Column:
-        """60 bits of the name's MD5, so that products need no join to get their category."""
-        return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
-
-    def product_categories(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        name = F.col("p_type")
-        return (
-            self.raw("part")
-            .select(name.alias("category_name"))
-            .distinct()
-            .select(
-                self._category_id(F.col("category_name")).alias("category_id"),
-                "category_name",
-                F.lit(None).cast("bigint").alias("parent_category_id"),
-            )
+    def _product_categories(self) -> Source:
+        return self._source(
+            lambda _: self.raw("part").select("p_type").distinct(),
+            {
+                "category_id": _category_id,
+                "category_name": lambda: F.col("p_type"),
+                "parent_category_id": lambda: F.lit(None).cast("bigint"),
+            },
         )
 
-    @staticmethod
-    def _unit_cost() -> Column:
-        return _amount(_idiv(_cents("p_retailprice") * 6, 10))
-
-    def products(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        key = F.col("p_partkey")
-        return self.raw("part").select(
-            key.alias("product_id"),
-            F.format_string("SKU-%06d", key).alias("sku"),
-            F.col("p_name").alias("product_name"),
-            self._category_id(F.col("p_type")).alias("category_id"),
-            self._unit_cost().alias("unit_cost"),
-            _amount(_cents("p_retailprice")).alias("unit_price"),
-            (3 + F.col("p_size") % 19).cast("int").alias("lead_time_days"),
-            (2 + key % 6).cast("int").alias("safety_stock_days"),
-            F.lit(1).alias("min_order_quantity"),
-            (F.col("p_size") % 5 == 0).alias("is_perishable"),
-            (key % 50 != 49).alias("is_active"),
+    def _products(self) -> Source:
+        key = lambda: F.col("p_partkey")
+        return self._source(
+            lambda _: self.raw("part"),
+            {
+                "product_id": key,
+                "sku": lambda: F.format_string("SKU-%06d", key()),
+                "product_name": lambda: F.col("p_name"),
+                "category_id": _category_id,
+                "unit_cost": _unit_cost,
+                "unit_price": lambda: _amount(_cents("p_retailprice")),
+                "lead_time_days": lambda: 3 + F.col("p_size") % 19,
+                "safety_stock_days": lambda: (2 + key() % 6).cast("int"),
+                "min_order_quantity": lambda: F.lit(1),
+                "is_perishable": lambda: F.col("p_size") % 5 == 0,
+                "is_active": lambda: key() % 50 != 49,
+            },
         )
 
-    def suppliers(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        key = F.col("s_suppkey")
-        df = self.raw("supplier")
-        if not _columns or {"state", "country"} & set(_columns):
-            nation = self.raw("nation").select("n_nationkey", "n_name")
-            df = df.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        else:
-            df = df.withColumn("n_name", F.lit(None).cast("string"))
-        return df.select(
-            key.alias("supplier_id"),
-            F.format_string("SUP-%03d", key).alias("supplier_code"),
-            F.col("s_name").alias("supplier_name"),
-            F.concat(F.lit("City "), (key % 40).cast("string")).alias("city"),
-            F.col("n_name").alias("state"),
-            F.col("n_name").alias("country"),
-            (15 * (1 + key % 4)).cast("int").alias("payment_terms_days"),
-            (F.col("s_acctbal") > 5000).alias("is_preferred"),
-            _amount(300 + (key % 21) * 10, "decimal(3,2)").alias("quality_rating"),
-            (key % 25 != 7).alias("is_active"),
+    def _suppliers(self) -> Source:
+        key = lambda: F.col("s_suppkey")
+
+        def base(wanted: set[str]) -> DataFrame:
+            df = self.raw("supplier")
+            if wanted & {"state", "country"}:
+                df = df.join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            return df
+
+        return self._source(
+            base,
+            {
+                "supplier_id": key,
+                "supplier_code": lambda: F.format_string("SUP-%03d", key()),
+                "supplier_name": lambda: F.col("s_name"),
+                "city": lambda: F.concat(F.lit("City "), (key() % 40).cast("string")),
+                "state": lambda: F.col("n_name"),
+                "country": lambda: F.col("n_name"),
+                "payment_terms_days": lambda: (15 * (1 + key() % 4)).cast("int"),
+                "is_preferred": lambda: F.col("s_acctbal") > 5000,
+                "quality_rating": lambda: _amount(300 + (key() % 21) * 10, "decimal(3,2)"),
+                "is_active": lambda: key() % 25 != 7,
+            },
         )
 
-    def customers(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        key = F.col("c_custkey")
-        df = self.raw("customer")
-        if not _columns or "state" in _columns:
-            nation = self.raw("nation").select("n_nationkey", "n_name")
-            df = df.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        else:
-            df = df.withColumn("n_name", F.lit(None).cast("string"))
-        return df.select(
-            key.alias("customer_id"),
-            F.format_string("CUST-%04d", key).alias("customer_code"),
-            F.col("c_name").alias("customer_name"),
-            F.col("c_mktsegment").alias("customer_type"),
-            F.concat(F.lit("City "), (key % 100).cast("string")).alias("city"),
-            F.col("n_name").alias("state"),
-            F.lit("USA").alias("country"),
-            _amount(_cents("c_acctbal")).alias("credit_limit"),
-            F.lit(True).alias("is_active"),
+    def _customers(self) -> Source:
+        key = lambda: F.col("c_custkey")
+
+        def base(wanted: set[str]) -> DataFrame:
+            df = self.raw("customer")
+            if "state" in wanted:
+                df = df.join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            return df
+
+        return self._source(
+            base,
+            {
+                "customer_id": key,
+                "customer_code": lambda: F.format_string("CUST-%04d", key()),
+                "customer_name": lambda: F.col("c_name"),
+                "customer_type": lambda: F.col("c_mktsegment"),
+                "city": lambda: F.concat(F.lit("City "), (key() % 100).cast("string")),
+                "state": lambda: F.col("n_name"),
+                "country": lambda: F.lit("USA"),
+                "credit_limit": lambda: _amount(_cents("c_acctbal")),
+                "is_active": lambda: F.lit(True),
+            },
         )
 
-    def product_suppliers(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        pairs = self.raw("lineitem").select("l_partkey", "l_suppkey").distinct()
-        df = pairs
-        if not _columns or "is_primary_supplier" in _columns:
-            first = pairs.groupBy("l_partkey").agg(F.min("l_suppkey").alias("first_supplier"))
-            df = df.join(first, "l_partkey")
-        else:
-            df = df.withColumn("first_supplier", F.lit(None).cast("bigint"))
-        if not _columns or "unit_cost" in _columns:
-            df = df.join(self.products().select(F.col("product_id").alias("l_partkey"), "unit_cost"), "l_partkey")
-        else:
-            df = df.withColumn("unit_cost", F.lit(None).cast("decimal(12,2)"))
-        return df.select(
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("supplier_id"),
-            "unit_cost",
-            F.lit(1).alias("min_order_quantity"),
-            (3 + (F.col("l_partkey") + F.col("l_suppkey")) % 20).cast("int").alias("lead_time_days"),
-            (F.col("l_suppkey") == F.col("first_supplier")).alias("is_primary_supplier"),
+    def _product_suppliers(self) -> Source:
+        def base(wanted: set[str]) -> DataFrame:
+            pairs = self.raw("lineitem").select("l_partkey", "l_suppkey").distinct()
+            df = pairs
+            if "is_primary_supplier" in wanted:
+                first = pairs.groupBy("l_partkey").agg(F.min("l_suppkey").alias("first_supplier"))
+                df = df.join(first, "l_partkey")
+            if "unit_cost" in wanted:
+                df = df.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+            return df
+
+        return self._source(
+            base,
+            {
+                "product_id": lambda: F.col("l_partkey"),
+                "supplier_id": lambda: F.col("l_suppkey"),
+                "unit_cost": _unit_cost,
+                "min_order_quantity": lambda: F.lit(1),
+                "lead_time_days": lambda: (3 + (F.col("l_partkey") + F.col("l_suppkey")) % 20).cast("int"),
+                "is_primary_supplier": lambda: F.col("l_suppkey") == F.col("first_supplier"),
+            },
         )
 
     # ---- sales ------------------------------------------------------------------------
 
-    def sales_orders(self, columns: tuple[str, ...] = ()) -> DataFrame:
-        key = F.col("o_orderkey")
-        day = F.col("o_orderdate").cast("date")
-        status = (
-            F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "4-NOT SPECIFIED"), "Cancelled")
-            .when(F.col("o_orderstatus") == "P", "Pending")
-            .when(F.col("o_orderstatus") == "O", "Shipped")
-            .otherwise("Delivered")
+    def _with_warehouse(self, orders: DataFrame) -> DataFrame:
+        """An order ships from the region of its customer's nation."""
+        home = (
+            self.raw("customer")
+            .join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("c_custkey", F.col("n_regionkey").cast("bigint").alias("warehouse_id"))
         )
-        df = self.raw("orders")
-        if not columns or "warehouse_id" in columns:
-            nation = self.raw("nation").select("n_nationkey", "n_regionkey")
-            home = (
-                self.raw("customer")
-                .select("c_custkey", "c_nationkey")
-                .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                .select("c_custkey", F.col("n_regionkey").cast("bigint").alias("warehouse_id"))
-            )
-            df = df.join(home, F.col("o_custkey") == F.col("c_custkey"))
-        else:
-            df = df.withColumn("warehouse_id", F.lit(None).cast("bigint"))
-        shipped = F.col("o_orderstatus").isin("O", "F")
-        return df.select(
-            key.alias("so_id"),
-            F.format_string("SO-%d-%06d", F.year(day), key).alias("so_number"),
-            F.col("o_custkey").alias("customer_id"),
-            "warehouse_id",
-            day.alias("order_date"),
-            F.date_add(day, (3 + key % 12).cast("int")).alias("requested_delivery_date"),
-            F.when(shipped, F.date_add(day, (1 + (key * 7) % 9).cast("int"))).alias("actual_ship_date"),
-            status.alias("status"),
-            _amount(_cents("o_totalprice"), "decimal(14,2)").alias("total_amount"),
-            (10 + key % 91).cast("decimal(10,2)").alias("shipping_cost"),
+        return orders.join(home, F.col("o_custkey") == F.col("c_custkey"))
+
+    def _sales_orders(self) -> Source:
+        key = lambda: F.col("o_orderkey")
+
+        def base(wanted: set[str]) -> DataFrame:
+            df = self.raw("orders")
+            return self._with_warehouse(df) if "warehouse_id" in wanted else df
+
+        return self._source(
+            base,
+            {
+                "so_id": key,
+                "so_number": lambda: F.format_string("SO-%d-%06d", F.year(_order_day()), key()),
+                "customer_id": lambda: F.col("o_custkey"),
+                "warehouse_id": lambda: F.col("warehouse_id"),
+                "order_date": _order_day,
+                "requested_delivery_date": lambda: F.date_add(_order_day(), (3 + key() % 12).cast("int")),
+                "actual_ship_date": lambda: F.when(
+                    F.col("o_orderstatus").isin("O", "F"), F.date_add(_order_day(), (1 + (key() * 7) % 9).cast("int"))
+                ),
+                "status": _order_status,
+                "total_amount": lambda: _amount(_cents("o_totalprice"), "decimal(14,2)"),
+                "shipping_cost": lambda: (10 + key() % 91).cast("decimal(10,2)"),
+            },
         )
 
-    @staticmethod
-    def _line_id() -> Column:
-        parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-        return F.concat_ws("-", *[F.col(c).cast("string") for c in parts])
-
-    def sales_order_items(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        qty = F.col("l_quantity").cast("bigint")
-        short = (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")
-        price = _amount(_idiv(2 * _cents("l_extendedprice") + qty, 2 * qty))
-        discount = F.round(F.col("l_discount") * 100).cast("decimal(5,2)")
-        line_total = (
-            qty.cast("decimal(10,0)")
-            * price
-            * (F.lit(100).cast("decimal(3,0)") - discount)
-            * F.lit("0.01").cast("decimal(2,2)")
-        )
-        return self.raw("lineitem").select(
-            self._line_id().alias("so_item_id"),
-            F.col("l_orderkey").alias("so_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_linenumber").alias("line_number"),
-            qty.alias("quantity_ordered"),
-            F.when(short, _idiv(qty * 9, 10)).otherwise(qty).alias("quantity_shipped"),
-            price.alias("unit_price"),
-            discount.alias("discount_percent"),
-            F.round(line_total, 2).cast("decimal(14,2)").alias("line_total"),
+    def _sales_order_items(self) -> Source:
+        short = lambda: (F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R")
+        return self._source(
+            lambda _: self.raw("lineitem"),
+            {
+                "so_item_id": lambda: _key_text("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+                "so_id": lambda: F.col("l_orderkey"),
+                "product_id": lambda: F.col("l_partkey"),
+                "line_number": lambda: F.col("l_linenumber"),
+                "quantity_ordered": _quantity,
+                "quantity_shipped": lambda: F.when(short(), _idiv(_quantity() * 9, 10)).otherwise(_quantity()),
+                "unit_price": lambda: _amount(_price_cents()),
+                "discount_percent": lambda: _discount().cast("decimal(5,2)"),
+                "line_total": _line_total,
+            },
         )
 
     # ---- purchasing -------------------------------------------------------------------
 
-    @staticmethod
-    def _po_id() -> Column:
-        return F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"))
+    def _expected(self) -> Column:
+        return F.date_add(_order_day(), (7 + F.col("l_suppkey") % 14).cast("int"))
 
-    def _delivery(self) -> tuple[Column, Column]:
-        """(expected, actual) delivery date; actual is NULL while after the last order date."""
+    def _actual(self) -> Column:
+        """Delivery date; NULL while after the last order date."""
         supp, order = F.col("l_suppkey"), F.col("l_orderkey")
-        expected = F.date_add("order_date", (7 + supp % 14).cast("int"))
         late = (order % 100) < (supp % 10) * 4
-        moved = F.date_add(expected, F.when(late, 1 + order % 7).otherwise(-(order % 3)).cast("int"))
-        return expected, F.when(moved <= self.last_order_date(), moved)
-
-    def purchase_orders(self, columns: tuple[str, ...] = ()) -> DataFrame:
-        wanted = set(columns)
-        lines = self.raw("lineitem")
-        if not wanted or "total_amount" in wanted:
-            cost = self.raw("part").select("p_partkey", self._unit_cost().alias("unit_cost"))
-            line_total = F.col("l_quantity").cast("decimal(10,0)") * F.col("unit_cost")
-            heads = (
-                lines.join(cost, F.col("l_partkey") == F.col("p_partkey"))
-                .groupBy("l_orderkey", "l_suppkey")
-                .agg(F.sum(line_total).cast("decimal(14,2)").alias("total_amount"))
-            )
-        else:
-            heads = lines.select("l_orderkey", "l_suppkey").distinct()
-            heads = heads.withColumn("total_amount", F.lit(None).cast("decimal(14,2)"))
-        order_columns = ["so_id", "order_date"]
-        if not wanted or "warehouse_id" in wanted:
-            order_columns.append("warehouse_id")
-        orders = self.sales_orders(tuple(order_columns)).select(*order_columns)
-        if "warehouse_id" not in order_columns:
-            orders = orders.withColumn("warehouse_id", F.lit(None).cast("bigint"))
-        expected, actual = self._delivery()
-        return (
-            heads.join(orders, F.col("l_orderkey") == F.col("so_id"))
-            .withColumn("expected_delivery_date", expected)
-            .withColumn("actual_delivery_date", actual)
-            .select(
-                self._po_id().alias("po_id"),
-                F.concat(F.lit("PO-"), self._po_id()).alias("po_number"),
-                F.col("l_suppkey").alias("supplier_id"),
-                "warehouse_id",
-                "order_date",
-                "expected_delivery_date",
-                "actual_delivery_date",
-                F.when(F.col("actual_delivery_date").isNull(), "Shipped").otherwise("Delivered").alias("status"),
-                "total_amount",
-            )
+        moved = F.date_add(self._expected(), F.when(late, 1 + order % 7).otherwise(-(order % 3)).cast("int"))
+        return F.when(moved <= self.last_order_date(), moved)
+
+    def _purchase_orders(self) -> Source:
+        """One purchase order per sales order and supplier of its lines."""
+
+        def base(wanted: set[str]) -> DataFrame:
+            lines = self.raw("lineitem")
+            if "total_amount" in wanted:
+                cents = _quantity() * _idiv(_cents("p_retailprice") * 6, 10)
+                heads = (
+                    lines.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+                    .groupBy("l_orderkey", "l_suppkey")
+                    .agg(F.sum(cents).alias("cents"))
+                )
+            else:
+                heads = lines.select("l_orderkey", "l_suppkey").distinct()
+            if not wanted & {"order_date", "expected_delivery_date", "actual_delivery_date", "status", "warehouse_id"}:
+                return heads
+            orders = self.raw("orders")
+            if "warehouse_id" in wanted:
+                orders = self._with_warehouse(orders)
+            df = heads.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            return df.withColumn("actual", self._actual()) if wanted & {"actual_delivery_date", "status"} else df
+
+        return self._source(
+            base,
+            {
+                "po_id": lambda: _key_text("l_orderkey", "l_suppkey"),
+                "po_number": lambda: F.concat(F.lit("PO-"), _key_text("l_orderkey", "l_suppkey")),
+                "supplier_id": lambda: F.col("l_suppkey"),
+                "warehouse_id": lambda: F.col("warehouse_id"),
+                "order_date": _order_day,
+                "expected_delivery_date": self._expected,
+                "actual_delivery_date": lambda: F.col("actual"),
+                "status": lambda: F.when(F.col("actual").isNull(), "Shipped").otherwise("Delivered"),
+                "total_amount": lambda: _amount(F.col("cents"), "decimal(14,2)"),
+            },
         )
 
-    def purchase_order_items(self, columns: tuple[str, ...] = ()) -> DataFrame:
-        wanted = set(columns)
-        df = self.raw("lineitem")
-        if not wanted or wanted & {"unit_cost", "line_total"}:
-            cost = self.raw("part").select("p_partkey", self._unit_cost().alias("unit_cost"))
-            df = df.join(cost, F.col("l_partkey") == F.col("p_partkey"))
-        else:
-            df = df.withColumn("unit_cost", F.lit(None).cast("decimal(12,2)"))
-        qty = F.col("l_quantity").cast("bigint")
-        if not wanted or "quantity_received" in wanted:
-            orders = self.sales_orders(("so_id", "order_date")).select("so_id", "order_date")
-            df = df.join(orders, F.col("l_orderkey") == F.col("so_id"))
-            _expected, actual = self._delivery()
-            arrived = qty - _idiv(qty * ((F.col("l_suppkey") % 4) * 3), 100)
-            received = F.when(actual.isNotNull(), arrived).otherwise(F.lit(0).cast("bigint"))
-        else:
-            received = F.lit(None).cast("bigint")
-        return df.select(
-            self._line_id().alias("po_item_id"),
-            self._po_id().alias("po_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_linenumber").alias("line_number"),
-            qty.alias("quantity_ordered"),
-            received.alias("quantity_received"),
-            "unit_cost",
-            (qty.cast("decimal(10,0)") * F.col("unit_cost")).cast("decimal(14,2)").alias("line_total"),
+    def _purchase_order_items(self) -> Source:
+        def base(wanted: set[str]) -> DataFrame:
+            df = self.raw("lineitem")
+            if wanted & {"unit_cost", "line_total"}:
+                df = df.join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+            if "quantity_received" in wanted:
+                df = df.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            return df
+
+        def received() -> Column:
+            arrived = _quantity() - _idiv(_quantity() * ((F.col("l_suppkey") % 4) * 3), 100)
+            return F.when(self._actual().isNotNull(), arrived).otherwise(F.lit(0).cast("bigint"))
+
+        return self._source(
+            base,
+            {
+                "po_item_id": lambda: _key_text("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+                "po_id": lambda: _key_text("l_orderkey", "l_suppkey"),
+                "product_id": lambda: F.col("l_partkey"),
+                "line_number": lambda: F.col("l_linenumber"),
+                "quantity_ordered": _quantity,
+                "quantity_received": received,
+                "unit_cost": _unit_cost,
+                "line_total": lambda: _amount(_quantity() * _idiv(_cents("p_retailprice") * 6, 10), "decimal(14,2)"),
+            },
         )
 
     # ---- stock, forecasts, stockouts --------------------------------------------------
 
-    def inventory(self, _columns: tuple[str, ...] = ()) -> DataFrame:
+    def _inventory(self) -> Source:
         """Every product at every warehouse: the grain is product x warehouse."""
-        sites = self.raw("region").agg(F.sort_array(F.collect_set(F.col("r_regionkey").cast("bigint")))).scalar()
-        part, site = F.col("p_partkey"), F.col("warehouse_id")
-        lead = 3 + F.col("p_size") % 19
-        rop = _idiv(F.col("p_size") * (lead + 2 + part % 6), 5)
-        on_hand = _idiv(F.col("reorder_point") * (40 + (part * 37 + site * 101) % 261), 100)
-        reserved = _idiv(F.col("quantity_on_hand") * ((part * 13 + site * 29) % 31), 100)
-        return (
-            self.raw("part")
-            .select("p_partkey", "p_size", F.explode(sites).alias("warehouse_id"))
-            .withColumn("reorder_point", rop)
-            .withColumn("quantity_on_hand", on_hand)
-            .withColumn("quantity_reserved", reserved)
-            .select(
-                (part * 1000 + site).alias("inventory_id"),
-                "warehouse_id",
-                part.alias("product_id"),
-                "quantity_on_hand",
-                "quantity_reserved",
-                (F.col("quantity_on_hand") - F.col("quantity_reserved")).alias("quantity_available"),
-                "reorder_point",
-                (F.col("p_size") * 6).cast("bigint").alias("reorder_quantity"),
+        part, site = lambda: F.col("p_partkey"), lambda: F.col("warehouse_id")
+
+        def base(_wanted: set[str]) -> DataFrame:
+            sites = self.raw("region").agg(F.sort_array(F.collect_set(F.col("r_regionkey").cast("bigint")))).scalar()
+            lead = 3 + F.col("p_size") % 19
+            return (
+                self.raw("part")
+                .select("p_partkey", "p_size", F.explode(sites).alias("warehouse_id"))
+                .withColumn("rop", _idiv(F.col("p_size") * (lead + 2 + part() % 6), 5))
+                .withColumn("on_hand", _idiv(F.col("rop") * (40 + (part() * 37 + site() * 101) % 261), 100))
+                .withColumn("reserved", _idiv(F.col("on_hand") * ((part() * 13 + site() * 29) % 31), 100))
             )
+
+        return self._source(
+            base,
+            {
+                "inventory_id": lambda: part() * 1000 + site(),
+                "warehouse_id": site,
+                "product_id": part,
+                "quantity_on_hand": lambda: F.col("on_hand"),
+                "quantity_reserved": lambda: F.col("reserved"),
+                "quantity_available": lambda: F.col("on_hand") - F.col("reserved"),
+                "reorder_point": lambda: F.col("rop"),
+                "reorder_quantity": lambda: (F.col("p_size") * 6).cast("bigint"),
+            },
         )
 
-    def stockout_events(self, _columns: tuple[str, ...] = ()) -> DataFrame:
-        key = F.col("event_id")
-        hours = (24 * (1 + key % 7) + key % 24).cast("int")
-        return (
-            self.raw("events")
-            .filter(F.col("event_type") == "error")
-            .select(
-                key.alias("stockout_id"),
-                (F.col("user_id") % 5).alias("warehouse_id"),
-                (key % 200).alias("product_id"),
-                F.col("ts").alias("stockout_start_date"),
-                F.when(key % 11 != 0, F.timestamp_add("HOUR", hours, F.col("ts"))).alias("stockout_end_date"),
-                F.floor("value").cast("bigint").alias("demand_during_stockout"),
-                (F.col("value").cast("decimal(12,2)") * 10).cast("decimal(14,2)").alias("lost_sales_amount"),
-                _pick(ROOT_CAUSES, key % 6).alias("root_cause"),
-            )
+    def _stockout_events(self) -> Source:
+        key = lambda: F.col("event_id")
+        hours = lambda: (24 * (1 + key() % 7) + key() % 24).cast("int")
+        return self._source(
+            lambda _: self.raw("events").filter(F.col("event_type") == "error"),
+            {
+                "stockout_id": key,
+                "warehouse_id": lambda: F.col("user_id") % 5,
+                "product_id": lambda: key() % 200,
+                "stockout_start_date": lambda: F.col("ts"),
+                "stockout_end_date": lambda: F.when(key() % 11 != 0, F.timestamp_add("HOUR", hours(), F.col("ts"))),
+                "demand_during_stockout": lambda: F.floor("value").cast("bigint"),
+                "lost_sales_amount": lambda: _amount(_cents("value") * 10, "decimal(14,2)"),
+                "root_cause": lambda: _pick(ROOT_CAUSES, key() % 6),
+            },
         )
 
-    def demand_forecasts(self, _columns: tuple[str, ...] = ()) -> DataFrame:
+    def _demand_forecasts(self) -> Source:
         """One forecast per product, warehouse and day with demand in the last 90 days."""
-        orders = self.sales_orders(("so_id", "warehouse_id", "order_date", "status"))
-        recent = orders.filter(
-            (F.col("status") != "Cancelled")
-            & (F.col("order_date") >= F.date_sub(self.last_order_date(), FORECAST_WINDOW_DAYS))
-        )
-        items = self.sales_order_items().select("so_id", "product_id", "quantity_ordered")
-        part, site, day = F.col("product_id"), F.col("warehouse_id"), F.col("forecast_date")
-        wobble = (part * 3 + site * 5 + F.dayofmonth(day)) % 11 - 4
-        return (
-            items.join(recent.select("so_id", "warehouse_id", F.col("order_date").alias("forecast_date")), "so_id")
-            .groupBy("product_id", "warehouse_id", "forecast_date")
-            .agg(F.sum("quantity_ordered").alias("demand"))
-            .withColumn("forecasted_quantity", F.greatest(F.lit(0).cast("bigint"), F.col("demand") + wobble))
-            .select(
-                "product_id",
-                "warehouse_id",
-                "forecast_date",
-                F.lit("Daily").alias("forecast_period"),
-                "forecasted_quantity",
-                _pick(MODELS, part % 4).alias("model_used"),
+        part, site, day = (lambda c=c: F.col(c) for c in ("product_id", "warehouse_id", "forecast_date"))
+
+        def base(_wanted: set[str]) -> DataFrame:
+            since = F.date_sub(self.last_order_date(), FORECAST_WINDOW_DAYS)
+            recent = self.raw("orders").filter((_order_status() != "Cancelled") & (_order_day() >= since))
+            orders = self._with_warehouse(recent).select(
+                "o_orderkey", "warehouse_id", _order_day().alias("forecast_date")
             )
+            lines = self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"), "l_quantity")
+            return (
+                lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+                .groupBy("product_id", "warehouse_id", "forecast_date")
+                .agg(F.sum(_quantity()).alias("demand"))
+            )
+
+        def forecast() -> Column:
+            wobble = (part() * 3 + site() * 5 + F.dayofmonth(day())) % 11 - 4
+            return F.greatest(F.lit(0).cast("bigint"), F.col("demand") + wobble)
+
+        return self._source(
+            base,
+            {
+                "product_id": part,
+                "warehouse_id": site,
+                "forecast_date": day,
+                "forecast_period": lambda: F.lit("Daily"),
+                "forecasted_quantity": forecast,
+                "model_used": lambda: _pick(MODELS, part() % 4),
+            },
         )

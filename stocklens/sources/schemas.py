@@ -177,3 +177,22 @@ STAR: dict[str, T.StructType] = {
         abc_class string"""
     ),
 }
+
+# The raw order book the benchmark data comes in; only the columns the mapping reads.
+RAW: dict[str, T.StructType] = {
+    "region": _ddl("r_regionkey int, r_name string"),
+    "nation": _ddl("n_nationkey int, n_name string, n_regionkey int"),
+    "customer": _ddl("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+    "supplier": _ddl("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+    "part": _ddl("p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double"),
+    "orders": _ddl(
+        """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string"""
+    ),
+    "lineitem": _ddl(
+        """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+        l_quantity double, l_extendedprice double, l_discount double, l_returnflag string,
+        l_linestatus string"""
+    ),
+    "events": _ddl("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"),
+}

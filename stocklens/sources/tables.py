@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,41 +11,54 @@ from pyspark.sql import functions as F
 
 from stocklens.sources.schemas import OPERATIONAL
 
-# A loader gets the columns the caller wants (none: all of them).
-Loader = Callable[[tuple[str, ...]], DataFrame]
+
+@dataclass(frozen=True)
+class Source:
+    """A table that can be read a few columns at a time."""
+
+    columns: tuple[str, ...]
+    load: Callable[[Sequence[str]], DataFrame]
+
+    @classmethod
+    def of(cls, df: DataFrame) -> Source:
+        return cls(tuple(df.columns), lambda wanted: df.select(*wanted))
 
 
 class Tables:
     """Domain tables by name.
 
     ``t("products", "product_id", "sku")`` is a lazy frame of just those columns, so each
-    operator states what it reads and a loader can leave out joins nobody asked for.
+    operator states what it reads and a source can leave out joins nobody asked for.
     """
 
-    def __init__(self, loaders: dict[str, Loader]):
-        self._loaders = dict(loaders)
+    def __init__(self, sources: dict[str, Source]):
+        self._sources = dict(sources)
+
+    def _source(self, name: str) -> Source:
+        if name not in self._sources:
+            raise KeyError(f"table {name!r} is not available; have {sorted(self._sources)}")
+        return self._sources[name]
 
     def __call__(self, name: str, *columns: str) -> DataFrame:
-        if name not in self._loaders:
-            raise KeyError(f"table {name!r} is not available; have {sorted(self._loaders)}")
-        df = self._loaders[name](columns)
-        return df.select(*columns) if columns else df
+        source = self._source(name)
+        return source.load(columns or source.columns)
 
     def __contains__(self, name: str) -> bool:
-        return name in self._loaders
+        return name in self._sources
 
     def names(self) -> list[str]:
-        return list(self._loaders)
+        return list(self._sources)
+
+    def columns(self, name: str) -> tuple[str, ...]:
+        return self._source(name).columns
 
     @classmethod
-    def of(cls, **frames: DataFrame) -> "Tables":
+    def of(cls, **frames: DataFrame) -> Tables:
         """Tables over frames already at hand, generated columns added."""
-        return cls({n: (lambda _c, n=n, df=df: with_generated(n, df)) for n, df in frames.items()})
+        return cls({n: Source.of(with_generated(n, df)) for n, df in frames.items()})
 
-    def replaced(self, **frames: DataFrame) -> "Tables":
-        out = Tables(self._loaders)
-        out._loaders.update({n: (lambda _c, df=df: df) for n, df in frames.items()})
-        return out
+    def replaced(self, **frames: DataFrame) -> Tables:
+        return Tables({**self._sources, **{n: Source.of(df) for n, df in frames.items()}})
 
 
 def with_generated(name: str, df: DataFrame) -> DataFrame:
@@ -83,16 +97,14 @@ def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") ->
 
 def open_tables(spark: SparkSession, folder: str, fmt: str = "csv", names: Iterable[str] | None = None) -> Tables:
     """All operational tables present in ``folder``; absent ones are left out."""
-    loaders: dict[str, Loader] = {}
+    sources: dict[str, Source] = {}
     for name in names or OPERATIONAL:
         try:
-            df = read_table(spark, folder, name, fmt)
+            sources[name] = Source.of(read_table(spark, folder, name, fmt))
         except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                continue
-            raise
-        loaders[name] = lambda _c, df=df: df
-    return Tables(loaders)
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    return Tables(sources)
 
 
 def write_extract(df: DataFrame, path: str, fmt: str = "parquet", drop: Iterable[str] = ()) -> str:
