@@ -78,15 +78,18 @@ def with_line_amounts(lines: DataFrame) -> DataFrame:
 
 
 def sales_extract(t: Tables) -> DataFrame:
-    """One row per order line with all its dimensions; uncategorised products drop out."""
-    lines = (
-        t(
-            "sales_order_items", "so_item_id", "so_id", "product_id", "quantity_ordered",
-            "quantity_shipped", "unit_price", "discount_percent",
-        )
-        .join(t("sales_orders", "so_id", "customer_id", "warehouse_id", "order_date", "status"), "so_id")
-        .join(t("products", "product_id", "sku", "product_name", "category_id", "unit_cost"), "product_id")
+    """One row per order line with all its dimensions; uncategorised products drop out.
+
+    Dimensions are joined to products and to orders first, so the lines themselves move
+    only twice: once by product, once by order.
+    """
+    goods = (
+        t("products", "product_id", "sku", "product_name", "category_id", "unit_cost")
         .join(t("product_categories", "category_id", "category_name"), "category_id")
+        .join(abc_extract(t).select("product_id", "abc_class"), "product_id", "left")
+    )
+    orders = (
+        t("sales_orders", "so_id", "customer_id", "warehouse_id", "order_date", "status")
         .join(
             t("customers", "customer_id", "customer_name", "customer_type", "city", "state")
             .withColumnsRenamed({"city": "customer_city", "state": "customer_state"}),
@@ -97,7 +100,14 @@ def sales_extract(t: Tables) -> DataFrame:
             .withColumnsRenamed({"city": "warehouse_city", "state": "warehouse_state"}),
             "warehouse_id",
         )
-        .join(abc_extract(t).select("product_id", "abc_class"), "product_id", "left")
+    )
+    lines = (
+        t(
+            "sales_order_items", "so_item_id", "so_id", "product_id", "quantity_ordered",
+            "quantity_shipped", "unit_price", "discount_percent",
+        )
+        .join(goods, "product_id")
+        .join(orders, "so_id")
     )
     full = (
         with_line_amounts(lines)
@@ -110,16 +120,20 @@ def sales_extract(t: Tables) -> DataFrame:
 
 def daily_demand_rate(t: Tables) -> DataFrame:
     """Units per day of each product over the days between the first and last order with a line."""
-    # A product's first and last day are found along with its units, so the overall span
-    # comes from the same small per-product result.
+    # Both uses below read the same three figures of the same grouping, so that Spark shuffles
+    # the joined lines once and reuses the result.
     per_product = (
         t("sales_order_items", "so_id", "product_id", "quantity_ordered")
+        .filter(F.col("product_id").isNotNull())
         .join(t("sales_orders", "so_id", "order_date"), "so_id")
         .groupBy("product_id")
         .agg(F.sum("quantity_ordered").alias("units"), F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
     )
-    span = per_product.agg(days_between(F.max("hi"), F.min("lo"))).scalar()
-    return per_product.select("product_id", ratio("units", at_least_value(span, 1)).alias("avg_daily_demand"))
+    counted = F.col("units").isNotNull() & (F.col("hi") >= F.col("lo"))
+    span = per_product.filter(counted).agg(days_between(F.max("hi"), F.min("lo"))).scalar()
+    return per_product.filter(counted).select(
+        "product_id", ratio("units", at_least_value(span, 1)).alias("avg_daily_demand")
+    )
 
 
 def inventory_measures(t: Tables, *extra: str) -> DataFrame:

@@ -272,17 +272,17 @@ def fact_sales(t: Tables, products: DataFrame, customers: DataFrame, warehouses:
         "so_id",
         "so_item_id",
     )
-    orders = t(
-        "sales_orders", "so_id", "so_number", "customer_id", "warehouse_id", "order_date",
-        "requested_delivery_date", "actual_ship_date",
-    )
-    lines = (
-        items.join(orders, "so_id")
-        .join(t("products", "product_id", "unit_cost"), "product_id")
-        .join(_lookup(products, "product_id"), "product_id")
+    # Keys are looked up on products and on orders, both far smaller than the lines.
+    orders = (
+        t(
+            "sales_orders", "so_id", "so_number", "customer_id", "warehouse_id", "order_date",
+            "requested_delivery_date", "actual_ship_date",
+        )
         .join(_lookup(customers, "customer_id"), "customer_id")
         .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
-    )
+    )
+    goods = t("products", "product_id", "unit_cost").join(_lookup(products, "product_id"), "product_id")
+    lines = items.join(goods, "product_id").join(orders, "so_id")
     amounts = ["gross_amount", "discount_amount", "net_amount", "cost_amount", "profit_amount"]
     return with_line_amounts(lines).select(
         F.xxhash64("so_item_id").alias("sales_fact_key"),
@@ -353,16 +353,18 @@ def fact_purchases(t: Tables, products: DataFrame, suppliers: DataFrame, warehou
         "po_id",
         "po_item_id",
     )
-    orders = t(
-        "purchase_orders", "po_id", "po_number", "supplier_id", "warehouse_id", "order_date",
-        "expected_delivery_date", "actual_delivery_date",
+    orders = (
+        t(
+            "purchase_orders", "po_id", "po_number", "supplier_id", "warehouse_id", "order_date",
+            "expected_delivery_date", "actual_delivery_date",
+        )
+        .join(_lookup(suppliers, "supplier_id"), "supplier_id")
+        .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
     )
     actual, expected = F.col("actual_delivery_date"), F.col("expected_delivery_date")
     return (
-        items.join(orders, "po_id")
-        .join(_lookup(products, "product_id"), "product_id")
-        .join(_lookup(suppliers, "supplier_id"), "supplier_id")
-        .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
+        items.join(_lookup(products, "product_id"), "product_id")
+        .join(orders, "po_id")
         .select(
             F.xxhash64("po_item_id").alias("purchase_fact_key"),
             date_key("order_date").alias("order_date_key"),
