@@ -18,7 +18,8 @@ def fill_rate_service(t: Tables, as_of: DateLike = None, months: int = 3) -> Dat
 
     ``order_fill_rate`` counts orders with at least one complete line,
     ``order_fill_rate_strict`` those whose lines are all complete. Lines are folded to one
-    row per order first, so that counting orders needs no distinct.
+    row per order before the join: an order of any size then moves as one row, and counting
+    orders needs no distinct.
     """
     since = months_back(sales_anchor(t, as_of), months)
     orders = t("sales_orders", "so_id", "warehouse_id", "order_date", "status").filter(
@@ -27,8 +28,7 @@ def fill_rate_service(t: Tables, as_of: DateLike = None, months: int = 3) -> Dat
     complete = F.col("quantity_shipped") >= F.col("quantity_ordered")
     per_order = (
         t("sales_order_items", "so_id", "product_id", "quantity_ordered", "quantity_shipped")
-        .join(orders.select("so_id", "warehouse_id"), "so_id")
-        .groupBy("warehouse_id", "so_id")
+        .groupBy("so_id")
         .agg(
             F.count("*").alias("lines"),
             F.count("product_id").alias("items"),
@@ -36,6 +36,7 @@ def fill_rate_service(t: Tables, as_of: DateLike = None, months: int = 3) -> Dat
             F.sum("quantity_shipped").alias("shipped"),
             F.count_if(complete).alias("full"),
         )
+        .join(orders.select("so_id", "warehouse_id"), "so_id")
     )
     per_site = per_order.groupBy("warehouse_id").agg(
         F.count("*").alias("total_orders"),

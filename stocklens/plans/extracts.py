@@ -222,26 +222,26 @@ def timeseries_extract(t: Tables) -> DataFrame:
     orders = t("sales_orders", "so_id", "warehouse_id", "order_date").join(
         t("warehouses", "warehouse_id", "warehouse_name"), "warehouse_id"
     )
-    lines = (
-        t("sales_order_items", "so_id", "product_id", "quantity_ordered", "unit_price", "discount_percent")
-        .join(goods.select("product_id", F.col("category_name").alias("category"), "unit_cost"), "product_id")
-        .join(
-            orders.select("so_id", F.col("warehouse_name").alias("warehouse"), F.col("order_date").alias("date")),
-            "so_id",
-        )
+    lines = t("sales_order_items", "so_id", "product_id", "quantity_ordered", "unit_price", "discount_percent").join(
+        goods.select("product_id", F.col("category_name").alias("category"), "unit_cost"), "product_id"
     )
-    grain = ["date", "warehouse", "category"]
-    # Lines are folded to one row per order first: the orders of a day are then counted as
-    # rows, and no distinct set is kept per group.
-    daily = (
+    # Lines are folded to one row per order and category before they meet their order: a
+    # large order moves as a few rows, and the orders of a day are counted as rows.
+    per_order = (
         with_line_amounts(lines)
-        .groupBy(*grain, "so_id")
+        .groupBy("so_id", "category")
         .agg(
             F.sum("quantity_ordered").alias("units"),
             F.sum("net_amount").alias("revenue"),
             F.sum("cost_amount").alias("cost"),
         )
-        .groupBy(*grain)
+    )
+    daily = (
+        per_order.join(
+            orders.select("so_id", F.col("warehouse_name").alias("warehouse"), F.col("order_date").alias("date")),
+            "so_id",
+        )
+        .groupBy("date", "warehouse", "category")
         .agg(
             F.count("*").alias("order_count"),
             F.sum("units").alias("units_sold"),

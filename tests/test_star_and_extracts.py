@@ -151,6 +151,17 @@ def test_refresh_abc_replaces_its_own_day(spark, t, tmp_path):
     ]
 
 
+def test_save_fact_keeps_all_rows_and_replaces_its_months(spark, t, tmp_path):
+    products, customers, _s, sites = _keys(t)
+    fact = star.fact_sales(t, products, customers, sites)
+    path = str(tmp_path / "fact")
+    for _ in range(2):
+        star.save_fact(fact, path, "date_key", "product_key")
+    saved = spark.read.parquet(path)
+    assert sorted(map(str, saved.select(fact.columns).collect())) == sorted(map(str, fact.collect()))
+    assert {r.month_key for r in saved.collect()} == {202405, 202506}
+
+
 def test_regions_come_from_the_mapping(t):
     assert by(star.dim_warehouse(t, {"S": "South"}), "warehouse_code")["W0"]["region"] == "South"
     assert by(star.dim_warehouse(t, {"S": "South"}), "warehouse_code")["W1"]["region"] is None
