@@ -140,7 +140,8 @@ _SUPPLIER_COLUMNS = ["supplier_name", "on_time_rate", "fill_rate", "reliability_
 def supplier_tier_counts(t: Tables, lookback_days: int = 365) -> DataFrame:
     """Suppliers per tier in fixed order, zero where a tier is empty."""
     counts = _counts(suppliers.supplier_scores(t, lookback_days), "tier", "n")
-    tiers = counts.sparkSession.createDataFrame(list(enumerate(TIER_ORDER)), "tier_order int, tier string")
+    labels = F.array(*[F.lit(x) for x in TIER_ORDER])
+    tiers = counts.sparkSession.range(1).select(F.posexplode(labels).alias("tier_order", "tier"))
     return (
         tiers.join(counts, "tier", "left")
         .select("tier_order", "tier", F.coalesce("n", F.lit(0)).alias("supplier_count"))
