@@ -496,9 +496,11 @@ def save_by_partition(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def save_fact(df: DataFrame, path: str, key: str, *cluster: str) -> None:
+def save_fact(df: DataFrame, path: str, key: str, *cluster: str, whole: bool = False) -> None:
     """Write a fact in monthly folders, clustered by its date key and ``cluster``.
 
+    Only the months in ``df`` are replaced, or with ``whole`` the entire fact.
+
     Rows are range-partitioned on the whole clustering key, so a busy month or a hot product
     spreads over several files, each covering a narrow key range for scans to skip by.
     """
@@ -508,7 +510,7 @@ def save_fact(df: DataFrame, path: str, key: str, *cluster: str) -> None:
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy("month_key")
         .parquet(path)
     )
