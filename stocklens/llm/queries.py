@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stocklens.llm import line_dedup, near_dup, quality, secret_scan
+import public_tokenizers
+
+from stocklens.llm import (
+    decontaminate,
+    language,
+    line_dedup,
+    near_dup,
+    packing,
+    quality,
+    secret_scan,
+)
 from stocklens.llm.common import read
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", near_dup.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -29,6 +55,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op6_simhash_near_dedup, op7_quality_rules, op8_line_dedup, op10_secret_scans)
+    for f in (
+        op3_best_fit_packing,
+        op4_benchmark_decontamination,
+        op5_language_id,
+        op6_simhash_near_dedup,
+        op7_quality_rules,
+        op8_line_dedup,
+        op10_secret_scans,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
