@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,27 +16,52 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let workers that start on this machine import the package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder ``spark.checkpoint.dir`` names, without its lineage.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names.
 
-    On a cluster the folder has to be named, since a local one would be lost with its executor;
-    a local session without one gets a temporary folder.
+    On a cluster it has to be named, since a local one would be lost with its executor; a local
+    session without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local[") and context.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, without its lineage."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: joins know its size from its files."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it in a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

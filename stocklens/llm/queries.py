@@ -9,7 +9,9 @@ import public_tokenizers
 
 from stocklens.llm import (
     decontaminate,
+    html_extract,
     language,
+    license_scan,
     line_dedup,
     near_dup,
     packing,
@@ -19,6 +21,10 @@ from stocklens.llm import (
 from stocklens.llm.common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer)
@@ -49,6 +55,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents")).drop("n_confirmed")
 
@@ -56,12 +66,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op3_best_fit_packing,
         op4_benchmark_decontamination,
         op5_language_id,
         op6_simhash_near_dedup,
         op7_quality_rules,
         op8_line_dedup,
+        op9_license_scans,
         op10_secret_scans,
     )
 }
