@@ -15,8 +15,8 @@ independent covering: members then agree on the union of two masks, so that the
 a bucket whatever the data. Components come from alternating star contractions.
 
 Null text or a text without words has fingerprint zero, linked like any other. Rows that repeat a
-doc_id each have a fingerprint; their links join the components. A null doc_id gets the component
-of its fingerprint. An empty table gives an empty table; further columns are not read.
+doc_id each have a fingerprint; their links join the components. A row without doc_id gets the
+component of its fingerprint. An empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -184,10 +184,14 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **rule) -> DataFrame:
-    """The document with the smallest doc_id of each group, one row each."""
+    """The document with the smallest doc_id of each group, one row each.
+
+    Rows without doc_id stay, as nothing can name them.
+    """
     found = near_duplicates(docs, **rule)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def as_hex(fp: Column) -> Column:

@@ -17,6 +17,7 @@ from stocklens.llm import (
     packing,
     quality,
     secret_scan,
+    sharding,
 )
 from stocklens.llm.common import read
 
@@ -25,6 +26,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_text(read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer)
@@ -67,6 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction,
+        op2_sharding,
         op3_best_fit_packing,
         op4_benchmark_decontamination,
         op5_language_id,
