@@ -49,9 +49,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
-    "legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
-    "template textarea tfoot th thead title tr ul video audio iframe object noscript script style "
-    "svg math button input canvas img map".split()
+    "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot "
+    "th thead title tr ul".split()
 )
 DROPPED = set(
     "head title nav footer aside form script style noscript template svg math button select "
@@ -76,8 +75,7 @@ SIBLINGS = {
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 #: Blocks that end an open paragraph.
-END_PARAGRAPH = BLOCKS - set("br img input map button script style noscript template svg math select "
-                             "object audio video canvas iframe textarea option optgroup".split())
+END_PARAGRAPH = BLOCKS - {"br", "option", "optgroup"}
 SCOPES = {"table", "ul", "ol", "dl", "select", "article", "main", "section", "div", "body", "html"}
 
 _TAG = re.compile(
@@ -191,7 +189,6 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
                 open_.pop()
             closing = html.find(">", stop)
             at = closing + 1 if end and closing >= 0 else len(html)
-            block += 1
         elif tag not in VOID and not m[3].endswith("/") and len(open_) < DEPTH:
             open_.append((tag, dropped, article, path))
     return tokens, runs

@@ -83,4 +83,87 @@ QUERIES = {
         op10_secret_scans,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": r"""
+WITH dw AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)
+), iw AS (
+  SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS j, len(ws) AS n
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark)
+  WHERE len(ws) >= 8
+), same AS (
+  SELECT doc_id, item_id, i - j AS d, j, n FROM dw JOIN iw USING (w)
+), lying AS (
+  SELECT doc_id, item_id, d, n, count(*) OVER (
+      PARTITION BY doc_id, item_id, d ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near
+  FROM same
+), found AS (
+  SELECT doc_id, item_id, d, n, count(*) AS n_matched FROM lying
+  GROUP BY doc_id, item_id, d, n
+  HAVING max(near) >= least(13, n) - floor(least(13, n) * 2 / 13)
+)
+SELECT doc_id, item_id, d AS at_word, n_matched, n AS n_item_words,
+  n_matched::DOUBLE / n AS overlap
+FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, d) = 1
+""",
+    "op7_quality_rules": rf"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), line AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM w
+), spoken AS (
+  SELECT doc_id, source, l, lower(trim(l, {_BLANK})) AS k,
+    len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+  FROM line WHERE trim(l, {_BLANK}) <> ''
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM spoken GROUP BY doc_id
+), gram AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
+), twice AS (
+  SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM twice, range(8) t(d) GROUP BY doc_id
+), often AS (
+  SELECT source, k FROM spoken GROUP BY source, k HAVING count(DISTINCT doc_id) > {quality.MAX_DOCS}
+), gone AS (
+  SELECT doc_id, count(*) AS removed_lines, sum(n) AS removed_words
+  FROM spoken s JOIN often o ON s.source IS NOT DISTINCT FROM o.source AND s.k = o.k GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(removed_lines, 0)::BIGINT AS removed_lines,
+    coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN gone USING (doc_id)
+), ruled AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+)
+SELECT *, NOT base_failed AND n_words - removed_words >= {quality.MIN_LEFT}
+  AND n_words - removed_words >= {quality.MIN_SHARE} * n_words AS kept
+FROM ruled
+""",
+    "op8_line_dedup": f"""
+WITH line AS (
+  SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), keyed AS (
+  SELECT *, translate(trim(l, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM line
+), often AS (
+  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT doc_id, l, i, last IS NOT NULL AND last <> doc_id AS gone FROM keyed LEFT JOIN often USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
