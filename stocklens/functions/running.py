@@ -1,146 +1,126 @@
-"""Running totals over a whole table, without sending the table to one task.
+"""Running totals over a whole table, and numbering, without sending a table to one task.
 
-An ordered window without a partition key puts every row in one partition. Up to a checked
-row count that is the fastest plan; beyond it the rows are range-partitioned, each range is
-summed on its own, and the ranges (as many as there are shuffle partitions) are offset by
-the totals of the ranges before them.
+An ordered window without a partition key puts every row in one partition. Here the rows are
+summed per distinct value first; the values fall into buckets of buckets by a monotone function
+of the value, and each level is offset by the sums of the buckets before it. Every window is
+bounded by the number of buckets a level can have, not by the table. One form serves all sizes.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_ROWS_CONF = "stocklens.window.maxRows"
-MAX_ROWS_DEFAULT = "1000000"
-
+#: log(1 + |value|), below 90 for any DECIMAL(38), times these: at most 2^18 coarse buckets, 2^20
+#: fine ones in each, and neighbouring doubles, some millions, in a fine one.
+COARSE, FINE = 1 << 10, 1 << 30
+#: A 64-bit key has 2^20 coarse blocks, each 2^20 fine ones, each 2^24 keys.
+COARSE_BITS, FINE_BITS = 44, 24
+LAST = (1 << 62) - 1
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="stocklens-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
 
+def _descending(value: str, scale: int) -> Column:
+    """A bucket number that never falls as the value falls; NULL comes last."""
+    v = F.col(value).cast("double")
+    place = F.floor(-F.signum(v) * F.log(1 + F.abs(v)) * scale).cast("bigint")
+    return F.coalesce(place, F.lit(LAST))
 
-def _fits_one_task(spark: SparkSession, bound: DataFrame) -> bool:
-    limit = int(spark.conf.get(MAX_ROWS_CONF, MAX_ROWS_DEFAULT))
-    return limit > 0 and bound.count() <= limit
 
+def _sum_before(column: str, order: str | Column, *partition: str) -> Column:
+    window = W.partitionBy(*partition).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(window), F.lit(0))
 
-def running_totals(
-    df: DataFrame,
-    value: str,
-    tiebreak: str,
-    *,
-    ties: str,
-    bound: DataFrame,
-) -> DataFrame:
-    """Add ``running``, ``grand_total`` and ``position`` over ``value`` descending.
 
-    ``ties="share"``: equal values get the same running total (RANGE frame).
-    ``ties="split"``: each row adds its own value, ``tiebreak`` deciding (ROWS frame).
-    ``position`` is always 1..n by value, then ``tiebreak``; ``tiebreak`` is unique.
-    ``bound`` is a table with at least as many rows as ``df``; only its row count is read.
-    """
-    if ties not in ("share", "split"):
-        raise ValueError(ties)
-    order = [F.col(value).desc_nulls_last(), F.col(tiebreak).asc()]
-    if _fits_one_task(df.sparkSession, bound):
-        whole = W.orderBy(*order)
-        frame = W.orderBy(order[0]) if ties == "share" else whole.rowsBetween(W.unboundedPreceding, 0)
-        return df.select(
-            "*",
-            F.sum(value).over(frame).alias("running"),
-            F.sum(value).over(W.partitionBy()).alias("grand_total"),
-            F.row_number().over(whole).alias("position"),
-        )
-    return _by_ranges(df, value, order, ties)
-
-
-def _by_ranges(df: DataFrame, value: str, order: list, ties: str) -> DataFrame:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The range number must survive a lost executor, hence the reliable checkpoint: a
-    # recomputed range exchange could draw other boundaries. The tiebreak is part of the
-    # range key, so even rows that all share one value spread over the ranges.
-    ranged = durable(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-
-    by_value = ranged.groupBy("_range", value).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
-    ranges = by_value.groupBy("_range").agg(
-        F.sum("_n").alias("_n"),
-        F.sum("_s").alias("_s"),
-        F.max(value).alias("_first"),
-        F.min(value).alias("_last"),
-        F.max_by("_s", value).alias("_first_sum"),
+def _values(df: DataFrame, value: str) -> DataFrame:
+    """(_value, _s, _rows_before, _sum_before, grand_total), one row per distinct value."""
+    values = (
+        df.groupBy(F.col(value).alias("_value"))
+        .agg(F.count("*").alias("_n"), F.coalesce(F.sum(value), F.lit(0)).alias("_s"))
+        .withColumns({"_c": _descending("_value", COARSE), "_f": _descending("_value", FINE)})
     )
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # at most n rows
-    offsets = ranges.select(
-        "_range",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
-        F.sum("_s").over(before).alias("_sum_before"),
+    fine = values.groupBy("_c", "_f").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    coarse = fine.groupBy("_c").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    coarse = coarse.select(  # at most 2^18 rows
+        "_c",
+        _sum_before("_n", "_c").alias("_n0"),
+        _sum_before("_s", "_c").alias("_s0"),
         F.sum("_s").over(W.partitionBy()).alias("grand_total"),
-        "_last",
     )
-    if ties == "share":
-        # Rows equal to a range's last value may go on in later ranges; their sum belongs
-        # to the shared running total as well.
-        here, later = ranges.alias("here"), ranges.alias("later")
-        spill = (
-            here.join(
-                later,
-                (F.col("later._first") == F.col("here._last")) & (F.col("later._range") > F.col("here._range")),
-            )
-            .groupBy(F.col("here._range").alias("_range"))
-            .agg(F.sum("later._first_sum").alias("_tie_after"))
+    fine = fine.select(
+        "_c", "_f", _sum_before("_n", "_f", "_c").alias("_n1"), _sum_before("_s", "_f", "_c").alias("_s1")
+    )
+    down = F.col("_value").desc_nulls_last()
+    return (
+        values.withColumns(
+            {"_n2": _sum_before("_n", down, "_c", "_f"), "_s2": _sum_before("_s", down, "_c", "_f")}
         )
-        offsets = offsets.join(spill, "_range", "left")
-    else:
-        offsets = offsets.withColumn("_tie_after", F.lit(None).cast("int"))
+        .join(fine, ["_c", "_f"])
+        .join(coarse, "_c")
+        .select(
+            "_value",
+            "_s",
+            (F.col("_n0") + F.col("_n1") + F.col("_n2")).alias("_rows_before"),
+            (F.col("_s0") + F.col("_s1") + F.col("_s2")).alias("_sum_before"),
+            "grand_total",
+        )
+    )
 
-    in_range = W.partitionBy("_range").orderBy(*order)
-    frame = (
-        W.partitionBy("_range").orderBy(order[0])
-        if ties == "share"
-        else in_range.rowsBetween(W.unboundedPreceding, 0)
+
+def _numbered(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """Number the rows of each group 1..k by a 64-bit key that is unique in the table."""
+    cut = df.withColumns(
+        {
+            "_kc": F.shiftright(F.col(key).cast("bigint"), COARSE_BITS),
+            "_kf": F.shiftright(F.col(key).cast("bigint"), FINE_BITS),
+        }
     )
-    running = F.sum(value).over(frame)
-    tie_after = F.when(F.col(value) == F.col("_last"), F.col("_tie_after"))
-    zero = F.lit(0)
+    fine = cut.groupBy(F.col(group).alias("_g"), "_kc", "_kf").agg(F.count("*").alias("_n"))
+    coarse = fine.groupBy("_g", "_kc").agg(F.sum("_n").alias("_n"))
+    coarse = coarse.select("_g", "_kc", _sum_before("_n", "_kc", "_g").alias("_b0"))
+    fine = fine.withColumn("_b1", _sum_before("_n", "_kf", "_g", "_kc"))
+    blocks = fine.join(
+        coarse.withColumnsRenamed({"_g": "_gc", "_kc": "_kcc"}),
+        F.col("_g").eqNullSafe(F.col("_gc")) & (F.col("_kc") == F.col("_kcc")),
+    ).select("_g", F.col("_kf").alias("_kb"), (F.col("_b0") + F.col("_b1")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(group, "_kf").orderBy(key))
     return (
-        ranged.join(F.broadcast(offsets), "_range")  # at most one row per range
-        .withColumn(
-            "running",
-            running + F.coalesce(F.col("_sum_before"), zero) + F.coalesce(tie_after, zero),
-        )
-        .withColumn("position", (F.row_number().over(in_range) + F.col("_rows_before")).cast("int"))
-        .select(*df.columns, "running", "grand_total", "position")
+        cut.withColumn("_inside", inside)
+        .join(blocks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_kf") == F.col("_kb")))
+        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .drop("_kc", "_kf", "_inside", "_g", "_kb", "_before")
     )
 
 
-def number_within(df: DataFrame, group: str, serial: str, name: str, block: int = 1 << 20) -> DataFrame:
-    """Number the rows of each group 1..k by an integer ``serial``, unique in the table.
+def running_totals(
+    df: DataFrame, value: str, tiebreak: str, *, ties: str, position: bool = False
+) -> DataFrame:
+    """Add ``running`` and ``grand_total`` over ``value`` descending, and ``position`` if asked.
 
-    A group is cut into blocks of ``block`` consecutive serials, so no window partition
-    holds more than ``block`` rows however large the group is; the blocks of a group are
-    then offset by the row counts of the blocks before them.
+    ``ties="share"``: equal values get the same running total.
+    ``ties="split"``: each row adds its own value, ``tiebreak`` deciding.
+    ``position`` is 1..n by value, then ``tiebreak``: an integer, unique in the table.
+    NULL values come last and add nothing. Money should be DECIMAL, which sums exactly.
     """
-    cut = df.withColumn("_block", F.floor(F.col(serial) / F.lit(block)).cast("bigint"))
-    counts = cut.groupBy(group, "_block").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(group, "_block").orderBy(serial)
-    return (
-        cut.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, [group, "_block"])
-        .withColumn(name, (F.col("_pos") + F.col("_before")).cast("int"))
-        .drop("_block", "_pos", "_before")
-    )
+    if ties not in ("share", "split"):
+        raise ValueError(ties)
+    rows = _numbered(df, value, tiebreak, "_pos") if position or ties == "split" else df
+    joined = rows.join(_values(df, value), F.col(value).eqNullSafe(F.col("_value")))
+    if ties == "share":
+        running = F.col("_sum_before") + F.col("_s")
+    else:
+        place = F.col("_pos").cast("decimal(12,0)") if "decimal" in dict(df.dtypes)[value] else F.col("_pos")
+        running = F.col("_sum_before") + F.coalesce(place * F.col(value), F.lit(0))
+    out = joined.withColumn("running", running)
+    if position:
+        out = out.withColumn("position", (F.col("_rows_before") + F.col("_pos")).cast("int"))
+    return out.select(*df.columns, "running", "grand_total", *(["position"] if position else []))
+
+
+def number_within(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """Number the rows of each group 1..k by an integer ``key``, unique in the table.
+
+    No window partition grows with a group: it is cut into blocks of keys, and the blocks are
+    offset by the row counts of the blocks before them.
+    """
+    return _numbered(df, group, key, name).withColumn(name, F.col(name).cast("int"))

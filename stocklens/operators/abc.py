@@ -22,7 +22,7 @@ def _classes(cumulative, a: float = A_BOUND, b: float = B_BOUND):
     return label_up_to(cumulative, [(a, "A"), (b, "B")], "C")
 
 
-def _ranked_net(t: Tables, as_of: DateLike, months: int) -> DataFrame:
+def _ranked_net(t: Tables, as_of: DateLike, months: int, position: bool = False) -> DataFrame:
     """Net revenue per product over the last months, with shared running totals."""
     since = months_back(sales_anchor(t, as_of), months)
     revenue = (
@@ -33,7 +33,7 @@ def _ranked_net(t: Tables, as_of: DateLike, months: int) -> DataFrame:
     named = revenue.join(t("products", "product_id", "sku", "product_name", "category_id"), "product_id").join(
         t("product_categories", "category_id", "category_name"), "category_id", "left"
     )
-    ranked = running_totals(named, "total_revenue", "product_id", ties="share", bound=t("products", "product_id"))
+    ranked = running_totals(named, "total_revenue", "product_id", ties="share", position=position)
     return ranked.withColumn("cumulative_percentage", pct("running", "grand_total")).withColumn(
         "abc_class", _classes("cumulative_percentage")
     )
@@ -64,7 +64,7 @@ def abc_summary(t: Tables, as_of: DateLike = None, months: int = 12) -> DataFram
 def abc_detail(t: Tables, as_of: DateLike = None, months: int = 12) -> DataFrame:
     """The classified products behind :func:`abc_summary`, by revenue rank."""
     return (
-        _ranked_net(t, as_of, months)
+        _ranked_net(t, as_of, months, position=True)
         .select(
             "product_id",
             "sku",
@@ -89,7 +89,7 @@ def abc_line_gross(t: Tables) -> DataFrame:
         .agg(F.sum(gross).alias("total_revenue"))
         .join(t("products", "product_id", "product_name"), "product_id")
     )
-    ranked = running_totals(revenue, "total_revenue", "product_id", ties="share", bound=t("products", "product_id"))
+    ranked = running_totals(revenue, "total_revenue", "product_id", ties="share")
     return ranked.select(
         "product_id",
         "product_name",
@@ -115,10 +115,11 @@ def abc_mean_price(
         live_lines(t, [], ["product_id", "quantity_ordered", "unit_price"], since)
         .groupBy("product_id")
         .agg(F.sum("quantity_ordered").alias("quantity_ordered"), mean_price.alias("mean_price"))
-        .withColumn("total_revenue", F.col("quantity_ordered") * F.col("mean_price"))
+        # DECIMAL, so that the running total does not depend on the order of summing.
+        .withColumn("total_revenue", (F.col("quantity_ordered") * F.col("mean_price")).cast("decimal(24,6)"))
         .drop("mean_price")
     )
-    ranked = running_totals(revenue, "total_revenue", "product_id", ties="split", bound=t("products", "product_id"))
+    ranked = running_totals(revenue, "total_revenue", "product_id", ties="split")
     cumulative = pct("running", "grand_total")
     return (
         ranked.withColumn("cumulative_pct", cumulative)
@@ -143,7 +144,7 @@ def abc_extract(t: Tables) -> DataFrame:
         .groupBy("product_id")
         .agg(F.sum("line_total").alias("total_revenue"), F.sum("quantity_ordered").alias("total_quantity"))
     )
-    ranked = running_totals(revenue, "total_revenue", "product_id", ties="split", bound=t("products", "product_id"))
+    ranked = running_totals(revenue, "total_revenue", "product_id", ties="split")
     share = F.col("cumulative_pct")
     return ranked.withColumn("cumulative_pct", pct("running", "grand_total")).select(
         "product_id",

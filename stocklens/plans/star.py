@@ -478,7 +478,7 @@ def refresh_abc(sales: DataFrame, products: DataFrame, as_of: DateLike = None) -
         .groupBy("product_key")
         .agg(F.sum("net_amount").alias("total_revenue"))
     )
-    ranked = running_totals(revenue, "total_revenue", "product_key", ties="share", bound=products.select("product_key"))
+    ranked = running_totals(revenue, "total_revenue", "product_key", ties="share", position=True)
     share = ratio("running", "grand_total")
     return ranked.select(
         today.alias("analysis_date"),
