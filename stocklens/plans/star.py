@@ -138,7 +138,7 @@ def dim_product(t: Tables, effective: Column) -> DataFrame:
             "category_name",
             "unit_cost",
             "unit_price",
-            round_to(pct(price - cost, price), 2).cast("decimal(5,2)").alias("profit_margin"),
+            round_to(pct(price - cost, price), 2).cast("decimal(14,2)").alias("profit_margin"),
             "abc_class",
             "lead_time_days",
             "reorder_point",
@@ -161,7 +161,7 @@ def dim_supplier(t: Tables, effective: Column, lookback_days: int = 365) -> Data
         .select(
             "supplier_id", "supplier_code", "supplier_name", "city", "state", "country",
             "payment_terms_days", "quality_rating",
-            F.col("reliability_score").cast("decimal(5,2)").alias("reliability_score"),
+            F.col("reliability_score").cast("decimal(9,2)").alias("reliability_score"),
             F.col("tier").alias("reliability_tier"),
             "is_preferred", "is_active",
         )
@@ -296,7 +296,7 @@ def fact_sales(t: Tables, products: DataFrame, customers: DataFrame, warehouses:
         "quantity_shipped",
         "unit_price",
         "discount_percent",
-        *[money(a).cast("decimal(12,2)").alias(a) for a in amounts],
+        *[money(a).cast("decimal(18,2)").alias(a) for a in amounts],
         days_between("actual_ship_date", "order_date").alias("days_to_ship"),
         (F.col("actual_ship_date") <= F.col("requested_delivery_date")).alias("is_on_time"),
     )
@@ -334,8 +334,8 @@ def fact_inventory_daily(
             "quantity_reserved",
             "quantity_available",
             "reorder_point",
-            F.col("inventory_value").cast("decimal(14,2)").alias("inventory_value"),
-            F.col("days_of_supply").cast("decimal(10,2)").alias("days_of_supply"),
+            F.col("inventory_value").cast("decimal(24,2)").alias("inventory_value"),
+            F.col("days_of_supply").cast("decimal(24,2)").alias("days_of_supply"),
             "is_below_reorder",
             "is_stockout",
             "is_overstock",
@@ -377,7 +377,7 @@ def fact_purchases(t: Tables, products: DataFrame, suppliers: DataFrame, warehou
             "quantity_ordered",
             "quantity_received",
             "unit_cost",
-            F.col("line_total").cast("decimal(14,2)").alias("total_cost"),
+            F.col("line_total").cast("decimal(18,2)").alias("total_cost"),
             days_between(expected, "order_date").alias("expected_lead_days"),
             days_between(actual, "order_date").alias("actual_lead_days"),
             days_between(actual, expected).alias("lead_time_variance"),
@@ -428,11 +428,11 @@ def agg_sales_monthly(sales: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("total_orders"),
             F.sum("quantity_ordered").alias("total_quantity"),
-            F.sum("gross_amount").cast("decimal(14,2)").alias("gross_revenue"),
-            net.cast("decimal(14,2)").alias("net_revenue"),
-            F.sum("cost_amount").cast("decimal(14,2)").alias("total_cost"),
-            F.sum("profit_amount").cast("decimal(14,2)").alias("total_profit"),
-            round_to(ratio(net, F.count("*")), 2).cast("decimal(12,2)").alias("avg_order_value"),
+            F.sum("gross_amount").cast("decimal(24,2)").alias("gross_revenue"),
+            net.cast("decimal(24,2)").alias("net_revenue"),
+            F.sum("cost_amount").cast("decimal(24,2)").alias("total_cost"),
+            F.sum("profit_amount").cast("decimal(24,2)").alias("total_profit"),
+            round_to(ratio(net, F.count("*")), 2).cast("decimal(24,2)").alias("avg_order_value"),
         )
     )
 
@@ -457,13 +457,13 @@ def agg_supplier_performance(purchases: DataFrame) -> DataFrame:
         F.count("*").alias("total_orders"),
         F.sum("ordered").alias("total_units_ordered"),
         F.sum("received").alias("total_units_received"),
-        F.sum("spend").cast("decimal(14,2)").alias("total_spend"),
+        F.sum("spend").cast("decimal(24,2)").alias("total_spend"),
         on_time.alias("on_time_deliveries"),
         late.alias("late_deliveries"),
-        round_to(pct(on_time, on_time + late), 2).cast("decimal(5,2)").alias("on_time_rate"),
-        round_to(pct(F.sum("received"), F.sum("ordered")), 2).cast("decimal(5,2)").alias("fill_rate"),
-        round_to(F.avg("lead"), 2).cast("decimal(10,2)").alias("avg_lead_time"),
-        round_to(F.stddev_samp("lead"), 2).cast("decimal(10,2)").alias("lead_time_std_dev"),
+        round_to(pct(on_time, on_time + late), 2).cast("decimal(14,2)").alias("on_time_rate"),
+        round_to(pct(F.sum("received"), F.sum("ordered")), 2).cast("decimal(14,2)").alias("fill_rate"),
+        round_to(F.avg("lead"), 2).cast("decimal(14,2)").alias("avg_lead_time"),
+        round_to(F.stddev_samp("lead"), 2).cast("decimal(14,2)").alias("lead_time_std_dev"),
     )
 
 
@@ -483,10 +483,10 @@ def refresh_abc(sales: DataFrame, products: DataFrame, as_of: DateLike = None) -
     return ranked.select(
         today.alias("analysis_date"),
         "product_key",
-        F.col("total_revenue").cast("decimal(14,2)").alias("total_revenue"),
+        F.col("total_revenue").cast("decimal(24,2)").alias("total_revenue"),
         F.col("position").alias("revenue_rank"),
-        F.col("running").cast("decimal(14,2)").alias("cumulative_revenue"),
-        round_to(share * 100, 2).cast("decimal(5,2)").alias("cumulative_pct"),
+        F.col("running").cast("decimal(24,2)").alias("cumulative_revenue"),
+        round_to(share * 100, 2).cast("decimal(14,2)").alias("cumulative_pct"),
         label_up_to(share, [(0.80, "A"), (0.95, "B")], "C").alias("abc_class"),
     )
 

@@ -110,14 +110,14 @@ STAR: dict[str, T.StructType] = {
     "dim_product": _ddl(
         """product_key bigint, product_id bigint, sku string, product_name string,
         category_id bigint, category_name string, unit_cost decimal(12,2),
-        unit_price decimal(12,2), profit_margin decimal(5,2), abc_class string,
+        unit_price decimal(12,2), profit_margin decimal(14,2), abc_class string,
         lead_time_days int, reorder_point int, safety_stock int, is_active boolean,
         effective_date date, expiration_date date, is_current boolean"""
     ),
     "dim_supplier": _ddl(
         """supplier_key bigint, supplier_id bigint, supplier_code string, supplier_name string,
         city string, state string, country string, payment_terms_days int,
-        quality_rating decimal(3,2), reliability_score decimal(5,2), reliability_tier string,
+        quality_rating decimal(3,2), reliability_score decimal(9,2), reliability_tier string,
         is_preferred boolean, is_active boolean, effective_date date, expiration_date date,
         is_current boolean"""
     ),
@@ -137,21 +137,21 @@ STAR: dict[str, T.StructType] = {
         """sales_fact_key bigint, date_key int, product_key bigint, customer_key bigint,
         warehouse_key bigint, sales_order_number string, line_item_number int,
         quantity_ordered int, quantity_shipped int, unit_price decimal(12,2),
-        discount_percent decimal(5,2), gross_amount decimal(12,2), discount_amount decimal(12,2),
-        net_amount decimal(12,2), cost_amount decimal(12,2), profit_amount decimal(12,2),
+        discount_percent decimal(5,2), gross_amount decimal(18,2), discount_amount decimal(18,2),
+        net_amount decimal(18,2), cost_amount decimal(18,2), profit_amount decimal(18,2),
         days_to_ship int, is_on_time boolean"""
     ),
     "fact_inventory_daily": _ddl(
         """inventory_fact_key bigint, date_key int, product_key bigint, warehouse_key bigint,
         quantity_on_hand int, quantity_reserved int, quantity_available int, reorder_point int,
-        inventory_value decimal(14,2), days_of_supply decimal(10,2), is_below_reorder boolean,
+        inventory_value decimal(24,2), days_of_supply decimal(24,2), is_below_reorder boolean,
         is_stockout boolean, is_overstock boolean"""
     ),
     "fact_purchases": _ddl(
         """purchase_fact_key bigint, order_date_key int, delivery_date_key int,
         product_key bigint, supplier_key bigint, warehouse_key bigint,
         purchase_order_number string, line_item_number int, quantity_ordered int,
-        quantity_received int, unit_cost decimal(12,2), total_cost decimal(14,2),
+        quantity_received int, unit_cost decimal(12,2), total_cost decimal(18,2),
         expected_lead_days int, actual_lead_days int, lead_time_variance int,
         is_on_time boolean, is_complete boolean"""
     ),
@@ -162,18 +162,18 @@ STAR: dict[str, T.StructType] = {
     ),
     "agg_sales_monthly": _ddl(
         """year int, month int, product_key bigint, warehouse_key bigint, total_orders bigint,
-        total_quantity bigint, gross_revenue decimal(14,2), net_revenue decimal(14,2),
-        total_cost decimal(14,2), total_profit decimal(14,2), avg_order_value decimal(12,2)"""
+        total_quantity bigint, gross_revenue decimal(24,2), net_revenue decimal(24,2),
+        total_cost decimal(24,2), total_profit decimal(24,2), avg_order_value decimal(24,2)"""
     ),
     "agg_supplier_performance": _ddl(
         """year int, quarter int, supplier_key bigint, total_orders bigint,
-        total_units_ordered bigint, total_units_received bigint, total_spend decimal(14,2),
-        on_time_deliveries bigint, late_deliveries bigint, on_time_rate decimal(5,2),
-        fill_rate decimal(5,2), avg_lead_time decimal(10,2), lead_time_std_dev decimal(10,2)"""
+        total_units_ordered bigint, total_units_received bigint, total_spend decimal(24,2),
+        on_time_deliveries bigint, late_deliveries bigint, on_time_rate decimal(14,2),
+        fill_rate decimal(14,2), avg_lead_time decimal(14,2), lead_time_std_dev decimal(14,2)"""
     ),
     "agg_abc_classification": _ddl(
-        """analysis_date date, product_key bigint, total_revenue decimal(14,2),
-        revenue_rank int, cumulative_revenue decimal(14,2), cumulative_pct decimal(5,2),
+        """analysis_date date, product_key bigint, total_revenue decimal(24,2),
+        revenue_rank int, cumulative_revenue decimal(24,2), cumulative_pct decimal(14,2),
         abc_class string"""
     ),
 }

@@ -23,7 +23,8 @@ ROOT_CAUSES = [
     "Quality issue", "Transportation delay", "System error",
 ]
 MODELS = ["ARIMA", "Prophet", "LightGBM", "Exponential_Smoothing"]
-FORECAST_WINDOW_DAYS = 90
+#: A third of the forecasts is for the day of a sale, the others for the same weekday a year on.
+YEAR_ON = 364
 
 Columns = dict[str, Callable[[], Column]]
 
@@ -115,6 +116,10 @@ class OrderBook:
     def last_order_date(self) -> Column:
         return self.raw("orders").agg(F.max(_order_day())).scalar()
 
+    def _next_key(self, name: str, key: str) -> Column:
+        """One more than the largest key of a table; keys begin at zero."""
+        return self.raw(name).agg(F.max(key) + 1).scalar()
+
     @staticmethod
     def _source(base: Callable[[set[str]], DataFrame], columns: Columns) -> Source:
         def load(wanted: Sequence[str]) -> DataFrame:
@@ -379,7 +384,8 @@ class OrderBook:
         part, site = lambda: F.col("p_partkey"), lambda: F.col("warehouse_id")
 
         def base(_wanted: set[str]) -> DataFrame:
-            sites = self.raw("region").agg(F.sort_array(F.collect_set(F.col("r_regionkey").cast("bigint")))).scalar()
+            # Regions number from zero, so the sites need no gathering.
+            sites = F.sequence(F.lit(0).cast("bigint"), self._next_key("region", "r_regionkey") - 1)
             lead = 3 + F.col("p_size") % 19
             return (
                 self.raw("part")
@@ -410,8 +416,8 @@ class OrderBook:
             lambda _: self.raw("events").filter(F.col("event_type") == "error"),
             {
                 "stockout_id": key,
-                "warehouse_id": lambda: F.col("user_id") % 5,
-                "product_id": lambda: key() % 200,
+                "warehouse_id": lambda: F.col("user_id") % self._next_key("region", "r_regionkey"),
+                "product_id": lambda: key() % self._next_key("part", "p_partkey"),
                 "stockout_start_date": lambda: F.col("ts"),
                 "stockout_end_date": lambda: F.when(key() % 11 != 0, F.timestamp_add("HOUR", hours(), F.col("ts"))),
                 "demand_during_stockout": lambda: F.floor("value").cast("bigint"),
@@ -421,26 +427,24 @@ class OrderBook:
         )
 
     def _demand_forecasts(self) -> Source:
-        """One forecast per product, warehouse and day with demand in the last 90 days."""
+        """Daily forecasts: some for days with a sale of the product at the site, most without.
+
+        The quantity depends on product, site and day, not on what was sold.
+        """
         part, site, day = (lambda c=c: F.col(c) for c in ("product_id", "warehouse_id", "forecast_date"))
 
         def base(_wanted: set[str]) -> DataFrame:
-            since = F.date_sub(self.last_order_date(), FORECAST_WINDOW_DAYS)
-            recent = self.raw("orders").filter((_order_status() != "Cancelled") & (_order_day() >= since))
-            orders = self._with_warehouse(recent).select(
-                "o_orderkey", "warehouse_id", _order_day().alias("forecast_date")
+            later = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(YEAR_ON)
+            orders = self._with_warehouse(self.raw("orders")).select(
+                "o_orderkey", "warehouse_id", F.date_add(_order_day(), later).alias("forecast_date")
             )
-            lines = self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"), "l_quantity")
+            lines = self.raw("lineitem").select("l_orderkey", F.col("l_partkey").alias("product_id"))
             return (
                 lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-                .groupBy("product_id", "warehouse_id", "forecast_date")
-                .agg(F.sum(_quantity()).alias("demand"))
+                .select("product_id", "warehouse_id", "forecast_date")
+                .distinct()
             )
 
-        def forecast() -> Column:
-            wobble = (part() * 3 + site() * 5 + F.dayofmonth(day())) % 11 - 4
-            return F.greatest(F.lit(0).cast("bigint"), F.col("demand") + wobble)
-
         return self._source(
             base,
             {
@@ -448,7 +452,7 @@ class OrderBook:
                 "warehouse_id": site,
                 "forecast_date": day,
                 "forecast_period": lambda: F.lit("Daily"),
-                "forecasted_quantity": forecast,
+                "forecasted_quantity": lambda: 1 + (part() * 7 + site() * 11 + F.dayofmonth(day())) % 50,
                 "model_used": lambda: _pick(MODELS, part() % 4),
             },
         )

@@ -11,7 +11,7 @@ from stocklens import open_tables
 from stocklens.functions.running import MAX_ROWS_CONF
 from stocklens.operators import abc, forecast, fulfilment, inventory
 from stocklens.plans import extracts
-from stocklens.sources.orderbook import OrderBook
+from suite.orderbook import OrderBook
 from suite.core import load_all
 
 FOLDER = "/root/testdata/sf0.001"
