@@ -20,8 +20,8 @@ STOCKOUT_SHARE = 0.5
 def inventory_ledger(t: Tables) -> DataFrame:
     """Receipts of delivered purchases and issues of shipped sales, in one signed ledger.
 
-    ``transaction_id`` is a 64-bit hash of the movement's source line: it needs no global
-    ordering and stays the same when the ledger is rebuilt.
+    ``transaction_id`` names the movement's source line: it needs no global ordering, is unique
+    as that line's id is, and stays the same when the ledger is rebuilt.
     """
     columns = [
         "warehouse_id", "product_id", "transaction_type", "quantity", "reference_type",
@@ -37,7 +37,7 @@ def inventory_ledger(t: Tables) -> DataFrame:
             "po_id",
         )
         .select(
-            F.xxhash64(F.lit("PO"), "po_item_id").alias("transaction_id"),
+            F.concat(F.lit("PO-"), F.col("po_item_id").cast("string")).alias("transaction_id"),
             "warehouse_id",
             "product_id",
             F.lit("Receipt").alias("transaction_type"),
@@ -59,7 +59,7 @@ def inventory_ledger(t: Tables) -> DataFrame:
         )
         .join(t("products", "product_id", "unit_cost"), "product_id")
         .select(
-            F.xxhash64(F.lit("SO"), "so_item_id").alias("transaction_id"),
+            F.concat(F.lit("SO-"), F.col("so_item_id").cast("string")).alias("transaction_id"),
             "warehouse_id",
             "product_id",
             F.lit("Sale").alias("transaction_type"),
@@ -178,7 +178,8 @@ def table_counts(t: Tables) -> DataFrame:
 
     def one(name: str) -> DataFrame:
         day = dated.get(name)
-        df = t(name, day) if day else t(name)
+        # Any one column counts rows; the first, the key, needs no join.
+        df = t(name, day or t.columns(name)[0])
         first, last = (F.min(F.col(day).cast("date")), F.max(F.col(day).cast("date"))) if day else (none, none)
         return df.agg(F.count("*").alias("row_count"), first.alias("first_date"), last.alias("last_date")).select(
             F.lit(name).alias("table_name"), "row_count", "first_date", "last_date"

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stocklens.functions.expr import (
     DateLike,
@@ -25,7 +26,7 @@ from stocklens.functions.expr import (
     tier,
     whole_days,
 )
-from stocklens.functions.running import number_within, running_totals
+from stocklens.functions.running import running_totals
 from stocklens.operators.abc import abc_extract
 from stocklens.operators.sales import sales_anchor
 from stocklens.operators.suppliers import TIERS, supplier_scores
@@ -36,6 +37,8 @@ from stocklens.sources.tables import Tables
 PERFORMANCE = ["Excellent", "Good", "Fair"]
 # A version key holds the day its version starts in the last five digits.
 DAYS_RANGE = 100_000
+# The key of members that a dimension does not have.
+UNKNOWN = -1
 
 
 def version_key(business_key: str, effective: Column) -> Column:
@@ -245,16 +248,42 @@ def scd2_merge(
 # ---- facts ----------------------------------------------------------------------------
 
 
-def _lookup(dim: DataFrame, business_key: str) -> DataFrame:
-    current = dim.filter("is_current") if "is_current" in dim.columns else dim
-    return current.select(business_key, business_key.replace("_id", "_key"))
+def _with_key(rows: DataFrame, dim: DataFrame, business_key: str, day: str) -> DataFrame:
+    """``rows`` with the key of the version valid on ``day``, UNKNOWN where there is none.
+
+    Days before a member's first version belong to that version; a row without a day gets the
+    current one. Dimensions without versions are looked up by their business key alone.
+    """
+    key = business_key.replace("_id", "_key")
+    keys = dim.select(F.col(business_key).alias("_member"), F.col(key).alias("_key"), *_validity(dim))
+    match = F.col(business_key) == F.col("_member")
+    if "effective_date" in dim.columns:
+        # As each member's first version has no start, exactly one version fits any day.
+        first = F.row_number().over(W.partitionBy("_member").orderBy("_from")) == 1
+        keys = keys.withColumn("_from", F.when(~first, F.col("_from")))
+        on = F.col(day).cast("date")
+        began = F.col("_from").isNull() | (on >= F.col("_from"))
+        match &= F.when(on.isNull(), F.col("_to").isNull()).otherwise(
+            began & (F.col("_to").isNull() | (on < F.col("_to")))
+        )
+    found = rows.join(keys, match, "left").withColumn(key, F.coalesce("_key", F.lit(UNKNOWN)).cast("bigint"))
+    return found.drop("_member", "_key", "_from", "_to")
 
 
-def _numbered(lines: DataFrame, order: str, serial: str) -> DataFrame:
-    """Line numbers as the source gives them, else by the line's serial within its order."""
-    if "line_number" in lines.columns:
-        return lines.withColumnRenamed("line_number", "line_item_number")
-    return number_within(lines, order, serial, "line_item_number")
+def _validity(dim: DataFrame) -> list[Column]:
+    if "effective_date" not in dim.columns:
+        return []
+    return [F.col("effective_date").alias("_from"), F.col("expiration_date").alias("_to")]
+
+
+def _numbered(lines: DataFrame, order: str, item: str) -> DataFrame:
+    """Line numbers 1..k within each order, by the source's line number, then the item id.
+
+    A source's own line numbers need not be unique. The window holds one order's lines.
+    """
+    first = ["line_number"] if "line_number" in lines.columns else []
+    number = F.row_number().over(W.partitionBy(order).orderBy(*first, item))
+    return lines.withColumn("line_item_number", number).drop(*first)
 
 
 def _with_line_number(t: Tables, name: str, *columns: str) -> DataFrame:
@@ -263,7 +292,10 @@ def _with_line_number(t: Tables, name: str, *columns: str) -> DataFrame:
 
 
 def fact_sales(t: Tables, products: DataFrame, customers: DataFrame, warehouses: DataFrame) -> DataFrame:
-    """One row per sales order line, keyed to the current dimension rows."""
+    """One row per sales order line, keyed to the versions valid on the order's date.
+
+    No line is lost: unknown members have the key UNKNOWN, a line without its order no date.
+    """
     items = _numbered(
         _with_line_number(
             t, "sales_order_items", "so_item_id", "so_id", "product_id", "quantity_ordered",
@@ -272,24 +304,23 @@ def fact_sales(t: Tables, products: DataFrame, customers: DataFrame, warehouses:
         "so_id",
         "so_item_id",
     )
-    # Keys are looked up on products and on orders, both far smaller than the lines.
-    orders = (
-        t(
-            "sales_orders", "so_id", "so_number", "customer_id", "warehouse_id", "order_date",
-            "requested_delivery_date", "actual_ship_date",
-        )
-        .join(_lookup(customers, "customer_id"), "customer_id")
-        .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
+    # Customers and sites are looked up on orders, far fewer than the lines.
+    orders = t(
+        "sales_orders", "so_id", "so_number", "customer_id", "warehouse_id", "order_date",
+        "requested_delivery_date", "actual_ship_date",
     )
-    goods = t("products", "product_id", "unit_cost").join(_lookup(products, "product_id"), "product_id")
-    lines = items.join(goods, "product_id").join(orders, "so_id")
+    orders = _with_key(orders, customers, "customer_id", "order_date")
+    orders = _with_key(orders, warehouses, "warehouse_id", "order_date")
+    lines = items.join(orders, "so_id", "left").join(t("products", "product_id", "unit_cost"), "product_id", "left")
+    lines = _with_key(lines, products, "product_id", "order_date")
     amounts = ["gross_amount", "discount_amount", "net_amount", "cost_amount", "profit_amount"]
+    unknown = F.lit(UNKNOWN).cast("bigint")
     return with_line_amounts(lines).select(
-        F.xxhash64("so_item_id").alias("sales_fact_key"),
+        F.col("so_item_id").cast("string").alias("sales_fact_key"),
         date_key("order_date").alias("date_key"),
         "product_key",
-        "customer_key",
-        "warehouse_key",
+        F.coalesce("customer_key", unknown).alias("customer_key"),
+        F.coalesce("warehouse_key", unknown).alias("warehouse_key"),
         F.col("so_number").alias("sales_order_number"),
         "line_item_number",
         "quantity_ordered",
@@ -303,9 +334,20 @@ def fact_sales(t: Tables, products: DataFrame, customers: DataFrame, warehouses:
 
 
 def dense_inventory(t: Tables) -> Tables:
-    """Tables whose inventory has a row, zero if need be, for every product and warehouse."""
-    sites = t("warehouses", "warehouse_id").agg(F.collect_set("warehouse_id")).scalar()
-    spine = t("products", "product_id").withColumn("warehouse_id", F.explode(sites))
+    """Tables whose inventory has a row, zero if need be, for every product and warehouse.
+
+    That table is products x warehouses by definition. The warehouses are few: they number from
+    one and each product is spread over those numbers.
+    """
+    sites = t("warehouses", "warehouse_id")
+    numbered = sites.withColumn("_n", F.row_number().over(W.orderBy("warehouse_id")))
+    last = sites.agg(F.count("*")).scalar().cast("int")
+    spine = (
+        t("products", "product_id")
+        .withColumn("_n", F.explode(F.sequence(F.lit(1), last)))
+        .join(numbered, "_n")
+        .drop("_n")
+    )
     stock = t("inventory")
     counts = ["quantity_on_hand", "quantity_reserved", "quantity_available"]
     full = spine.join(stock, ["warehouse_id", "product_id"], "left").withColumns(
@@ -320,13 +362,12 @@ def fact_inventory_daily(
     """Stock snapshot of one day per product and warehouse."""
     source = dense_inventory(t) if dense else t
     key = date_key("snapshot_date")
+    rows = inventory_measures(source).withColumn("snapshot_date", sales_anchor(t, as_of))
+    rows = _with_key(rows, products, "product_id", "snapshot_date")
     return (
-        inventory_measures(source)
-        .join(_lookup(products, "product_id"), "product_id")
-        .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
-        .withColumn("snapshot_date", sales_anchor(t, as_of))
+        _with_key(rows, warehouses, "warehouse_id", "snapshot_date")
         .select(
-            F.xxhash64(key, "product_id", "warehouse_id").alias("inventory_fact_key"),
+            F.concat_ws("-", key, "warehouse_id", "product_id").alias("inventory_fact_key"),
             key.alias("date_key"),
             "product_key",
             "warehouse_key",
@@ -353,25 +394,23 @@ def fact_purchases(t: Tables, products: DataFrame, suppliers: DataFrame, warehou
         "po_id",
         "po_item_id",
     )
-    orders = (
-        t(
-            "purchase_orders", "po_id", "po_number", "supplier_id", "warehouse_id", "order_date",
-            "expected_delivery_date", "actual_delivery_date",
-        )
-        .join(_lookup(suppliers, "supplier_id"), "supplier_id")
-        .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
+    orders = t(
+        "purchase_orders", "po_id", "po_number", "supplier_id", "warehouse_id", "order_date",
+        "expected_delivery_date", "actual_delivery_date",
     )
+    orders = _with_key(orders, suppliers, "supplier_id", "order_date")
+    orders = _with_key(orders, warehouses, "warehouse_id", "order_date")
     actual, expected = F.col("actual_delivery_date"), F.col("expected_delivery_date")
+    unknown = F.lit(UNKNOWN).cast("bigint")
     return (
-        items.join(_lookup(products, "product_id"), "product_id")
-        .join(orders, "po_id")
+        _with_key(items.join(orders, "po_id", "left"), products, "product_id", "order_date")
         .select(
-            F.xxhash64("po_item_id").alias("purchase_fact_key"),
+            F.col("po_item_id").cast("string").alias("purchase_fact_key"),
             date_key("order_date").alias("order_date_key"),
             date_key(actual).alias("delivery_date_key"),
             "product_key",
-            "supplier_key",
-            "warehouse_key",
+            F.coalesce("supplier_key", unknown).alias("supplier_key"),
+            F.coalesce("warehouse_key", unknown).alias("warehouse_key"),
             F.col("po_number").alias("purchase_order_number"),
             "line_item_number",
             "quantity_ordered",
@@ -389,13 +428,13 @@ def fact_purchases(t: Tables, products: DataFrame, suppliers: DataFrame, warehou
 
 def fact_stockouts(t: Tables, products: DataFrame, warehouses: DataFrame) -> DataFrame:
     """One row per stockout event; open events have no end and no duration."""
+    events = t(
+        "stockout_events", "stockout_id", "warehouse_id", "product_id", "stockout_start_date",
+        "stockout_end_date", "demand_during_stockout", "lost_sales_amount", "root_cause",
+    )
+    events = _with_key(events, products, "product_id", "stockout_start_date")
     return (
-        t(
-            "stockout_events", "stockout_id", "warehouse_id", "product_id", "stockout_start_date",
-            "stockout_end_date", "demand_during_stockout", "lost_sales_amount", "root_cause",
-        )
-        .join(_lookup(products, "product_id"), "product_id")
-        .join(_lookup(warehouses, "warehouse_id"), "warehouse_id")
+        _with_key(events, warehouses, "warehouse_id", "stockout_start_date")
         .select(
             F.col("stockout_id").cast("bigint").alias("stockout_fact_key"),
             date_key("stockout_start_date").alias("start_date_key"),
@@ -407,7 +446,7 @@ def fact_stockouts(t: Tables, products: DataFrame, warehouses: DataFrame) -> Dat
             F.col("lost_sales_amount").alias("estimated_lost_revenue"),
             "root_cause",
         )
-    )
+    )
 
 
 # ---- aggregates -----------------------------------------------------------------------

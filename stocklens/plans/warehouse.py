@@ -77,7 +77,8 @@ def build_star(
     Dimensions are written first and read back, so that facts look their keys up in small
     files and not in the plans that made them; aggregates read the written facts. This is
     the full load: versions are valid from the first order on, which keeps their keys stable,
-    and repeating it replaces everything but the ABC classes of other dates.
+    and repeating it replaces everything but the ABC classes of other dates. Later changes are
+    loaded by :func:`update_star`, which keeps closed versions.
     """
     spark = t("products", "product_id").sparkSession
     today = sales_anchor(t, as_of)
@@ -108,3 +109,70 @@ def build_star(
     star.save_by_partition(star.refresh_abc(out["fact_sales"], products, as_of), classes, "analysis_date")
     out["agg_abc_classification"] = spark.read.parquet(classes)
     return out
+
+
+# Columns of a versioned dimension that are not tracked: the key and the versioning itself.
+_VERSIONING = {"effective_date", "expiration_date", "is_current"}
+
+
+def _replace(df: DataFrame, path: str) -> DataFrame:
+    """Overwrite a table that ``df`` reads, by way of a complete copy beside it.
+
+    A run that breaks off between the two writes leaves the whole new table in the copy.
+    """
+    spark = df.sparkSession
+    copy = spark.read.parquet(write_extract(df, f"{path}.next"))
+    return spark.read.parquet(write_extract(copy, path))
+
+
+def update_star(
+    t: Tables,
+    folder: str,
+    since: DateLike,
+    as_of: DateLike = None,
+    regions: Mapping[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """Load what changed into a star that :func:`build_star` wrote below ``folder``.
+
+    Members whose columns changed get a new version from ``as_of`` on, and versions that closed
+    stay. Of the facts, the months from the one of ``since`` on are written anew, each row with
+    the keys valid on its date; earlier months are not touched. Aggregates read the facts.
+    """
+    spark = t("products", "product_id").sparkSession
+    today = sales_anchor(t, as_of)
+    month = F.trunc(F.lit(str(since)).cast("date"), "month")
+    first_key = F.year(month) * 10000 + F.month(month) * 100 + 1
+    out: dict[str, DataFrame] = {}
+
+    def merge(name: str, snapshot: DataFrame, business_key: str) -> None:
+        stored = spark.read.parquet(f"{folder}/{name}")
+        own = {business_key, business_key.replace("_id", "_key")} | _VERSIONING
+        tracked = [c for c in stored.columns if c not in own]
+        merged = star.scd2_merge(stored, snapshot, business_key, tracked, today)
+        out[name] = _replace(merged, f"{folder}/{name}")
+
+    def keep(name: str, df: DataFrame) -> None:
+        out[name] = spark.read.parquet(write_extract(df, f"{folder}/{name}"))
+
+    def keep_months(name: str, df: DataFrame) -> None:
+        key = FACT_CLUSTERING[name][0]
+        star.save_fact(df.where(F.col(key) >= first_key), f"{folder}/{name}", *FACT_CLUSTERING[name])
+        out[name] = spark.read.parquet(f"{folder}/{name}")
+
+    keep("dim_date", _calendar(t, today))
+    merge("dim_product", star.dim_product(t, today), "product_id")
+    merge("dim_supplier", star.dim_supplier(t, today), "supplier_id")
+    merge("dim_customer", star.dim_customer(t, today), "customer_id")
+    keep("dim_warehouse", star.dim_warehouse(t, regions))
+    products, suppliers = out["dim_product"], out["dim_supplier"]
+    customers, sites = out["dim_customer"], out["dim_warehouse"]
+    keep_months("fact_sales", star.fact_sales(t, products, customers, sites))
+    keep_months("fact_inventory_daily", star.fact_inventory_daily(t, products, sites, as_of))
+    keep_months("fact_purchases", star.fact_purchases(t, products, suppliers, sites))
+    keep_months("fact_stockouts", star.fact_stockouts(t, products, sites))
+    keep("agg_sales_monthly", star.agg_sales_monthly(out["fact_sales"]))
+    keep("agg_supplier_performance", star.agg_supplier_performance(out["fact_purchases"]))
+    classes = f"{folder}/agg_abc_classification"
+    star.save_by_partition(star.refresh_abc(out["fact_sales"], products, as_of), classes, "analysis_date")
+    out["agg_abc_classification"] = spark.read.parquet(classes)
+    return out

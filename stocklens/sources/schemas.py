@@ -134,7 +134,7 @@ STAR: dict[str, T.StructType] = {
         expiration_date date, is_current boolean"""
     ),
     "fact_sales": _ddl(
-        """sales_fact_key bigint, date_key int, product_key bigint, customer_key bigint,
+        """sales_fact_key string, date_key int, product_key bigint, customer_key bigint,
         warehouse_key bigint, sales_order_number string, line_item_number int,
         quantity_ordered int, quantity_shipped int, unit_price decimal(12,2),
         discount_percent decimal(5,2), gross_amount decimal(18,2), discount_amount decimal(18,2),
@@ -142,13 +142,13 @@ STAR: dict[str, T.StructType] = {
         days_to_ship int, is_on_time boolean"""
     ),
     "fact_inventory_daily": _ddl(
-        """inventory_fact_key bigint, date_key int, product_key bigint, warehouse_key bigint,
+        """inventory_fact_key string, date_key int, product_key bigint, warehouse_key bigint,
         quantity_on_hand int, quantity_reserved int, quantity_available int, reorder_point int,
         inventory_value decimal(24,2), days_of_supply decimal(24,2), is_below_reorder boolean,
         is_stockout boolean, is_overstock boolean"""
     ),
     "fact_purchases": _ddl(
-        """purchase_fact_key bigint, order_date_key int, delivery_date_key int,
+        """purchase_fact_key string, order_date_key int, delivery_date_key int,
         product_key bigint, supplier_key bigint, warehouse_key bigint,
         purchase_order_number string, line_item_number int, quantity_ordered int,
         quantity_received int, unit_cost decimal(12,2), total_cost decimal(18,2),

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stocklens.sources.schemas import OPERATIONAL
 
@@ -85,14 +86,28 @@ def with_generated(name: str, df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:
-    """One operational table: typed CSV with a header, or Parquet."""
+    """One operational table with its declared types: CSV with a header, or Parquet.
+
+    CSV columns are taken by their names in the header, whatever their order; a declared column
+    that the header lacks, or a value that does not fit its type, fails the query.
+    """
     if name not in OPERATIONAL:
         raise KeyError(f"unknown table {name!r}")
+    declared = OPERATIONAL[name]
     if fmt == "csv":
-        raw = spark.read.schema(OPERATIONAL[name]).option("header", True).csv(f"{folder}/{name}.csv")
-    else:
-        raw = spark.read.format(fmt).load(f"{folder}/{name}.{fmt}")
-    return with_generated(name, raw)
+        path = f"{folder}/{name}.csv"
+        named = spark.read.option("header", True).csv(path).columns
+        by_name = {f.name: f for f in declared}
+        unknown = [c for c in by_name if c not in named]
+        if unknown:
+            raise ValueError(f"{path} lacks the columns {unknown}")
+        fields = [by_name.get(c, StructField(c, StringType())) for c in named]
+        raw = spark.read.schema(StructType(fields)).option("header", True).option("mode", "FAILFAST").csv(path)
+        return with_generated(name, raw.select(declared.names))
+    raw = spark.read.format(fmt).load(f"{folder}/{name}.{fmt}")
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in declared if f.name in raw.columns]
+    further = [c for c in raw.columns if c not in declared.names]
+    return with_generated(name, raw.select(*typed, *further))
 
 
 def open_tables(spark: SparkSession, folder: str, fmt: str = "csv", names: Iterable[str] | None = None) -> Tables:

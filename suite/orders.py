@@ -181,19 +181,19 @@ query(
 # ---- ledger and derived tables --------------------------------------------------------
 
 SHARED["ledger_rows"] = """
-    SELECT warehouse_id, product_id, 'Receipt' AS transaction_type, quantity_received AS quantity,
+    SELECT 'PO-' || po_item_id AS transaction_id, warehouse_id, product_id, 'Receipt' AS transaction_type, quantity_received AS quantity,
            'PO' AS reference_type, po_id AS reference_id, unit_cost, actual_delivery_date AS transaction_date
     FROM purchase_order_items JOIN purchase_orders USING (po_id)
     WHERE status = 'Delivered' AND quantity_received > 0
     UNION ALL
-    SELECT warehouse_id, product_id, 'Sale', -quantity_shipped, 'SO', CAST(so_id AS VARCHAR), products.unit_cost,
+    SELECT 'SO-' || so_item_id, warehouse_id, product_id, 'Sale', -quantity_shipped, 'SO', CAST(so_id AS VARCHAR), products.unit_cost,
            actual_ship_date
     FROM sales_order_items JOIN sales_orders USING (so_id) JOIN products USING (product_id)
     WHERE status IN ('Shipped', 'Delivered') AND quantity_shipped > 0"""
 
 query(
     "inventory_ledger",
-    "warehouse_id:i product_id:i transaction_type:s quantity:i reference_type:s reference_id:s unit_cost:m "
+    "transaction_id:s warehouse_id:i product_id:i transaction_type:s quantity:i reference_type:s reference_id:s unit_cost:m "
     "transaction_date:d",
     ledger.inventory_ledger,
     "SELECT * FROM ledger_rows",
@@ -256,11 +256,18 @@ query(
     FROM p GROUP BY period, number""",
 )
 
+# The ledger stands for the movements table.
+def with_ledger(t: Tables) -> Tables:
+    return t.replaced(inventory_transactions=ledger.inventory_ledger(t))
+
+
+SHARED["inventory_transactions"] = "SELECT * FROM ledger_rows"
+
 # Tables of the mapping, and the date column of those that have one.
 _TABLES = [
     "warehouses", "product_categories", "products", "suppliers", "product_suppliers", "customers",
     "sales_orders", "sales_order_items", "purchase_orders", "purchase_order_items", "inventory",
-    "stockout_events", "demand_forecasts",
+    "stockout_events", "demand_forecasts", "inventory_transactions",
 ]
 _DATED = {"sales_orders": "order_date", "purchase_orders": "order_date", "stockout_events": "stockout_start_date"}
 
@@ -276,20 +283,13 @@ def _count_sql(name: str) -> str:
 query(
     "table_counts",
     "table_name:s row_count:i first_date:d last_date:d",
-    ledger.table_counts,
+    lambda t: ledger.table_counts(with_ledger(t)),
     "\nUNION ALL ".join(_count_sql(n) for n in _TABLES),
 )
 
 # ---- data quality ---------------------------------------------------------------------
 
 
-def with_ledger(t: Tables) -> Tables:
-    return t.replaced(inventory_transactions=ledger.inventory_ledger(t))
-
-
-SHARED["inventory_transactions"] = "SELECT * FROM ledger_rows"
-
-
 def _unique_sql() -> str:
     parts = []
     for name, groups in quality.KEYS.items():

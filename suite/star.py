@@ -166,7 +166,8 @@ query(
 SHARED["fact_sales"] = f"""
     SELECT {_date_key("so.order_date")} AS date_key, {_key("l.product_id")} AS product_key,
            {_key("so.customer_id")} AS customer_key, so.warehouse_id AS warehouse_key,
-           so.so_number AS sales_order_number, l.line_number AS line_item_number, l.quantity_ordered,
+           so.so_number AS sales_order_number, l.so_item_id AS sales_fact_key, l.quantity_ordered,
+           ROW_NUMBER() OVER (PARTITION BY l.so_id ORDER BY l.line_number, l.so_item_id) AS line_item_number,
            l.quantity_shipped, l.unit_price, l.discount_percent,
            CAST(ROUND(l.gross_amount, 2) AS DECIMAL(12,2)) AS gross_amount,
            CAST(ROUND(l.discount_amount, 2) AS DECIMAL(12,2)) AS discount_amount,
@@ -178,7 +179,7 @@ SHARED["fact_sales"] = f"""
     FROM line_amounts l JOIN sales_orders so ON so.so_id = l.so_id"""
 query(
     "fact_sales",
-    "date_key:i product_key:i customer_key:i warehouse_key:i sales_order_number:s line_item_number:i "
+    "sales_fact_key:s date_key:i product_key:i customer_key:i warehouse_key:i sales_order_number:s line_item_number:i "
     "quantity_ordered:i quantity_shipped:i unit_price:m discount_percent:m gross_amount:m discount_amount:m "
     "net_amount:m cost_amount:m profit_amount:m days_to_ship:i is_on_time:b",
     _fact_sales,
@@ -187,10 +188,12 @@ query(
 
 SHARED["fact_inventory_daily"] = f"""
     SELECT {_date_key("(SELECT d FROM anchor)")} AS date_key, {_key("product_id")} AS product_key,
-           warehouse_id AS warehouse_key, * FROM stock_measures"""
+           warehouse_id AS warehouse_key, *,
+           concat_ws('-', {_date_key("(SELECT d FROM anchor)")}, warehouse_id, product_id) AS inventory_fact_key
+    FROM stock_measures"""
 query(
     "fact_inventory_daily",
-    "date_key:i product_key:i warehouse_key:i quantity_on_hand:i quantity_reserved:i quantity_available:i "
+    "inventory_fact_key:s date_key:i product_key:i warehouse_key:i quantity_on_hand:i quantity_reserved:i quantity_available:i "
     "reorder_point:i inventory_value:m days_of_supply:f is_below_reorder:b is_stockout:b is_overstock:b",
     _fact_inventory,
     "SELECT * FROM fact_inventory_daily",
@@ -199,7 +202,8 @@ query(
 SHARED["fact_purchases"] = f"""
     SELECT {_date_key("po.order_date")} AS order_date_key, {_date_key("po.actual_delivery_date")} AS delivery_date_key,
            {_key("i.product_id")} AS product_key, {_key("po.supplier_id")} AS supplier_key,
-           po.warehouse_id AS warehouse_key, po.po_number AS purchase_order_number, i.line_number AS line_item_number,
+           po.warehouse_id AS warehouse_key, po.po_number AS purchase_order_number, i.po_item_id AS purchase_fact_key,
+           ROW_NUMBER() OVER (PARTITION BY i.po_id ORDER BY i.line_number, i.po_item_id) AS line_item_number,
            i.quantity_ordered, i.quantity_received, i.unit_cost, i.line_total AS total_cost,
            po.expected_delivery_date - po.order_date AS expected_lead_days,
            po.actual_delivery_date - po.order_date AS actual_lead_days,
@@ -209,7 +213,7 @@ SHARED["fact_purchases"] = f"""
     FROM purchase_order_items i JOIN purchase_orders po ON po.po_id = i.po_id"""
 query(
     "fact_purchases",
-    "order_date_key:i delivery_date_key:i product_key:i supplier_key:i warehouse_key:i purchase_order_number:s "
+    "purchase_fact_key:s order_date_key:i delivery_date_key:i product_key:i supplier_key:i warehouse_key:i purchase_order_number:s "
     "line_item_number:i quantity_ordered:i quantity_received:i unit_cost:m total_cost:m expected_lead_days:i "
     "actual_lead_days:i lead_time_variance:i is_on_time:b is_complete:b",
     _fact_purchases,
@@ -231,6 +235,42 @@ query(
     FROM stockout_events JOIN products USING (product_id) JOIN warehouses USING (warehouse_id)""",
 )
 
+
+
+def _two_versions(t: Tables) -> DataFrame:
+    """Products with a second version where the observed lead time differs, 400 days back."""
+    opened = F.date_sub(_day(t), 400)
+    rows = t("products", "product_id", "sku", "lead_time_days")
+    first = star._versioned(rows, "product_id", F.date_sub(_day(t), 2000))
+    return star.scd2_merge(first, _observed_lead_times(t), "product_id", ["lead_time_days"], opened)
+
+
+def _sales_by_version(t: Tables) -> DataFrame:
+    fact = star.fact_sales(t, _two_versions(t), star.customer_versions(t, _day(t)), star.dim_warehouse(t, REGIONS))
+    return fact.groupBy("product_key").agg(
+        F.count("*").alias("lines"), F.min("date_key").alias("first_day"), F.max("date_key").alias("last_day")
+    )
+
+
+# Each line counts for the version valid on its date; days before the first belong to the first.
+query(
+    "sales_by_version",
+    "product_key:i lines:i first_day:i last_day:i",
+    _sales_by_version,
+    f"""
+    WITH seen AS (
+      SELECT product_id, CAST({rounded("AVG(wait)", 0)} AS BIGINT) AS observed FROM bought
+      WHERE wait IS NOT NULL GROUP BY product_id),
+    sold AS (
+      SELECT product_id, order_date, d AS today,
+             COALESCE(observed <> lead_time_days AND order_date >= d - 400, FALSE) AS later
+      FROM sales_order_items JOIN sales_orders USING (so_id) JOIN products USING (product_id)
+      LEFT JOIN seen USING (product_id), anchor)
+    SELECT product_id * 100000 + (today - IF(later, 400, 2000) - DATE '1970-01-01') AS product_key,
+           COUNT(*) AS lines, {_date_key("min(order_date)")} AS first_day, {_date_key("max(order_date)")} AS last_day
+    FROM sold GROUP BY ALL""",
+)
+
 # ---- aggregates -----------------------------------------------------------------------
 
 query(

@@ -90,3 +90,15 @@ def test_fit_checks(spark):
     assert rows["products", "sku"]["violations"] == 1
     narrow = quality.check_fits(t, lengths={}, decimals={"products": {"unit_cost": (2, 2), "unit_price": (3, 0)}})
     assert [(r.column_name, r.violations) for r in narrow.collect()] == [("unit_cost", 1), ("unit_price", 0)]
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "product_categories.csv").write_text("category_name,parent_category_id,category_id\nTools,,7\n")
+    row = read_table(spark, str(tmp_path), "product_categories").first()
+    assert (row.category_id, row.category_name) == (7, "Tools")
+    (tmp_path / "product_categories.csv").write_text("category_name,category_id\nTools,7\n")
+    with pytest.raises(ValueError):
+        read_table(spark, str(tmp_path), "product_categories")
+    (tmp_path / "product_categories.csv").write_text("category_id,category_name,parent_category_id\nseven,Tools,\n")
+    with pytest.raises(Exception, match="MALFORMED|CAST|FAILFAST"):
+        read_table(spark, str(tmp_path), "product_categories").collect()

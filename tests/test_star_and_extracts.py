@@ -188,3 +188,39 @@ def test_kpis(t):
     assert row.active_suppliers == 3
     assert row.products_at_risk == 2  # equal to the reorder point is not at risk
     assert row.stockout_losses == D(150)
+
+
+def test_facts_keep_lines_of_unknown_members(spark, t):
+    orders = t("sales_orders").withColumn("customer_id", F.lit(None).cast("int"))
+    changed = t.replaced(sales_orders=orders)
+    products, customers, _s, sites = _keys(t)
+    some = products.filter("product_id != 0")
+    rows = star.fact_sales(changed, some, customers, sites).collect()
+    assert len(rows) == 8
+    assert {r.customer_key for r in rows} == {star.UNKNOWN}
+    assert any(r.product_key == star.UNKNOWN for r in rows) and all(r.warehouse_key >= 0 for r in rows)
+
+
+def test_facts_take_the_version_valid_on_their_date(spark, t):
+    dates = sorted({r.order_date for r in t("sales_orders").collect()})
+    turn = dates[-1]
+    rows = t("products", "product_id", "sku", "lead_time_days")
+    first = star._versioned(rows, "product_id", _effective(turn - dt.timedelta(days=1)))
+    updates = rows.withColumn("lead_time_days", F.lit(50))
+    both = star.scd2_merge(first, updates, "product_id", ["lead_time_days"], _effective(turn))
+    _p, customers, _s, sites = _keys(t)
+    got = star.fact_sales(t, both, customers, sites)
+    named = got.join(both.select("product_key", "lead_time_days"), "product_key")
+    day = int(turn.strftime("%Y%m%d"))
+    assert named.count() == 8
+    for r in named.collect():
+        assert (r.lead_time_days == 50) == (r.date_key >= day)
+
+
+def test_sums_beyond_a_trillion(spark, t):
+    products, customers, _s, sites = _keys(t)
+    sales = star.fact_sales(t, products, customers, sites)
+    big = sales.withColumn("net_amount", F.lit("7000000000000.00").cast("decimal(18,2)"))
+    rows = star.refresh_abc(big, products, as_of=TODAY).collect()
+    assert max(r.cumulative_revenue for r in rows) > 10**13
+    assert star.agg_sales_monthly(big).agg(F.sum("net_revenue")).first()[0] > 10**13
