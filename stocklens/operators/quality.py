@@ -30,6 +30,7 @@ KEYS: dict[str, list[list[str]]] = {
     "inventory": [["inventory_id"], ["warehouse_id", "product_id"]],
     "demand_forecasts": [["product_id", "warehouse_id", "forecast_date", "forecast_period"]],
     "stockout_events": [["stockout_id"]],
+    "inventory_transactions": [["transaction_id"]],
 }
 REQUIRED: dict[str, list[str]] = {
     "warehouses": ["warehouse_code", "warehouse_name", "city", "state", "capacity_units"],
@@ -45,6 +46,7 @@ REQUIRED: dict[str, list[str]] = {
     "inventory": ["quantity_on_hand", "quantity_reserved"],
     "demand_forecasts": ["forecast_date", "forecasted_quantity"],
     "stockout_events": ["stockout_start_date"],
+    "inventory_transactions": ["quantity", "transaction_date"],
 }
 REFERENCES: list[tuple[str, str, str, str]] = [
     ("product_categories", "parent_category_id", "product_categories", "category_id"),
@@ -89,29 +91,38 @@ ALLOWED: list[tuple[str, str, list[str]]] = [
 ]
 RANGES: list[tuple[str, str, str, str]] = [("suppliers", "quality_rating", "0", "5")]
 LENGTHS: dict[str, dict[str, int]] = {
-    "warehouses": {"warehouse_code": 10, "warehouse_name": 100, "city": 100, "state": 50},
+    "warehouses": {
+        "warehouse_code": 10, "warehouse_name": 100, "address": 255, "city": 100, "state": 50, "zip_code": 20,
+        "country": 50,
+    },
     "product_categories": {"category_name": 100},
     "products": {"sku": 50, "product_name": 200},
-    "suppliers": {"supplier_code": 20, "supplier_name": 200, "city": 100, "state": 50, "country": 50},
+    "suppliers": {
+        "supplier_code": 20, "supplier_name": 200, "contact_name": 100, "email": 100, "phone": 20, "address": 255,
+        "city": 100, "state": 50, "country": 50,
+    },
+    "product_suppliers": {"supplier_sku": 50},
     "customers": {
-        "customer_code": 20,
-        "customer_name": 200,
-        "customer_type": 50,
-        "city": 100,
-        "state": 50,
-        "country": 50,
+        "customer_code": 20, "customer_name": 200, "customer_type": 50, "email": 100, "phone": 20, "address": 255,
+        "city": 100, "state": 50, "zip_code": 20, "country": 50,
     },
     "purchase_orders": {"po_number": 30, "status": 30},
     "sales_orders": {"so_number": 30, "status": 30},
+    "inventory_transactions": {"transaction_type": 30, "reference_type": 30},
     "demand_forecasts": {"forecast_period": 20, "model_used": 50},
     "stockout_events": {"root_cause": 100},
-}
+}
 DECIMALS: dict[str, dict[str, tuple[int, int]]] = {
-    "products": {"unit_cost": (12, 2), "unit_price": (12, 2)},
+    "warehouses": {"latitude": (10, 8), "longitude": (11, 8), "operating_cost_per_unit": (10, 2)},
+    "products": {"unit_cost": (12, 2), "unit_price": (12, 2), "weight_kg": (8, 3), "volume_cubic_m": (8, 4)},
     "suppliers": {"quality_rating": (3, 2)},
-    "customers": {"credit_limit": (12, 2)},
-    "sales_order_items": {"unit_price": (12, 2), "discount_percent": (5, 2)},
-    "purchase_order_items": {"unit_cost": (12, 2)},
+    "product_suppliers": {"unit_cost": (12, 2)},
+    "customers": {"latitude": (10, 8), "longitude": (11, 8), "credit_limit": (12, 2)},
+    "purchase_orders": {"total_amount": (14, 2)},
+    "purchase_order_items": {"unit_cost": (12, 2), "line_total": (14, 2)},
+    "sales_orders": {"total_amount": (14, 2), "shipping_cost": (10, 2)},
+    "sales_order_items": {"unit_price": (12, 2), "discount_percent": (5, 2), "line_total": (14, 2)},
+    "inventory_transactions": {"unit_cost": (12, 2)},
     "stockout_events": {"lost_sales_amount": (14, 2)},
 }
 
@@ -177,21 +188,50 @@ def check_required(t: Tables, required: Mapping[str, list[str]] = REQUIRED) -> D
 
 
 def check_references(t: Tables, references: Sequence[tuple[str, str, str, str]] = tuple(REFERENCES)) -> DataFrame:
-    """Orphan rows per foreign key."""
-    return _union(
-        [
-            missing_references(t(child, column), column, t(parent, parent_column), parent_column)
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_rows"))
-            .select(
+    """Orphan rows per foreign key, one pass over each child table.
+
+    All references of a child are unfolded from the same scan and counted per value before they
+    meet their parents' keys, so that a hot key travels once.
+    """
+    out = []
+    for child in dict.fromkeys(r[0] for r in references):
+        held = [r for r in references if r[0] == child and child in t and r[2] in t]
+        if not held:
+            continue
+        columns = list(dict.fromkeys(r[1] for r in held))
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns]
+        values = (
+            t(child, *columns)
+            .select(F.explode(F.array(*pairs)).alias("p"))
+            .groupBy("p.column_name", "p.value")
+            .agg(F.count("*").alias("n"))
+        )
+        parents = _union(
+            [
+                t(parent, key).select(
+                    F.lit(column).alias("column_name"),
+                    F.col(key).cast("string").alias("value"),
+                    F.lit(True).alias("known"),
+                )
+                for _, column, parent, key in held
+            ]
+        )
+        orphan = F.col("known").isNull() & F.col("value").isNotNull()
+        found = (
+            values.join(parents.distinct(), ["column_name", "value"], "left")
+            .groupBy("column_name")
+            .agg(F.sum(F.when(orphan, F.col("n")).otherwise(0)).alias("orphan_rows"))
+        )
+        parent_of = F.create_map(*[F.lit(x) for r in held for x in (r[1], r[2])])
+        out.append(
+            found.select(
                 F.lit(child).alias("table_name"),
-                F.lit(column).alias("column_name"),
-                F.lit(parent).alias("parent_table"),
+                "column_name",
+                F.element_at(parent_of, F.col("column_name")).alias("parent_table"),
                 "orphan_rows",
             )
-            for child, column, parent, parent_column in references
-            if child in t and parent in t
-        ]
-    )
+        )
+    return _union(out)
 
 
 def check_allowed(t: Tables, allowed: Sequence[tuple[str, str, list[str]]] = tuple(ALLOWED)) -> DataFrame:
@@ -232,8 +272,11 @@ def check_fits(
     for name in dict.fromkeys([*lengths, *decimals]):
         if name not in t:
             continue
-        bad = {c: F.length(c) > n for c, n in lengths.get(name, {}).items()}
+        have = set(t.columns(name))
+        bad = {c: F.length(c) > n for c, n in lengths.get(name, {}).items() if c in have}
         for c, (p, s) in decimals.get(name, {}).items():
+            if c not in have:
+                continue
             kept = F.col(c).try_cast(DecimalType(p, s))
             bad[c] = F.col(c).isNotNull() & (kept.isNull() | (kept != F.col(c)))
         out.append(_counts_per_column(t(name, *bad), name, bad))

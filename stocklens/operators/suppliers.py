@@ -165,9 +165,13 @@ def supplier_scores(t: Tables, lookback_days: int = 365, as_of: DateLike = None)
 def supplier_scores_extract(t: Tables) -> DataFrame:
     """Scores over all purchase orders; one not delivered yet counts as late and unfilled."""
     per_order = (
-        t("purchase_order_items", "po_id", "quantity_ordered", "quantity_received")
+        t("purchase_order_items", "po_id", "quantity_ordered", "quantity_received", "line_total")
         .groupBy("po_id")
-        .agg(F.sum("quantity_ordered").alias("ordered"), F.sum("quantity_received").alias("received"))
+        .agg(
+            F.sum("quantity_ordered").alias("ordered"),
+            F.sum("quantity_received").alias("received"),
+            F.sum("line_total").alias("spend"),
+        )
     )
     orders = t(
         "purchase_orders", "po_id", "supplier_id", "order_date", "expected_delivery_date", "actual_delivery_date"
@@ -180,6 +184,7 @@ def supplier_scores_extract(t: Tables) -> DataFrame:
             F.count("*").alias("total_orders"),
             F.sum("ordered").alias("total_ordered"),
             F.sum("received").alias("total_received"),
+            F.sum("spend").alias("total_spend"),
             ratio(F.count_if(_on_time()), F.count("*")).alias("on_time_rate"),
             F.avg(_lead()).alias("avg_lead_time"),
             F.coalesce(F.stddev_samp(_lead()), F.lit(0.0)).alias("lead_time_std"),

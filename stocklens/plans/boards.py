@@ -244,21 +244,22 @@ def rop_needs_increase(t: Tables, n: int = 10, service_level: float = 0.95) -> D
 
 def _histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal widths over min..max; the maximum falls in the last bin."""
-    x = F.col(column).cast("double")
-    ends = df.agg(F.min(x).alias("low"), F.max(x).alias("high"))
-    width = (F.col("high") - F.col("low")) / bins
-    number = F.when(F.col("high") == F.col("low"), 1).otherwise(
-        F.least(F.floor((x - F.col("low")) / F.nullif(width, F.lit(0.0))).cast("int") + 1, F.lit(bins))
+    # Counted per value first: the ends and the bins are then read from those few rows.
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x"))
+    counts = values.agg(F.count("*").alias("n"))
+    ends = counts.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
+    width = (high - low) / bins
+    number = F.when(high == low, 1).otherwise(
+        F.least(F.floor((F.col("x") - low) / F.nullif(width, F.lit(0.0))).cast("int") + 1, F.lit(bins))
     )
     return (
-        df.filter(x.isNotNull())
-        .join(F.broadcast(ends))  # one row
-        .groupBy(number.cast("int").alias("bin"), "low", width.alias("width"))
-        .agg(F.count("*").alias("product_count"))
+        counts.groupBy(number.cast("int").alias("bin"))
+        .agg(F.sum("n").alias("product_count"))
         .select(
             "bin",
-            (F.col("low") + F.col("width") * (F.col("bin") - 1)).alias("bin_start"),
-            (F.col("low") + F.col("width") * F.col("bin")).alias("bin_end"),
+            (low + width * (F.col("bin") - 1)).alias("bin_start"),
+            (low + width * F.col("bin")).alias("bin_end"),
             "product_count",
         )
     )
@@ -316,18 +317,20 @@ def carrying_totals(t: Tables) -> DataFrame:
 # ---- samples and console summaries ----------------------------------------------------
 
 
-def _sample(df: DataFrame, n: int, seed: int) -> DataFrame:
-    return df.withColumn("_draw", F.rand(seed)).orderBy("_draw").limit(n).drop("_draw")
+def _sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+    """``n`` rows by the digest of seed and key: the same rows wherever the table lies."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *key))
+    return df.orderBy(draw, *key).limit(n)
 
 
 def turnover_scatter_sample(t: Tables, n: int = 200, seed: int = 42) -> DataFrame:
     columns = ["sku", "product_name", "turnover_ratio", "inventory_value", "turnover_category"]
-    return _sample(inventory.turnover(t).select(*columns), n, seed)
+    return _sample(inventory.turnover(t), n, seed, "warehouse_code", "sku").select(*columns)
 
 
 def reorder_scatter_sample(t: Tables, n: int = 100, seed: int = 42) -> DataFrame:
     columns = ["sku", "product_name", "current_rop", "calculated_rop", "recommendation"]
-    return _sample(inventory.reorder_points(t).select(*columns), n, seed)
+    return _sample(inventory.reorder_points(t), n, seed, "warehouse_code", "sku").select(*columns)
 
 
 def abc_class_totals(t: Tables) -> DataFrame:

@@ -65,28 +65,35 @@ def date_parts(day: str, prefix: str = "") -> dict[str, Column]:
     }
 
 
+def _classes(t: Tables, classes: DataFrame | None) -> DataFrame:
+    return abc_extract(t) if classes is None else classes
+
+
 def with_line_amounts(lines: DataFrame) -> DataFrame:
-    """Gross, discount, net, cost and profit of a line, exact in DECIMAL."""
+    """Gross, discount, net, cost and profit of a line, exact in DECIMAL; no discount is zero."""
     hundredth = F.lit("0.01").cast("decimal(2,2)")
+    discount = F.coalesce("discount_percent", F.lit(0).cast("decimal(5,2)"))
     return (
         lines.withColumn("gross_amount", quantity("quantity_ordered") * F.col("unit_price"))
-        .withColumn("discount_amount", F.col("gross_amount") * F.col("discount_percent") * hundredth)
+        .withColumn("discount_amount", F.col("gross_amount") * discount * hundredth)
         .withColumn("net_amount", F.col("gross_amount") - F.col("discount_amount"))
         .withColumn("cost_amount", quantity("quantity_ordered") * F.col("unit_cost"))
         .withColumn("profit_amount", F.col("net_amount") - F.col("cost_amount"))
     )
 
 
-def sales_extract(t: Tables) -> DataFrame:
+def sales_extract(t: Tables, classes: DataFrame | None = None) -> DataFrame:
     """One row per order line with all its dimensions; uncategorised products drop out.
 
+    ``classes`` is the result of ``abc_extract`` if it is at hand.
+
     Dimensions are joined to products and to orders first, so the lines themselves move
     only twice: once by product, once by order.
     """
     goods = (
         t("products", "product_id", "sku", "product_name", "category_id", "unit_cost")
         .join(t("product_categories", "category_id", "category_name"), "category_id")
-        .join(abc_extract(t).select("product_id", "abc_class"), "product_id", "left")
+        .join(_classes(t, classes).select("product_id", "abc_class"), "product_id", "left")
     )
     orders = (
         t("sales_orders", "so_id", "customer_id", "warehouse_id", "order_date", "status")
@@ -164,14 +171,14 @@ def stock_health(stockout: Column, below: Column, over: Column) -> Column:
     )
 
 
-def inventory_extract(t: Tables) -> DataFrame:
+def inventory_extract(t: Tables, classes: DataFrame | None = None) -> DataFrame:
     """One row per product and warehouse with stock health and movement class."""
     days = F.col("days_of_supply")
     full = (
         inventory_measures(t, "reorder_quantity")
         .join(t("product_categories", "category_id", "category_name"), "category_id")
         .join(t("warehouses", "warehouse_id", "warehouse_name", "city", "state"), "warehouse_id")
-        .join(abc_extract(t).select("product_id", "abc_class", "total_revenue"), "product_id", "left")
+        .join(_classes(t, classes).select("product_id", "abc_class", "total_revenue"), "product_id", "left")
         .withColumn("annual_carrying_cost", F.col("inventory_value") * F.lit(CARRYING_RATE).cast("decimal(3,2)"))
         .withColumn(
             "inventory_status", stock_health(F.col("is_stockout"), F.col("is_below_reorder"), F.col("is_overstock"))
@@ -189,12 +196,6 @@ def inventory_extract(t: Tables) -> DataFrame:
 
 def supplier_extract(t: Tables) -> DataFrame:
     """One row per supplier: scores, spend, attributes; rated on the rounded score."""
-    spend = (
-        t("purchase_order_items", "po_id", "line_total")
-        .join(t("purchase_orders", "po_id", "supplier_id"), "po_id")
-        .groupBy("supplier_id")
-        .agg(F.sum("line_total").alias("total_spend"))
-    )
     full = (
         supplier_scores_extract(t)
         .join(
@@ -204,7 +205,6 @@ def supplier_extract(t: Tables) -> DataFrame:
             ),
             "supplier_id",
         )
-        .join(spend, "supplier_id", "left")
         .withColumn("on_time_rate_pct", round_to(F.col("on_time_rate") * 100, 1))
         .withColumn("fill_rate_pct", round_to(F.col("fill_rate") * 100, 1))
         .withColumn("reliability_score", round_to("reliability_score", 1))
@@ -268,5 +268,15 @@ EXTRACTS = {
 
 
 def export_all(t: Tables, folder: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write every extract as a folder of part files; returns the path of each."""
-    return {name: write_extract(build(t), f"{folder}/{name}_extract", fmt) for name, build in EXTRACTS.items()}
+    """Write every extract as a folder of part files; returns the path of each.
+
+    The ABC classes are worked out once, written beside the extracts and read by those that join
+    them.
+    """
+    spark = t("products", "product_id").sparkSession
+    classes = spark.read.parquet(write_extract(abc_extract(t), f"{folder}/abc_classes"))
+    shared = {"sales": classes, "inventory": classes}
+    return {
+        name: write_extract(build(t, shared[name]) if name in shared else build(t), f"{folder}/{name}_extract", fmt)
+        for name, build in EXTRACTS.items()
+    }

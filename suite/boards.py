@@ -199,17 +199,23 @@ query(
            SUM(monthly_carrying_cost) AS monthly_carrying_cost FROM carrying_rows""",
 )
 # Random samples: no equal result on another engine.
+
+
+def _sample_sql(rows: str, n: int) -> str:
+    return f"SELECT * FROM {rows} ORDER BY md5('42|' || warehouse_code || '|' || sku) LIMIT {n}"
+
+
 query(
     "turnover_scatter_sample",
     "sku:s product_name:s turnover_ratio:f inventory_value:m turnover_category:s",
     boards.turnover_scatter_sample,
-    None,
+    _sample_sql("turnover_rows", 200),
 )
 query(
     "reorder_scatter_sample",
     "sku:s product_name:s current_rop:i calculated_rop:i recommendation:s",
     boards.reorder_scatter_sample,
-    None,
+    _sample_sql("rop_rows", 100),
 )
 query(
     "abc_class_totals",

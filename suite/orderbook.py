@@ -303,6 +303,10 @@ class OrderBook:
 
     # ---- purchasing -------------------------------------------------------------------
 
+    def _po_id(self) -> Column:
+        """Order and supplier in one integer; it overflows, loudly, only beyond 9 x 10^18."""
+        return F.col("l_orderkey") * self._next_key("supplier", "s_suppkey") + F.col("l_suppkey")
+
     def _expected(self) -> Column:
         return F.date_add(_order_day(), (7 + F.col("l_suppkey") % 14).cast("int"))
 
@@ -338,7 +342,7 @@ class OrderBook:
         return self._source(
             base,
             {
-                "po_id": lambda: _key_text("l_orderkey", "l_suppkey"),
+                "po_id": self._po_id,
                 "po_number": lambda: F.concat(F.lit("PO-"), _key_text("l_orderkey", "l_suppkey")),
                 "supplier_id": lambda: F.col("l_suppkey"),
                 "warehouse_id": lambda: F.col("warehouse_id"),
@@ -367,7 +371,7 @@ class OrderBook:
             base,
             {
                 "po_item_id": lambda: _key_text("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-                "po_id": lambda: _key_text("l_orderkey", "l_suppkey"),
+                "po_id": self._po_id,
                 "product_id": lambda: F.col("l_partkey"),
                 "line_number": lambda: F.col("l_linenumber"),
                 "quantity_ordered": _quantity,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from stocklens.operators import forecast, fulfilment, ledger, quality, stockouts
 from stocklens.sources.tables import Tables
 from suite.core import SHARED, band, query, rounded
@@ -182,7 +184,7 @@ query(
 
 SHARED["ledger_rows"] = """
     SELECT 'PO-' || po_item_id AS transaction_id, warehouse_id, product_id, 'Receipt' AS transaction_type, quantity_received AS quantity,
-           'PO' AS reference_type, po_id AS reference_id, unit_cost, actual_delivery_date AS transaction_date
+           'PO' AS reference_type, CAST(po_id AS VARCHAR) AS reference_id, unit_cost, actual_delivery_date AS transaction_date
     FROM purchase_order_items JOIN purchase_orders USING (po_id)
     WHERE status = 'Delivered' AND quantity_received > 0
     UNION ALL
@@ -215,7 +217,7 @@ query(
            total_amount - lines_total AS difference
     FROM sales_orders LEFT JOIN s USING (so_id)
     UNION ALL
-    SELECT 'PO', po_id, total_amount, lines_total, total_amount - lines_total
+    SELECT 'PO', CAST(po_id AS VARCHAR), total_amount, lines_total, total_amount - lines_total
     FROM purchase_orders LEFT JOIN p USING (po_id)""",
 )
 
@@ -290,74 +292,150 @@ query(
 # ---- data quality ---------------------------------------------------------------------
 
 
+# What the data model declares, written down once more for the checks: the columns of the mapping.
+_KEYS = """
+warehouses: warehouse_id / warehouse_code
+product_categories: category_id
+products: product_id / sku
+suppliers: supplier_id / supplier_code
+product_suppliers: product_id,supplier_id
+customers: customer_id / customer_code
+purchase_orders: po_id / po_number
+purchase_order_items: po_item_id
+sales_orders: so_id / so_number
+sales_order_items: so_item_id
+inventory: inventory_id / warehouse_id,product_id
+demand_forecasts: product_id,warehouse_id,forecast_date,forecast_period
+stockout_events: stockout_id
+inventory_transactions: transaction_id"""
+_MANDATORY = """
+warehouses: warehouse_code warehouse_name city state capacity_units
+product_categories: category_name
+products: sku product_name unit_cost unit_price
+suppliers: supplier_code supplier_name
+product_suppliers: unit_cost lead_time_days
+customers: customer_code customer_name
+purchase_orders: po_number order_date expected_delivery_date
+purchase_order_items: quantity_ordered unit_cost
+sales_orders: so_number order_date
+sales_order_items: quantity_ordered unit_price
+inventory: quantity_on_hand quantity_reserved
+demand_forecasts: forecast_date forecasted_quantity
+stockout_events: stockout_start_date
+inventory_transactions: quantity transaction_date"""
+_POINTS_TO = """
+product_categories.parent_category_id product_categories.category_id
+products.category_id product_categories.category_id
+product_suppliers.product_id products.product_id
+product_suppliers.supplier_id suppliers.supplier_id
+purchase_orders.supplier_id suppliers.supplier_id
+purchase_orders.warehouse_id warehouses.warehouse_id
+purchase_order_items.po_id purchase_orders.po_id
+purchase_order_items.product_id products.product_id
+sales_orders.customer_id customers.customer_id
+sales_orders.warehouse_id warehouses.warehouse_id
+sales_order_items.so_id sales_orders.so_id
+sales_order_items.product_id products.product_id
+inventory.warehouse_id warehouses.warehouse_id
+inventory.product_id products.product_id
+inventory_transactions.warehouse_id warehouses.warehouse_id
+inventory_transactions.product_id products.product_id
+demand_forecasts.product_id products.product_id
+demand_forecasts.warehouse_id warehouses.warehouse_id
+stockout_events.warehouse_id warehouses.warehouse_id
+stockout_events.product_id products.product_id"""
+_VALUES = {
+    "customers.customer_type": "Retail Wholesale Distributor Direct",
+    "purchase_orders.status": "Draft Submitted Confirmed Shipped Delivered Cancelled",
+    "sales_orders.status": "Pending Confirmed Picking Shipped Delivered Cancelled",
+    "inventory_transactions.transaction_type": "Receipt Sale Transfer_In Transfer_Out Adjustment Return Damaged",
+    "demand_forecasts.forecast_period": "Daily Weekly Monthly",
+}
+# Lengths of texts; digits and decimals of numbers.
+_SIZES = """
+warehouses: warehouse_code 10, warehouse_name 100, city 100, state 50, latitude 10.8, longitude 11.8
+warehouses: operating_cost_per_unit 10.2
+product_categories: category_name 100
+products: sku 50, product_name 200, unit_cost 12.2, unit_price 12.2
+suppliers: supplier_code 20, supplier_name 200, city 100, state 50, country 50, quality_rating 3.2
+product_suppliers: unit_cost 12.2
+customers: customer_code 20, customer_name 200, customer_type 50, city 100, state 50, country 50, credit_limit 12.2
+purchase_orders: po_number 30, status 30, total_amount 14.2
+purchase_order_items: unit_cost 12.2, line_total 14.2
+sales_orders: so_number 30, status 30, total_amount 14.2, shipping_cost 10.2
+sales_order_items: unit_price 12.2, discount_percent 5.2, line_total 14.2
+inventory_transactions: transaction_type 30, reference_type 30, unit_cost 12.2
+demand_forecasts: forecast_period 20, model_used 50
+stockout_events: lost_sales_amount 14.2, root_cause 100"""
+
+
+def _listed(text: str) -> list[tuple[str, str]]:
+    return [tuple(line.split(": ")) for line in text.strip().split("\n")]
+
+
+def _all(selects: Iterable[str]) -> str:
+    return "\nUNION ALL ".join(selects)
+
+
 def _unique_sql() -> str:
-    parts = []
-    for name, groups in quality.KEYS.items():
-        for cols in groups:
-            keys = ", ".join(cols)
-            present = " AND ".join(f"{c} IS NOT NULL" for c in cols)
-            parts.append(
-                f"SELECT '{name}' AS table_name, '{','.join(cols)}' AS columns, COUNT(*) AS duplicated_keys, "
-                f"COALESCE(SUM(n - 1), 0) AS surplus_rows FROM (SELECT {keys}, COUNT(*) AS n FROM {name} "
-                f"WHERE {present} GROUP BY {keys} HAVING COUNT(*) > 1)"
-            )
-    return "\nUNION ALL ".join(parts)
+    return _all(
+        f"SELECT '{table}' AS table_name, '{key}' AS columns, COUNT(*) FILTER (n > 1) AS duplicated_keys, "
+        f"COALESCE(SUM(n - 1), 0) AS surplus_rows FROM (SELECT COUNT(*) AS n FROM {table} "
+        f"WHERE ({key.replace(',', ' IS NOT NULL) AND (')} IS NOT NULL) GROUP BY {key})"
+        for table, keys in _listed(_KEYS)
+        for key in keys.split(" / ")
+    )
 
 
 def _required_sql() -> str:
-    return "\nUNION ALL ".join(
-        f"SELECT '{name}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS violations "
-        f"FROM {name}"
-        for name, cols in quality.REQUIRED.items()
-        for c in cols
+    return _all(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({c}) AS violations FROM {table}"
+        for table, columns in _listed(_MANDATORY)
+        for c in columns.split()
     )
 
 
 def _references_sql() -> str:
-    return "\nUNION ALL ".join(
-        f"SELECT '{child}' AS table_name, '{c}' AS column_name, '{parent}' AS parent_table, COUNT(*) AS orphan_rows "
-        f"FROM {child} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {pc} FROM {parent})"
-        for child, c, parent, pc in quality.REFERENCES
-    )
+    out = []
+    for line in _POINTS_TO.strip().split("\n"):
+        (child, c), (parent, key) = (x.split(".") for x in line.split())
+        out.append(
+            f"SELECT '{child}' AS table_name, '{c}' AS column_name, '{parent}' AS parent_table, COUNT(*) AS orphan_rows "
+            f"FROM (SELECT {c} AS v FROM {child} WHERE {c} IS NOT NULL) ANTI JOIN (SELECT {key} AS v FROM {parent}) USING (v)"
+        )
+    return _all(out)
 
 
 def _allowed_sql() -> str:
-    parts = []
-    for name, c, values in quality.ALLOWED:
-        allowed = ", ".join(f"'{v}'" for v in values)
-        parts.append(
-            f"SELECT '{name}' AS table_name, '{c}' AS column_name, {c} AS value, COUNT(*) AS violations "
-            f"FROM {name} WHERE {c} NOT IN ({allowed}) GROUP BY {c}"
+    out = []
+    for where, values in _VALUES.items():
+        table, c = where.split(".")
+        out.append(
+            f"SELECT '{table}' AS table_name, '{c}' AS column_name, {c} AS value, COUNT(*) AS violations FROM {table} "
+            f"WHERE NOT list_contains(string_split('{values}', ' '), {c}) GROUP BY {c}"
         )
-    return "\nUNION ALL ".join(parts)
-
-
-def _ranges_sql() -> str:
-    return "\nUNION ALL ".join(
-        f"SELECT '{name}' AS table_name, '{c}' AS column_name, "
-        f"COUNT(*) FILTER (WHERE {c} NOT BETWEEN {low} AND {high}) AS violations FROM {name}"
-        for name, c, low, high in quality.RANGES
-    )
+    return _all(out)
 
 
 def _fits_sql() -> str:
-    parts = []
-    for name, cols in quality.LENGTHS.items():
-        for c, n in cols.items():
-            bad = f"length({c}) > {n}"
-            parts.append((name, c, bad))
-    for name, cols in quality.DECIMALS.items():
-        for c, (p, s) in cols.items():
-            limit = 10 ** (p - s)
-            parts.append((name, c, f"abs({c}) >= {limit} OR {c} <> round({c}, {s})"))
-    return "\nUNION ALL ".join(
-        f"SELECT '{name}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {bad}) AS violations FROM {name}"
-        for name, c, bad in parts
-    )
-
-
-query("dq_unique", "table_name:s columns:s duplicated_keys:i surplus_rows:i", quality.check_unique, _unique_sql())
-query("dq_required", "table_name:s column_name:s violations:i", quality.check_required, _required_sql())
+    out = []
+    for table, sizes in _listed(_SIZES):
+        for size in sizes.split(", "):
+            c, limit = size.split()
+            digits, _, scale = limit.partition(".")
+            bad = f"length({c}) > {digits}"
+            if scale:
+                bad = f"abs({c}) >= {10 ** (int(digits) - int(scale))} OR {c} <> round({c}, {scale})"
+            out.append(f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER ({bad}) AS violations FROM {table}")
+    return _all(out)
+
+
+_RATING_SQL = """
+    SELECT 'suppliers' AS table_name, 'quality_rating' AS column_name,
+           COUNT(*) FILTER (quality_rating < 0 OR quality_rating > 5) AS violations FROM suppliers"""
+
+query("dq_unique", "table_name:s columns:s duplicated_keys:i surplus_rows:i", lambda t: quality.check_unique(with_ledger(t)), _unique_sql())
+query("dq_required", "table_name:s column_name:s violations:i", lambda t: quality.check_required(with_ledger(t)), _required_sql())
 query(
     "dq_references",
     "table_name:s column_name:s parent_table:s orphan_rows:i",
@@ -370,5 +448,5 @@ query(
     lambda t: quality.check_allowed(with_ledger(t)),
     _allowed_sql(),
 )
-query("dq_ranges", "table_name:s column_name:s violations:i", quality.check_ranges, _ranges_sql())
-query("dq_fits", "table_name:s column_name:s violations:i", quality.check_fits, _fits_sql())
+query("dq_ranges", "table_name:s column_name:s violations:i", quality.check_ranges, _RATING_SQL)
+query("dq_fits", "table_name:s column_name:s violations:i", lambda t: quality.check_fits(with_ledger(t)), _fits_sql())

@@ -8,11 +8,10 @@ import io
 import pytest
 
 from stocklens import open_tables
-from stocklens.functions.running import MAX_ROWS_CONF
-from stocklens.operators import abc, forecast, fulfilment, inventory
+from stocklens.operators import abc, forecast, fulfilment, inventory, quality
 from stocklens.plans import extracts
-from suite.orderbook import OrderBook
 from suite.core import load_all
+from suite.orderbook import OrderBook
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,28 +58,45 @@ JOINING = [
 
 
 def test_nothing_is_multiplied_out_or_run_in_python(spark, no_broadcast):
-    allowed = {"eoq_histogram"}  # joined to one row of bounds
     for name in JOINING:
         plan = explained(load_all()[name].run(spark, FOLDER))
         assert "CartesianProduct" not in plan and "Python" not in plan, name
-        assert "BroadcastNestedLoopJoin" not in plan or name in allowed, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_no_single_task_holds_all_products(t):
+    """A single partition only ever holds sums: of coarse buckets, or of everything."""
+    plan = abc.abc_detail(t)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    for k, line in enumerate(lines):
+        if "SinglePartition" in line:
+            assert "keys=[_c#" in lines[k + 1] or "keys=[]" in lines[k + 1], lines[k + 1]
+
+
+def scans_of(spark, table, df):
+    """Scans of a table in the initial plan; parts that are used twice count once."""
+    plan = explained(df).split("\n\n")
+    return sum("Scan parquet" in part and f"/{table}.parquet" in part for part in plan)
+
+
+def test_lines_are_scanned_few_times(spark, no_broadcast):
+    queries = load_all()
+    most = {"supplier_extract": 2, "supplier_scorecard_sql": 5, "reorder_points_sql": 4, "fact_purchases": 2}
+    for name, n in most.items():
+        assert scans_of(spark, "lineitem", queries[name].run(spark, FOLDER)) <= n, name
 
 
-def test_no_single_task_window_beyond_the_limit(spark, t):
-    spark.conf.set(MAX_ROWS_CONF, "0")
-    try:
-        plan = explained(abc.abc_detail(t))
-    finally:
-        spark.conf.unset(MAX_ROWS_CONF)
-    # The only single partition left holds one row per range.
-    assert "rangepartitioning" in plan and plan.count("SinglePartition") <= 2
-    assert "Window" in plan
+def test_one_scan_a_child_table(t, no_broadcast):
+    refs = [r for r in quality.REFERENCES if r[0] == "sales_order_items"]
+    plan = explained(quality.check_references(t, refs)).split("\n\n")
+    assert sum("Scan parquet" in x and "/sales_order_items.parquet" in x for x in plan) == 1
 
 
 def test_lines_move_twice_in_the_sales_extract(t, no_broadcast):
     plan = explained(extracts.sales_extract(t))
     initial = plan.split("(1) Scan")[0]
-    assert initial.count("SortMergeJoin") <= 7
+    # Seven for the extract; the ABC classes join sums per product, value and bucket.
+    assert initial.count("SortMergeJoin") <= 7 + 5
 
 
 def test_orders_are_folded_before_the_join(t, no_broadcast):
