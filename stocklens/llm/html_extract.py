@@ -60,14 +60,19 @@ ROLES = set(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
     "toolbar form note".split()
 )
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|"
-    r"breadcrumbs?|sidebar|side-?bar|aside|widget|footer|site-?header|masthead|topbar|cookies?|"
-    r"consent|notices?|disclaimer|alert|popup|modal|overlay|newsletter|subscri\w+|signup|share|sharing|social|"
-    r"related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|"
-    r"skip-link|toolbar|login|search)(?=$|[\s_-])",
-    re.I,
+#: Words in names of parts that hold no main text wherever they stand ...
+ASIDES = re.compile(
+    r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|disclaimer|alert|popup|"
+    r"modal|overlay|newsletter|subscri\w+|signup|share|sharing|social|related|recommend\w*|comments?|"
+    r"commentlist|disqus|replies|reply|respond|pagination|pager|skip-link|login|breadcrumbs?)(?=$|[_-])"
 )
+#: ... and of parts of the layout, whose names a box around the whole page may bear too.
+LAYOUT = re.compile(
+    r"(?:^|[_-])(?:banner|nav|navbar|navigation|menu|sidebar|side-bar|aside|widget|footer|site-header|"
+    r"page-header|masthead|topbar|toolbar|search)(?=$|[_-])"
+)
+_TELLS_STATE = re.compile(r"(?:has|with|no|without|is|js)[_-]")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe"}
 #: Elements that end when another of their kind begins.
 SIBLINGS = {
@@ -87,11 +92,15 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"(
 
 
 class Run:
-    """A run of text between two tags: its block, place in the page and token."""
+    """A run of text between two tags: its block, its token, and how far it is main text.
+
+    ``article`` is 2 inside an article, 1 inside one that stands in a box named like a part of
+    the layout, 0 elsewhere.
+    """
 
     __slots__ = ("article", "block", "heading", "text", "token")
 
-    def __init__(self, block: int, text: str, token: int, article: bool, heading: bool):
+    def __init__(self, block: int, text: str, token: int, article: int, heading: bool):
         self.block, self.text, self.token = block, text, token
         self.article, self.heading = article, heading
 
@@ -100,33 +109,42 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 1
 
 
-def _is_part(tag: str, attributes: str, in_article: bool) -> bool:
+#: How an element is kept out: not at all, by a name of the layout, or for good.
+KEPT, LAID_OUT, OUT = 0, 1, 2
+
+
+def _kept_out(tag: str, attributes: str, in_article: bool) -> int:
     """Whether the element is no main text."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return OUT
     if not attributes or tag in ("html", "body"):
-        return False
+        return KEPT
+    found = KEPT
     for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" and m[0].lower() == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and PARTS.search(value):
-            return True
-        if tag == "article" and name in ("class", "id") and re.search(r"(?:^|[\s_-])comment", value):
-            return True
-        if name == "itemprop" and value == "comment":
-            return True
-    return False
+        name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
+        if name == "hidden" and m[0].lower() == "hidden":
+            return OUT
+        if name == "aria-hidden" and value.lower() == "true" or name == "itemprop" and value == "comment":
+            return OUT
+        if name == "role" and value.lower() in ROLES:
+            return OUT
+        if name in ("class", "id"):
+            for word in _CAMEL.sub("-", value).lower().split():
+                if _TELLS_STATE.match(word):
+                    continue
+                if ASIDES.search(word) and (tag not in ("article", "main") or "comment" in word):
+                    return OUT
+                if tag not in ("article", "main") and LAYOUT.search(word):
+                    found = LAID_OUT
+    return found
 
 
 def read_page(html: str) -> tuple[list[int], list[Run]]:
     """The tokens of the page in order, and the runs of text outside dropped elements."""
     tokens: list[int] = []
     runs: list[Run] = []
-    # Open elements: name, whether it drops, whether it lies in an article, hash of the path.
-    open_: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    # Open elements: name, how it is kept out, how far it is an article, hash of the path.
+    open_: list[tuple[str, int, int, int]] = [("", KEPT, 0, 0)]
     block, at = 0, 0
 
     def text(raw: str) -> None:
@@ -138,8 +156,8 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
         token = _hash(str(path), words) if words else 0
         if words:
             tokens.append(token)
-        if not dropped:
-            heading = article and any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in open_)
+        if dropped == KEPT or dropped == LAID_OUT and article:
+            heading = article > 0 and any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in open_)
             runs.append(Run(block, value, token, article, heading))
 
     def close(k: int) -> None:
@@ -176,8 +194,14 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
                 if open_[k][0] in SCOPES or open_[k][0] in DROPPED:
                     break
         _, dropped, article, path = open_[-1]
-        dropped = dropped or _is_part(tag, m[3], article)
-        article = not dropped and (article or tag in ("article", "main") or "main" in m[3] and _main(m[3]))
+        here = _kept_out(tag, m[3], article > 0)
+        opens = tag in ("article", "main") or "main" in m[3] and _main(m[3])
+        if here == OUT or dropped == OUT:
+            dropped, article = OUT, 0
+        elif here == LAID_OUT:
+            dropped, article = LAID_OUT, 0
+        elif opens and not article:
+            article = 1 if dropped == LAID_OUT else 2
         path = _hash(str(path), tag, " ".join(sorted(_classes(m[3]))))
         tokens.append(path)
         if tag in RAW:
@@ -211,8 +235,8 @@ def _main(attributes: str) -> bool:
 
 def main_text(runs: list[Run], template: frozenset[int]) -> str:
     """The runs left in the slots, as blocks of one line each."""
-    if any(r.article for r in runs):
-        runs = [r for r in runs if r.article]
+    best = max((r.article for r in runs if r.token), default=0)
+    runs = [r for r in runs if r.article == best]
     blocks: dict[int, list[str]] = {}
     for r in runs:
         if r.token == 0 or r.heading or r.token not in template:

@@ -35,6 +35,15 @@ def test_without_article():
     assert text_of("<p>adjust headings address</p>") == "adjust headings address"
 
 
+def test_boxes_named_like_the_layout():
+    page = "<div class='page sidebar-left'><nav>n</nav><main><h1>T</h1><p>text</p></main></div><div class=sidebar>s</div>"
+    assert text_of(page) == "T text"
+    page = "<div class='sidebar'><article>teaser</article></div><article>real</article><div id=userComments>c</div>"
+    assert text_of(page) == "real"
+    assert text_of("<div class='has-sidebar no-ads'><p>in</p></div><div class='cookieNotice'>x</div>") == "in"
+    assert text_of("<article>a<div class=related-posts><article>b</article></div></article>") == "a"
+
+
 def test_odd_markup():
     for page in ("", "<", "<a", "<p", "</p>", "<!--", "<![CDATA[", "<p class=", '<p class="x', "<b><i></b></i>", "&", "&#xZ;"):
         text_of(page)
