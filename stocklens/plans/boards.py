@@ -343,12 +343,7 @@ def abc_class_totals(t: Tables) -> DataFrame:
 
 def supplier_summary_top10(t: Tables, lookback_days: int = 365) -> DataFrame:
     """The ten most reliable suppliers."""
-    return (
-        suppliers.supplier_scores(t, lookback_days)
-        .orderBy(F.desc("reliability_score"), "supplier_code")
-        .limit(10)
-        .select("supplier_name", "reliability_score", "tier")
-    )
+    return supplier_top(t, 10, lookback_days).select("supplier_name", "reliability_score", "tier")
 
 
 def carrying_cost_per_warehouse(t: Tables) -> DataFrame:

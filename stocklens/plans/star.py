@@ -506,9 +506,11 @@ def agg_supplier_performance(purchases: DataFrame) -> DataFrame:
     )
 
 
-def refresh_abc(sales: DataFrame, products: DataFrame, as_of: DateLike = None) -> DataFrame:
-    """ABC classes of a year's net sales for one analysis date."""
-    if as_of is None:
+def refresh_abc(sales: DataFrame, as_of: DateLike | Column = None) -> DataFrame:
+    """ABC classes of a year's net sales for one analysis date, the fact's last day if not given."""
+    if isinstance(as_of, Column):
+        today = as_of
+    elif as_of is None:
         today = sales.agg(_key_date(F.max("date_key"))).scalar()
     else:
         today = F.lit(str(as_of)).cast("date")

@@ -106,7 +106,7 @@ def build_star(
     keep("agg_sales_monthly", star.agg_sales_monthly(out["fact_sales"]))
     keep("agg_supplier_performance", star.agg_supplier_performance(out["fact_purchases"]))
     classes = f"{folder}/agg_abc_classification"
-    star.save_by_partition(star.refresh_abc(out["fact_sales"], products, as_of), classes, "analysis_date")
+    star.save_by_partition(star.refresh_abc(out["fact_sales"], as_of), classes, "analysis_date")
     out["agg_abc_classification"] = spark.read.parquet(classes)
     return out
 
@@ -173,6 +173,6 @@ def update_star(
     keep("agg_sales_monthly", star.agg_sales_monthly(out["fact_sales"]))
     keep("agg_supplier_performance", star.agg_supplier_performance(out["fact_purchases"]))
     classes = f"{folder}/agg_abc_classification"
-    star.save_by_partition(star.refresh_abc(out["fact_sales"], products, as_of), classes, "analysis_date")
+    star.save_by_partition(star.refresh_abc(out["fact_sales"], as_of), classes, "analysis_date")
     out["agg_abc_classification"] = spark.read.parquet(classes)
     return out

@@ -310,7 +310,7 @@ query(
 query(
     "refresh_abc",
     "analysis_date:d product_key:i total_revenue:m revenue_rank:i cumulative_revenue:m cumulative_pct:r2 abc_class:s",
-    lambda t: star.refresh_abc(_fact_sales(t), _products(t)),
+    lambda t: star.refresh_abc(_fact_sales(t), _day(t)),
     f"""
     WITH year AS (
       SELECT product_key, SUM(net_amount) AS total_revenue FROM fact_sales

@@ -140,7 +140,7 @@ def test_dense_inventory_fills_missing_pairs(t):
 
 def test_refresh_abc_replaces_its_own_day(spark, t, tmp_path):
     products, customers, _s, sites = _keys(t)
-    classes = star.refresh_abc(star.fact_sales(t, products, customers, sites), products, as_of=TODAY)
+    classes = star.refresh_abc(star.fact_sales(t, products, customers, sites), as_of=TODAY)
     path = str(tmp_path / "abc")
     for _ in range(2):
         star.save_by_partition(classes, path, "analysis_date")
@@ -221,6 +221,6 @@ def test_sums_beyond_a_trillion(spark, t):
     products, customers, _s, sites = _keys(t)
     sales = star.fact_sales(t, products, customers, sites)
     big = sales.withColumn("net_amount", F.lit("7000000000000.00").cast("decimal(18,2)"))
-    rows = star.refresh_abc(big, products, as_of=TODAY).collect()
+    rows = star.refresh_abc(big, as_of=TODAY).collect()
     assert max(r.cumulative_revenue for r in rows) > 10**13
     assert star.agg_sales_monthly(big).agg(F.sum("net_revenue")).first()[0] > 10**13
