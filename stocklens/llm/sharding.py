@@ -95,7 +95,8 @@ def propagate(links: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     for turn in range(rounds):
         room = [max(0, q - n) for q, n in zip(quota, _loads(labels, shards), strict=True)]
         placed = links.join(labels, "doc_id")
-        plans = _plans(placed, room)
+        # Saved, one row a hub: then a hub with a third of all documents can be split in the join.
+        plans = saved(_plans(placed, room))
         drawn = _share(F.lit(turn), "hub", "doc_id") * F.col("total")
         into = F.get(F.filter("plan", lambda x: x["upto"] > drawn), F.lit(0))
         stays = F.get(F.filter("plan", lambda x: x["shard"] == F.col("shard")), F.lit(0))
