@@ -145,11 +145,13 @@ def components(pairs: DataFrame) -> DataFrame:
 
     def large_star(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        # Saved, so that a hub with most of the edges is not bound to the task that finds its
+        # minimum: the join can split its rows, or broadcast the minima if they are few.
+        least = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
         return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b")
 
     def small_star(edges: DataFrame) -> DataFrame:
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
+        least = saved(edges.groupBy("b").agg(F.min("a").alias("m")))
         joined = edges.join(least, "b")
         out = joined.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         return out.unionByName(least.select(F.col("m").alias("a"), "b"))
