@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.llm.common import schema_of
+from stocklens.llm.common import schema_of, stored
 
 MAX_GRAM, LOG_WIDTH = 3, 15
 WIDTH = 1 << LOG_WIDTH
@@ -140,7 +140,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
         .select("doc_id")
         .distinct()
     )
-    sample = labelled.join(chosen, "doc_id", "left_semi").select("lang", "text")
+    # A table of known, bounded size: no text is shuffled to find the sample.
+    sample = labelled.join(stored(chosen), "doc_id", "left_semi").select("lang", "text")
     found = sample.mapInArrow(_presence, "lang string, grams binary").where("grams is not null")
     got = sorted((r["lang"], bytes(r["grams"])) for r in found.toLocalIterator())
     rows = np.zeros((len(got), WIDTH), np.uint8)
