@@ -68,7 +68,11 @@ def _values(df: DataFrame, value: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
-    """Number the rows of each group 1..k by a 64-bit key that is unique in the table."""
+    """Number the rows of each group 1..k by a 64-bit key that is unique in the table.
+
+    All joins take NULL for equal, so that no filter is derived for one use of ``df`` and not for
+    another: Spark then reads it once for all of them.
+    """
     cut = df.withColumns(
         {
             "_kc": F.shiftright(F.col(key).cast("bigint"), COARSE_BITS),
@@ -81,12 +85,12 @@ def _numbered(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
     fine = fine.withColumn("_b1", _sum_before("_n", "_kf", "_g", "_kc"))
     blocks = fine.join(
         coarse.withColumnsRenamed({"_g": "_gc", "_kc": "_kcc"}),
-        F.col("_g").eqNullSafe(F.col("_gc")) & (F.col("_kc") == F.col("_kcc")),
+        F.col("_g").eqNullSafe(F.col("_gc")) & F.col("_kc").eqNullSafe(F.col("_kcc")),
     ).select("_g", F.col("_kf").alias("_kb"), (F.col("_b0") + F.col("_b1")).alias("_before"))
     inside = F.row_number().over(W.partitionBy(group, "_kf").orderBy(key))
     return (
         cut.withColumn("_inside", inside)
-        .join(blocks, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_kf") == F.col("_kb")))
+        .join(blocks, F.col(group).eqNullSafe(F.col("_g")) & F.col("_kf").eqNullSafe(F.col("_kb")))
         .withColumn(name, F.col("_before") + F.col("_inside"))
         .drop("_kc", "_kf", "_inside", "_g", "_kb", "_before")
     )

@@ -52,6 +52,12 @@ def _key_text(*columns: str) -> Column:
     return F.concat_ws("-", *[F.col(c).cast("string") for c in columns])
 
 
+def _line_id() -> Column:
+    """The line's own columns: order and line number alone are not unique."""
+    numbers = _key_text("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return F.concat_ws("-", numbers, _quantity().cast("string"), _cents("l_extendedprice").cast("string"))
+
+
 def _category_id() -> Column:
     """60 bits of the type's MD5, so that products need no join to get their category."""
     return F.conv(F.substring(F.md5("p_type"), 1, 15), 16, 10).cast("bigint")
@@ -289,7 +295,7 @@ class OrderBook:
         return self._source(
             lambda _: self.raw("lineitem"),
             {
-                "so_item_id": lambda: _key_text("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+                "so_item_id": _line_id,
                 "so_id": lambda: F.col("l_orderkey"),
                 "product_id": lambda: F.col("l_partkey"),
                 "line_number": lambda: F.col("l_linenumber"),
@@ -370,7 +376,7 @@ class OrderBook:
         return self._source(
             base,
             {
-                "po_item_id": lambda: _key_text("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+                "po_item_id": _line_id,
                 "po_id": self._po_id,
                 "product_id": lambda: F.col("l_partkey"),
                 "line_number": lambda: F.col("l_linenumber"),
