@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stocklens.llm import decontaminate, language, line_dedup, near_dup, packing
 from stocklens.llm.common import read, stored
 
-#: Texts of a learnt language score 0.37 or more here; no language is sure of one below this.
+#: A floor only, texts without letters score 0: what is in no learnt language goes by its evidence.
 MIN_LANGUAGE_SCORE = 0.3
 TOKENIZER = "word_bpe_49k.json"
 

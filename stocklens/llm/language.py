@@ -8,6 +8,12 @@ language; the Nyström map K(x, L) K(L, L)^-1/2 gives features, on which ridge r
 once per language against the rest. Prediction multiplies batches: presence rows by landmarks,
 then kernel values by coefficients.
 
+Regression always names a language, and a text that resembles none gets a middling score. Whether a
+text is in a learnt language at all is told by evidence instead: the share of its n-grams that occur
+in the sample of the predicted language. The level it must reach is taken from the sample itself:
+``SLACK`` of the ``TAIL`` quantile of that share, each sample text held against the others of its
+language. A language of one sample text has no others, hence level 0: it rejects nothing.
+
 The model learns from a bounded sample: at most ``per_lang`` labelled documents of each language,
 those of the smallest hash of doc_id; only their presence bits (4 KB each) reach the driver.
 
@@ -32,6 +38,8 @@ from stocklens.llm.common import schema_of, stored
 MAX_GRAM, LOG_WIDTH = 3, 15
 WIDTH = 1 << LOG_WIDTH
 PER_LANG, LANDMARKS, RIDGE = 240, 128, 1e-2
+#: So much of a sample may be foreign to its label; texts may know so much less than the rest of it.
+TAIL, SLACK = 0.05, 0.72
 BATCH = 32
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -58,6 +66,8 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # WIDTH x landmarks, each column of length one
     coefficients: np.ndarray  # landmarks x languages
+    known: np.ndarray  # WIDTH x languages, 1 where an n-gram occurs in the language's sample
+    levels: np.ndarray  # least share of known n-grams, one a language
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """Regression values of presence rows, one column a language."""
@@ -65,7 +75,12 @@ class Model:
         return (rows @ self.landmarks) / size @ self.coefficients
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, best = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        langs, best, _ = self.judge(texts, False)
+        return langs, best
+
+    def judge(self, texts: list[str | None], evidence: bool = True) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text and, if asked for, whether its evidence suffices."""
+        langs, best, backed = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         bare = [letters(x) for x in texts]
         spoken = [k for k, x in enumerate(bare) if x] if self.langs else []
         for at in range(0, len(spoken), BATCH):
@@ -78,14 +93,31 @@ class Model:
             top = near.argmax(axis=1)
             for k, j, p in zip(chosen, top, near[np.arange(len(top)), top], strict=True):
                 langs[k], best[k] = self.langs[j], float(p)
-        return langs, best
+            if evidence:
+                share = (rows @ self.known)[np.arange(len(top)), top] / rows.sum(axis=1)
+                for k, fine in zip(chosen, share >= self.levels[top], strict=True):
+                    backed[k] = bool(fine)
+        return langs, best, backed
+
+
+def evidence(labels: np.ndarray, rows: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(known, levels) of a model."""
+    known, levels = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs))
+    for j, lang in enumerate(langs):
+        of = rows[labels == lang]
+        count = of.sum(axis=0, dtype=np.int64)
+        known[:, j] = count > 0
+        shared = count > 1  # in a sample text and another one
+        levels[j] = SLACK * np.quantile([row[shared].sum() / row.sum() for row in of], TAIL)
+    return known, levels
 
 
 def fit(labels: list[str], rows: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """``rows``: presence of the n-grams, one row a label."""
     langs = sorted(set(labels))
     if not langs:
-        return Model([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0), np.float32))
+        none = np.zeros((WIDTH, 0), np.float32)
+        return Model([], none, np.zeros((0, 0), np.float32), none, np.zeros(0))
     of = {x: [k for k, y in enumerate(labels) if y == x] for x in langs}
     share = max(1, landmarks // len(langs))
     chosen = [k for x in langs for k in of[x][:share]]
@@ -104,7 +136,8 @@ def fit(labels: list[str], rows: np.ndarray, landmarks: int = LANDMARKS, ridge:
     weight = np.array([1 / len(of[y]) for y in labels])[:, None]
     square = features.T @ (features * weight) + ridge * np.eye(features.shape[1]) / len(labels)
     solved = np.linalg.solve(square, features.T @ (targets * weight))
-    return Model(langs, np.ascontiguousarray(marks.T), (to_features @ solved).astype(np.float32))
+    coefficients = (to_features @ solved).astype(np.float32)
+    return Model(langs, np.ascontiguousarray(marks.T), coefficients, *evidence(np.array(labels), rows, langs))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,13 +202,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
-    """The rows whose text is in a learnt language, with its score at least ``min_score``."""
+    """The rows whose text is in a learnt language by evidence, with a score of at least ``min_score``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, best = sent.value.predict(batch.column("text").to_pylist())
-            fine = [x != UNKNOWN and p >= min_score for x, p in zip(langs, best, strict=True)]
+            _, best, backed = sent.value.judge(batch.column("text").to_pylist())
+            fine = [x and p >= min_score for x, p in zip(backed, best, strict=True)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

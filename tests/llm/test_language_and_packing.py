@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from stocklens.llm import language, packing
 
 from conftest import WORDS, sentence  # isort: skip
@@ -65,6 +66,31 @@ def test_language_edges(make_docs):
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "xkcd qzrt bvnm wrtp fghj klmn bcdf ghjk zxcv qwrt plkj mnbv",
+    "zq",
+]
+
+
+def test_only_learnt_languages_stay(make_docs):
+    rng = random.Random(3)
+    rows = [(k, sentence(rng, lang, rng.randint(8, 40)), lang) for k, lang in enumerate(list(WORDS) * 60)]
+    weak = ["der", "the of", "pour la", "12 that 34 was !!", "AND AND AND AND", "sont été où", "für sich über"]
+    weak.append(sentence(rng, "en", 20) + "\n" + sentence(rng, "de", 6))
+    docs = make_docs(rows + [(1000 + k, t, None) for k, t in enumerate(FOREIGN)] + [(2000 + k, t) for k, t in enumerate(weak)])
+    model = language.train(docs)
+    kept = {r["doc_id"] for r in language.keep_identified(docs, model, corpus_pipeline.MIN_LANGUAGE_SCORE).collect()}
+    assert kept == {k for k, *_ in rows} | {2000 + k for k in range(len(weak))}
+    # A few mislabelled texts neither lower the level nor let their language in.
+    lied = docs.unionByName(make_docs([(3000 + k, FOREIGN[0], "en") for k in range(2)]))
+    assert min(language.train(lied).levels) > 0.5
+
+
 TEXTS = [
     "Hello, world. It's 3.14, isn't it?", "a b ́x", "x\x1cy\x85z DON'T İstanbul ΑΣ ΑΣ, foo", "", "  a\t\tb\n\n",
     "<|endoftext|> a<|startoftext|>b", "Ärger, ÀÉ. x_. y., 1.5. a.. b ..", "Σ. J̌, Á.", "xy  z",
