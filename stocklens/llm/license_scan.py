@@ -6,7 +6,8 @@ ones of all templates form an inverted index. All hashes of a text are looked up
 agreement of ``GRAM + WINDOW - 1`` words is found. Those that it holds vote for (template, offset);
 offsets close to each other are one candidate, which is aligned with the template inside a band
 around them: words match or not, and skipped words cost, so that other words in between split no
-match. Reported is how much of the template is covered, and the span in the text.
+match. One candidate may hold a notice many times: what the found spans leave of it is aligned again
+until nothing is covered enough. Reported is how much of the template is covered, and the span in the text.
 
 A match counts if it covers ``MIN_COVERAGE`` of the template. Of matches that overlap in the text
 the one with most matched words stays, then the better covered, then the first by name.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -47,6 +49,12 @@ def _winnow(codes: np.ndarray) -> np.ndarray:
     return np.unique(last + np.arange(len(views)))
 
 
+def _apart(taken: list[tuple[int, int]], first: int, last: int) -> bool:
+    """Whether the span meets none of the sorted, disjoint ones."""
+    k = bisect_left(taken, (last + 1, 0))
+    return k == 0 or taken[k - 1][1] < first
+
+
 class Index:
     """The templates' words, numbered, and the inverted index of their fingerprints."""
 
@@ -96,18 +104,19 @@ class Index:
                 run[1] = offset
         return [(t, low, high) for t, (low, high) in out]
 
-    def align(self, ids: np.ndarray, t: int, low: int, high: int) -> tuple[int, int, int]:
-        """(matched words, first, last word in the text) of the best alignment in the band.
+    def align(
+        self, ids: np.ndarray, t: int, low: int, high: int, begin: int, end: int, least: float
+    ) -> list[tuple[int, int, int, int]]:
+        """(-matched words, -score, first, last word in the text), best first, of the alignments in
+        the band that lie from ``begin`` to before ``end`` and match ``least`` words.
 
         The score of a match is 2, of a word skipped on either side -1, and it never falls
         below zero: an agreement ends where too much lies between.
         """
         template = self.words[t]
-        begin = max(0, low - BAND)
-        end = min(len(ids), high + len(template) + BAND)
         part = ids[begin:end].tolist()
         width = high - low + 2 * BAND
-        best = (0, 0, 0, 0)  # matched, score, first, last
+        out = []
         before: dict[int, tuple[int, int, int]] = {}
         for i, word in enumerate(template):
             now: dict[int, tuple[int, int, int]] = {}
@@ -117,14 +126,36 @@ class Index:
                 if part[j] == word:
                     s, m, f = before.get(j - 1, (0, 0, j))
                     found = (s + 2, m + 1, f if m else j)
-                    if (found[1], found[0]) > best[:2]:
-                        best = (found[1], found[0], found[2], j)
+                    if found[1] >= least:
+                        out.append((-found[1], -found[0], found[2] + begin, j + begin))
                 for s, m, f in (before.get(j, (0, 0, j)), now.get(j - 1, (0, 0, j))):
                     if s - 1 > found[0]:
                         found = (s - 1, m, f)
                 now[j] = found
             before = now
-        return best[0], best[2] + begin, best[3] + begin
+        # Among equals the one that ends earliest in the template, then in the text.
+        return sorted(out, key=lambda x: x[:2])
+
+    def matches(
+        self, ids: np.ndarray, t: int, low: int, high: int, min_coverage: float
+    ) -> list[tuple[int, int, int]]:
+        """(matched words, first, last word in the text) of all matches of a candidate, apart."""
+        size = len(self.words[t])
+        out, least = [], max(1.0, min_coverage * size - 1e-9)
+        left = [(max(0, low - BAND), min(len(ids), high + size + BAND))]
+        while left:
+            begin, end = left.pop()
+            if end - begin < least:
+                continue
+            taken = []
+            for matched, _, first, last in self.align(ids, t, low, high, begin, end, least):
+                if _apart(taken, first, last):
+                    insort(taken, (first, last))
+                    out.append((-matched, first, last))
+            if taken:
+                edges = [begin, *(x for a, b in taken for x in (a, b + 1)), end]
+                left += zip(edges[::2], edges[1::2], strict=True)
+        return out
 
     def scan(self, text: str, min_coverage: float) -> list[tuple[str, int, int, int, float]]:
         """(licence, start, end, matched words, coverage), by start."""
@@ -133,14 +164,12 @@ class Index:
         ids = np.array([number(m[0].lower(), 0) for m in words], np.int64)
         found = []
         for t, low, high in self.candidates(ids):
-            matched, first, last = self.align(ids, t, low, high)
-            coverage = matched / len(self.words[t])
-            if coverage >= min_coverage:
-                found.append((-matched, -coverage, self.names[t], first, last))
+            for matched, first, last in self.matches(ids, t, low, high, min_coverage):
+                found.append((-matched, -matched / len(self.words[t]), self.names[t], first, last))
         out, taken = [], []
         for matched, coverage, name, first, last in sorted(found):
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
+            if _apart(taken, first, last):
+                insort(taken, (first, last))
                 out.append((name, words[first].start(), words[last].end(), -matched, -coverage))
         return sorted(out, key=lambda x: x[1])
 

@@ -140,3 +140,16 @@ def test_license_table(make_docs):
     assert got == [("1", "Apache-2.0", 1.0), ("1", "MIT", 1.0), ("1", "MIT", 1.0), ("None", "MIT", 1.0)]
     assert license_scan.license_scan(docs.limit(0)).count() == 0
     assert license_scan.license_scan(docs, {}).count() == 0
+
+
+def test_repeated_notices():
+    index = license_scan.Index(TEMPLATES)
+    for notice in (TEMPLATES["MIT#2"], TEMPLATES["MIT#3"], "Licensed under CC BY 4.0.", TEMPLATES["ISC"]):
+        for prefix in ("", "package "):
+            lines = [prefix + notice] * 10
+            got = index.scan("\n".join(lines), 0.75)
+            assert len(got) == 10 and {m[4] for m in got} == {1.0}
+            step = len(lines[0]) + 1
+            assert [m[1] // step for m in got] == [(m[2] - 1) // step for m in got] == list(range(10))
+    mixed = "\n".join([TEMPLATES["MIT#2"], "Released under the MIT", TEMPLATES["MIT#3"]] * 4)
+    assert [m[3] for m in index.scan(mixed, 0.75)] == [5, 4, 5] * 4
