@@ -9,15 +9,18 @@ import public_tokenizers
 
 from stocklens.llm import (
     decontaminate,
+    fingerprints,
     html_extract,
     language,
     license_scan,
     line_dedup,
     near_dup,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
     sharding,
+    vector_codes,
 )
 from stocklens.llm.common import read
 
@@ -68,6 +71,60 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents")).drop("n_confirmed")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(read(spark, sf_dir, "documents"))
+    return periodic_runs.summary(periodic_runs.detect(docs))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """k-means of the parts written out round by round, with plain distances to every entry."""
+
+    def near(k: int) -> str:
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT r, p, min_by(e, (far, e)) AS e, min(far) AS far FROM (
+    SELECT r, p, e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS far
+    FROM c JOIN b{k} b USING (p, d) GROUP BY r, p, e)
+  GROUP BY r, p
+)"""
+
+    def moved(k: int) -> str:
+        return f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.d, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT p, d, e, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM c JOIN a{k} USING (r, p) GROUP BY p, d, e) m USING (p, d, e)
+)"""
+
+    steps = ",".join(f"{near(k)},{moved(k)}" for k in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS MATERIALIZED (
+  SELECT r, d, d * {parts} // (max(d) OVER () + 1) AS p, x FROM (
+    SELECT r, unnest(range(len(embedding))) AS d,
+      unnest(list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT)) AS x FROM v)
+), b0 AS MATERIALIZED (
+  SELECT p, d, r - 1 AS e, x FROM c WHERE r <= {entries}
+),{steps},{near(rounds)}, coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error
+  FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, d)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (r)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,11 +138,15 @@ QUERIES = {
         op8_line_dedup,
         op9_license_scans,
         op10_secret_scans,
+        op11_document_fingerprints,
+        op12_periodic_runs,
+        op13_vector_codes,
     )
 }
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _vector_codes_sql(),
     "op4_benchmark_decontamination": r"""
 WITH dw AS (
   SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
