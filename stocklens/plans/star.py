@@ -6,8 +6,7 @@ without a global ordering and a rerun gives the same keys.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +30,15 @@ from stocklens.operators.abc import abc_extract
 from stocklens.operators.sales import sales_anchor
 from stocklens.operators.suppliers import TIERS, supplier_scores
 from stocklens.plans.extracts import daily_demand_rate, inventory_measures, stock_health, with_line_amounts
+from stocklens.plans.versions import first_versions, key_name
 from stocklens.sources.tables import Tables
 
 # Performance labels share the tier bounds.
 PERFORMANCE = ["Excellent", "Good", "Fair"]
-# A version key holds the day its version starts in the last five digits.
-DAYS_RANGE = 100_000
 # The key of members that a dimension does not have.
 UNKNOWN = -1
 
 
-def version_key(business_key: str, effective: Column) -> Column:
-    days = F.datediff(effective, F.lit("1970-01-01").cast("date"))
-    return (F.col(business_key).cast("bigint") * DAYS_RANGE + days).alias(business_key.replace("_id", "_key"))
-
-
 def _key_date(key: str | Column) -> Column:
     c = F.col(key) if isinstance(key, str) else key
     return F.to_date(c.cast("string"), "yyyyMMdd")
@@ -88,28 +81,17 @@ def order_calendar(t: Tables) -> DataFrame:
     return dim_date(span)
 
 
-def _versioned(df: DataFrame, business_key: str, effective: Column) -> DataFrame:
-    """First version of each row: key, start date, open end."""
-    return df.select(
-        version_key(business_key, effective),
-        "*",
-        effective.alias("effective_date"),
-        F.lit(None).cast("date").alias("expiration_date"),
-        F.lit(True).alias("is_current"),
-    )
-
-
 def product_versions(t: Tables, effective: Column) -> DataFrame:
     """Product ids with their current key: all that a fact load needs."""
-    return _versioned(t("products", "product_id"), "product_id", effective)
+    return first_versions(t("products", "product_id"), "product_id", effective)
 
 
 def customer_versions(t: Tables, effective: Column) -> DataFrame:
-    return _versioned(t("customers", "customer_id"), "customer_id", effective)
+    return first_versions(t("customers", "customer_id"), "customer_id", effective)
 
 
 def supplier_versions(t: Tables, effective: Column) -> DataFrame:
-    return _versioned(t("suppliers", "supplier_id"), "supplier_id", effective)
+    return first_versions(t("suppliers", "supplier_id"), "supplier_id", effective)
 
 
 def dim_product(t: Tables, effective: Column) -> DataFrame:
@@ -149,7 +131,7 @@ def dim_product(t: Tables, effective: Column) -> DataFrame:
             "is_active",
         )
     )
-    return _versioned(rows, "product_id", effective)
+    return first_versions(rows, "product_id", effective)
 
 
 def dim_supplier(t: Tables, effective: Column, lookback_days: int = 365) -> DataFrame:
@@ -169,7 +151,7 @@ def dim_supplier(t: Tables, effective: Column, lookback_days: int = 365) -> Data
             "is_preferred", "is_active",
         )
     )
-    return _versioned(rows, "supplier_id", effective)
+    return first_versions(rows, "supplier_id", effective)
 
 
 def dim_customer(t: Tables, effective: Column) -> DataFrame:
@@ -177,7 +159,7 @@ def dim_customer(t: Tables, effective: Column) -> DataFrame:
         "customers", "customer_id", "customer_code", "customer_name", "customer_type", "city", "state",
         "country", "credit_limit", "is_active",
     )
-    return _versioned(rows, "customer_id", effective)
+    return first_versions(rows, "customer_id", effective)
 
 
 def dim_warehouse(t: Tables, regions: Mapping[str, str] | None = None) -> DataFrame:
@@ -205,46 +187,6 @@ def dim_warehouse(t: Tables, regions: Mapping[str, str] | None = None) -> DataFr
     )
 
 
-def scd2_merge(
-    dim: DataFrame, updates: DataFrame, business_key: str, tracked: Sequence[str], effective: Column
-) -> DataFrame:
-    """Apply a snapshot of changed rows to a versioned dimension.
-
-    A current row whose tracked columns differ (NULL-safe) is closed at ``effective`` and a
-    new version opened; new business keys are added; rows without an update stay. Merging
-    the same snapshot again changes nothing, and a second change on the same day replaces
-    that day's version. Untracked columns keep the current value, NULL for a new key.
-    """
-    key_column = business_key.replace("_id", "_key")
-    cur, upd = F.col("cur"), F.col("upd")
-    changed = reduce(lambda a, b: a | b, [~cur[c].eqNullSafe(upd[c]) for c in tracked])
-    current = dim.filter("is_current").select(F.col(business_key).alias("_k"), F.struct(*dim.columns).alias("cur"))
-    wanted = updates.select(F.col(business_key).alias("_k"), F.struct(business_key, *tracked).alias("upd"))
-
-    versioning = {
-        key_column: version_key("_k", effective).cast("bigint"),
-        business_key: upd[business_key],
-        "effective_date": effective,
-        "expiration_date": F.lit(None).cast("date"),
-        "is_current": F.lit(True),
-    }
-    types = dict(dim.dtypes)
-
-    def field(c: str) -> Column:
-        value = versioning.get(c, upd[c] if c in tracked else cur[c])
-        return value.cast(types[c]).alias(c)
-
-    opened = F.struct(*[field(c) for c in dim.columns])
-    closed = cur.withField("expiration_date", effective).withField("is_current", F.lit(False))
-    rows = (
-        F.when(upd.isNull() | (cur.isNotNull() & ~changed), F.array(cur))
-        .when(cur.isNull() | (cur["effective_date"] == effective), F.array(opened))
-        .otherwise(F.array(closed, opened))
-    )
-    merged = current.join(wanted, "_k", "full_outer").select(F.explode(rows).alias("row")).select("row.*")
-    return dim.filter(~F.col("is_current")).unionByName(merged)
-
-
 # ---- facts ----------------------------------------------------------------------------
 
 
@@ -254,7 +196,7 @@ def _with_key(rows: DataFrame, dim: DataFrame, business_key: str, day: str) -> D
     Days before a member's first version belong to that version; a row without a day gets the
     current one. Dimensions without versions are looked up by their business key alone.
     """
-    key = business_key.replace("_id", "_key")
+    key = key_name(business_key)
     keys = dim.select(F.col(business_key).alias("_member"), F.col(key).alias("_key"), *_validity(dim))
     match = F.col(business_key) == F.col("_member")
     if "effective_date" in dim.columns:
@@ -453,72 +395,106 @@ def fact_stockouts(t: Tables, products: DataFrame, warehouses: DataFrame) -> Dat
 
 
 def agg_sales_monthly(sales: DataFrame) -> DataFrame:
-    """Sales per month, product and warehouse; orders counted after folding to one row each."""
+    """Sales per month, product and warehouse; orders counted after folding to one row each.
+
+    Lines without an order are a part of the sums and of no order.
+    """
     year = F.floor(F.col("date_key") / 10000).cast("int")
     month = (F.floor(F.col("date_key") / 100) % 100).cast("int")
     grain = ["year", "month", "product_key", "warehouse_key"]
     sums = ["quantity_ordered", "gross_amount", "net_amount", "cost_amount", "profit_amount"]
-    net = F.sum("net_amount")
+    net, orders = F.sum("net_amount"), F.count("sales_order_number")
     return (
         sales.withColumns({"year": year, "month": month})
         .groupBy(*grain, "sales_order_number")
         .agg(*[F.sum(c).alias(c) for c in sums])
         .groupBy(*grain)
         .agg(
-            F.count("*").alias("total_orders"),
+            orders.alias("total_orders"),
             F.sum("quantity_ordered").alias("total_quantity"),
             F.sum("gross_amount").cast("decimal(24,2)").alias("gross_revenue"),
             net.cast("decimal(24,2)").alias("net_revenue"),
             F.sum("cost_amount").cast("decimal(24,2)").alias("total_cost"),
             F.sum("profit_amount").cast("decimal(24,2)").alias("total_profit"),
-            round_to(ratio(net, F.count("*")), 2).cast("decimal(24,2)").alias("avg_order_value"),
+            round_to(ratio(net, orders), 2).cast("decimal(24,2)").alias("avg_order_value"),
         )
     )
 
 
-def agg_supplier_performance(purchases: DataFrame) -> DataFrame:
-    """Supplier figures per quarter of the order date; deliveries counted per order."""
+def supplier_months(purchases: DataFrame) -> DataFrame:
+    """Sums per supplier and month of the order date, deliveries counted per order.
+
+    Rows of several months add up: counts, sums, and sums of squares of whole days.
+    """
     day = _key_date("order_date_key")
-    grain = ["year", "quarter", "supplier_key"]
+    grain = ["year", "month", "supplier_key"]
     per_order = (
-        purchases.withColumns({"year": F.year(day), "quarter": F.quarter(day)})
+        purchases.withColumns({"year": F.year(day), "month": F.month(day)})
         .groupBy(*grain, "purchase_order_number")
         .agg(
             F.sum("quantity_ordered").alias("ordered"),
             F.sum("quantity_received").alias("received"),
             F.sum("total_cost").alias("spend"),
             F.bool_and("is_on_time").alias("on_time"),
-            F.max("actual_lead_days").alias("lead"),
+            F.max("actual_lead_days").cast("bigint").alias("lead"),
         )
     )
-    on_time, late = F.count_if("on_time"), F.count_if(~F.col("on_time"))
     return per_order.groupBy(*grain).agg(
-        F.count("*").alias("total_orders"),
-        F.sum("ordered").alias("total_units_ordered"),
-        F.sum("received").alias("total_units_received"),
-        F.sum("spend").cast("decimal(24,2)").alias("total_spend"),
-        on_time.alias("on_time_deliveries"),
-        late.alias("late_deliveries"),
-        round_to(pct(on_time, on_time + late), 2).cast("decimal(14,2)").alias("on_time_rate"),
-        round_to(pct(F.sum("received"), F.sum("ordered")), 2).cast("decimal(14,2)").alias("fill_rate"),
-        round_to(F.avg("lead"), 2).cast("decimal(14,2)").alias("avg_lead_time"),
-        round_to(F.stddev_samp("lead"), 2).cast("decimal(14,2)").alias("lead_time_std_dev"),
+        F.count("*").alias("orders"),
+        F.sum("ordered").alias("ordered"),
+        F.sum("received").alias("received"),
+        F.sum("spend").alias("spend"),
+        F.count_if("on_time").alias("on_time"),
+        F.count_if(~F.col("on_time")).alias("late"),
+        F.count("lead").alias("delivered"),
+        F.sum("lead").alias("lead"),
+        F.sum((F.col("lead") * F.col("lead")).cast("decimal(20,0)")).alias("lead_squares"),
     )
 
 
-def refresh_abc(sales: DataFrame, as_of: DateLike | Column = None) -> DataFrame:
-    """ABC classes of a year's net sales for one analysis date, the fact's last day if not given."""
-    if isinstance(as_of, Column):
-        today = as_of
-    elif as_of is None:
-        today = sales.agg(_key_date(F.max("date_key"))).scalar()
-    else:
-        today = F.lit(str(as_of)).cast("date")
-    revenue = (
-        sales.filter(F.col("date_key") >= date_key(F.add_months(today, -12)))
-        .groupBy("product_key")
-        .agg(F.sum("net_amount").alias("total_revenue"))
+def supplier_quarters(months: DataFrame) -> DataFrame:
+    """Supplier figures per quarter from the sums of its months."""
+    sums = ["orders", "ordered", "received", "spend", "on_time", "late", "delivered", "lead", "lead_squares"]
+    added = (
+        months.withColumn("quarter", F.ceil(F.col("month") / 3).cast("int"))
+        .groupBy("year", "quarter", "supplier_key")
+        .agg(*[F.sum(c).alias(c) for c in sums])
     )
+    n, total = F.col("delivered"), F.col("lead").cast("decimal(18,0)")
+    spread = (F.col("lead_squares").cast("decimal(24,0)") * n.cast("decimal(12,0)") - total * total).cast("double")
+    deviation = F.when(n > 1, F.sqrt(spread / (n.cast("double") * (n - 1))))
+    return added.select(
+        "year",
+        "quarter",
+        "supplier_key",
+        F.col("orders").alias("total_orders"),
+        F.col("ordered").alias("total_units_ordered"),
+        F.col("received").alias("total_units_received"),
+        F.col("spend").cast("decimal(24,2)").alias("total_spend"),
+        F.col("on_time").alias("on_time_deliveries"),
+        F.col("late").alias("late_deliveries"),
+        round_to(pct("on_time", F.col("on_time") + F.col("late")), 2).cast("decimal(14,2)").alias("on_time_rate"),
+        round_to(pct("received", "ordered"), 2).cast("decimal(14,2)").alias("fill_rate"),
+        round_to(ratio("lead", "delivered"), 2).cast("decimal(14,2)").alias("avg_lead_time"),
+        round_to(deviation, 2).cast("decimal(14,2)").alias("lead_time_std_dev"),
+    )
+
+
+def agg_supplier_performance(purchases: DataFrame) -> DataFrame:
+    """Supplier figures per quarter of the order date; deliveries counted per order."""
+    return supplier_quarters(supplier_months(purchases))
+
+
+def _analysis_day(sales: DataFrame, as_of: DateLike | Column) -> Column:
+    if isinstance(as_of, Column):
+        return as_of
+    if as_of is None:
+        return sales.agg(_key_date(F.max("date_key"))).scalar()
+    return F.lit(str(as_of)).cast("date")
+
+
+def _abc_of(revenue: DataFrame, today: Column) -> DataFrame:
+    """ABC classes of (product_key, total_revenue)."""
     ranked = running_totals(revenue, "total_revenue", "product_key", ties="share", position=True)
     share = ratio("running", "grand_total")
     return ranked.select(
@@ -532,6 +508,32 @@ def refresh_abc(sales: DataFrame, as_of: DateLike | Column = None) -> DataFrame:
     )
 
 
+def refresh_abc(sales: DataFrame, as_of: DateLike | Column = None) -> DataFrame:
+    """ABC classes of a year's net sales for one analysis date, the fact's last day if not given.
+
+    A fact in monthly folders is read from the folder of the first day on.
+    """
+    today = _analysis_day(sales, as_of)
+    first = F.add_months(today, -12)
+    year = F.col("date_key") >= date_key(first)
+    if "month_key" in sales.columns:
+        year &= F.col("month_key") >= F.year(first) * 100 + F.month(first)
+    revenue = sales.filter(year).groupBy("product_key").agg(F.sum("net_amount").alias("total_revenue"))
+    return _abc_of(revenue, today)
+
+
+def refresh_abc_from_months(monthly: DataFrame, sales: DataFrame, as_of: DateLike | Column = None) -> DataFrame:
+    """The same classes from the monthly sales: of the lines only the first month's are read."""
+    today = _analysis_day(sales, as_of)
+    first = F.add_months(today, -12)
+    begin = F.year(first) * 100 + F.month(first)
+    whole = monthly.filter(F.col("year") * 100 + F.col("month") > begin)
+    whole = whole.filter(F.col("year") >= F.year(first)).select("product_key", F.col("net_revenue").alias("net_amount"))
+    part = sales.filter((F.col("month_key") == begin) & (F.col("date_key") >= date_key(first)))
+    both = part.select("product_key", "net_amount").unionByName(whole)
+    return _abc_of(both.groupBy("product_key").agg(F.sum("net_amount").alias("total_revenue")), today)
+
+
 def save_by_partition(df: DataFrame, path: str, *partition: str) -> None:
     """Write so that a rerun replaces its own partitions instead of appending to them."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.functions.expr import DateLike
 from stocklens.operators.inventory import inventory_status
 from stocklens.operators.sales import daily_sales, sales_anchor
 from stocklens.operators.suppliers import supplier_performance
-from stocklens.plans import star
+from stocklens.plans import loads, star, versions
+from stocklens.sources.schemas import STAR
 from stocklens.sources.tables import Tables, register_views, write_extract
 
-# Date key and second clustering key of each fact.
-FACT_CLUSTERING = {
-    "fact_sales": ("date_key", "product_key"),
-    "fact_inventory_daily": ("date_key", "warehouse_key"),
-    "fact_purchases": ("order_date_key", "supplier_key"),
-    "fact_stockouts": ("start_date_key", "product_key"),
-}
+#: Date key and second clustering key of the stock snapshots.
+STOCK_CLUSTERING = ("date_key", "warehouse_key")
 
 
 def operational_views(t: Tables) -> dict[str, DataFrame]:
@@ -88,10 +84,6 @@ def build_star(
     def keep(name: str, df: DataFrame) -> None:
         out[name] = spark.read.parquet(write_extract(df, f"{folder}/{name}"))
 
-    def keep_fact(name: str, df: DataFrame) -> None:
-        star.save_fact(df, f"{folder}/{name}", *FACT_CLUSTERING[name], whole=True)
-        out[name] = spark.read.parquet(f"{folder}/{name}")
-
     keep("dim_date", _calendar(t, today))
     keep("dim_product", star.dim_product(t, opening))
     keep("dim_supplier", star.dim_supplier(t, opening))
@@ -99,66 +91,150 @@ def build_star(
     keep("dim_warehouse", star.dim_warehouse(t, regions))
     products, suppliers = out["dim_product"], out["dim_supplier"]
     customers, sites = out["dim_customer"], out["dim_warehouse"]
-    keep_fact("fact_sales", star.fact_sales(t, products, customers, sites))
-    keep_fact("fact_inventory_daily", star.fact_inventory_daily(t, products, sites, as_of))
-    keep_fact("fact_purchases", star.fact_purchases(t, products, suppliers, sites))
-    keep_fact("fact_stockouts", star.fact_stockouts(t, products, sites))
-    keep("agg_sales_monthly", star.agg_sales_monthly(out["fact_sales"]))
-    keep("agg_supplier_performance", star.agg_supplier_performance(out["fact_purchases"]))
-    classes = f"{folder}/agg_abc_classification"
-    star.save_by_partition(star.refresh_abc(out["fact_sales"], as_of), classes, "analysis_date")
-    out["agg_abc_classification"] = spark.read.parquet(classes)
+    for load, build in _facts(products, suppliers, customers, sites):
+        out[load.name] = loads.load_fact(t, folder, load, build)
+    stock = f"{folder}/fact_inventory_daily"
+    star.save_fact(star.fact_inventory_daily(t, products, sites, as_of), stock, *STOCK_CLUSTERING, whole=True)
+    out["fact_inventory_daily"] = spark.read.parquet(stock)
+    save_aggregates(folder, out["fact_sales"], out["fact_purchases"])
+    return out | _aggregates(spark, folder, out["fact_sales"], as_of)
+
+
+Build = Callable[[Tables], DataFrame]
+
+
+def _facts(
+    products: DataFrame, suppliers: DataFrame, customers: DataFrame, sites: DataFrame
+) -> list[tuple[loads.FactLoad, Build]]:
+    """The facts that are loaded by months, and what makes them of the source tables."""
+    return [
+        (loads.SALES, lambda t: star.fact_sales(t, products, customers, sites)),
+        (loads.PURCHASES, lambda t: star.fact_purchases(t, products, suppliers, sites)),
+        (loads.STOCKOUTS, lambda t: star.fact_stockouts(t, products, sites)),
+    ]
+
+
+def _save_months(df: DataFrame, path: str, period: str, whole: bool = False) -> None:
+    """Write an aggregate in folders of its year and ``period``; without ``whole``, replace those in it."""
+    mode = "static" if whole else "dynamic"
+    writer = df.repartition("year", period).write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy("year", period).parquet(path)
+
+
+def save_aggregates(folder: str, sales: DataFrame, bought: DataFrame) -> None:
+    """Write the monthly sales and the supplier quarters of whole facts, and what they merge from."""
+    _save_months(star.agg_sales_monthly(sales), f"{folder}/agg_sales_monthly", "month", whole=True)
+    sums = f"{folder}/supplier_months"
+    _save_months(star.supplier_months(bought), sums, "month", whole=True)
+    figures = star.supplier_quarters(bought.sparkSession.read.parquet(sums))
+    _save_months(figures, f"{folder}/agg_supplier_performance", "quarter", whole=True)
+
+
+def read_star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A star table with its columns in their declared order."""
+    df = spark.read.parquet(f"{folder}/{name}")
+    return df.select(STAR[name].names) if name in STAR else df
+
+
+def _aggregates(spark: SparkSession, folder: str, sales: DataFrame, as_of: DateLike) -> dict[str, DataFrame]:
+    """The stored aggregates, after the ABC classes of ``as_of`` are made from the monthly sales."""
+    out = {name: read_star_table(spark, folder, name) for name in ("agg_sales_monthly", "agg_supplier_performance")}
+    classes = star.refresh_abc_from_months(out["agg_sales_monthly"], sales, as_of)
+    star.save_by_partition(classes, f"{folder}/agg_abc_classification", "analysis_date")
+    out["agg_abc_classification"] = spark.read.parquet(f"{folder}/agg_abc_classification")
     return out
 
 
-# Columns of a versioned dimension that are not tracked: the key and the versioning itself.
-_VERSIONING = {"effective_date", "expiration_date", "is_current"}
+def _of_months(df: DataFrame, months: Iterable[loads.Month]) -> DataFrame:
+    """Rows of a table in monthly folders; the others are not listed."""
+    dated = [m for m in months if m is not None]
+    own = F.col("month_key").isin(dated)
+    return df.where(own | F.col("month_key").isNull() if None in months else own)
 
 
-def _replace(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite a table that ``df`` reads, by way of a complete copy beside it.
+def update_aggregates(spark: SparkSession, folder: str, sold: set[loads.Month], bought: set[loads.Month]) -> None:
+    """Bring the aggregates of touched months up to date; other months are neither read nor written.
 
-    A run that breaks off between the two writes leaves the whole new table in the copy.
+    Sales per month are made anew from the months' lines. Supplier quarters are merged from
+    the sums of their months, of which only the touched ones are made from lines.
     """
+    if sold:
+        fact = _of_months(spark.read.parquet(f"{folder}/fact_sales"), sold)
+        _replace_periods(star.agg_sales_monthly(fact), f"{folder}/agg_sales_monthly", "month", {_period(m, 1) for m in sold})
+    if bought:
+        fact = _of_months(spark.read.parquet(f"{folder}/fact_purchases"), bought)
+        sums = f"{folder}/supplier_months"
+        _replace_periods(star.supplier_months(fact), sums, "month", {_period(m, 1) for m in bought})
+        quarters = {_period(m, 3) for m in bought}
+        stored = spark.read.parquet(sums)
+        touched = F.lit(False)
+        for year, quarter in quarters:
+            if year is None:
+                touched |= F.col("year").isNull()
+            else:
+                touched |= (F.col("year") == year) & F.col("month").between(3 * quarter - 2, 3 * quarter)
+        figures = star.supplier_quarters(stored.where(touched))
+        _replace_periods(figures, f"{folder}/agg_supplier_performance", "quarter", quarters)
+
+
+def _period(month: loads.Month, size: int) -> tuple[int | None, int | None]:
+    """(year, number of the period of ``size`` months) of yyyymm."""
+    return (None, None) if month is None else (month // 100, -(-(month % 100) // size))
+
+
+def _replace_periods(df: DataFrame, path: str, period: str, wanted: set[tuple[int | None, int | None]]) -> None:
+    """Replace the folders ``wanted``; those for which ``df`` has no row are left empty."""
+    _save_months(df, path, period)
     spark = df.sparkSession
-    copy = spark.read.parquet(write_extract(df, f"{path}.next"))
-    return spark.read.parquet(write_extract(copy, path))
+    there = {tuple(r) for r in df.select("year", period).distinct().collect()}
+    for year, number in wanted - there:
+        default = "__HIVE_DEFAULT_PARTITION__"
+        place = f"{path}/year={default if year is None else year}/{period}={default if number is None else number}"
+        spark.createDataFrame([], df.drop("year", period).schema).write.mode("overwrite").parquet(place)
+
+
+def _merged(
+    spark: SparkSession, folder: str, name: str, snapshot: DataFrame, business_key: str, effective: Column
+) -> tuple[DataFrame, loads.Moved]:
+    """A stored dimension after a snapshot was merged, and what that means for facts."""
+    before = spark.read.parquet(f"{folder}/{name}")
+    own = {business_key, versions.key_name(business_key), *versions.VERSIONING}
+    tracked = [c for c in before.columns if c not in own]
+    merged = versions.scd2_merge(before, snapshot, business_key, tracked, effective)
+    copy = spark.read.parquet(write_extract(merged, f"{folder}/{name}.next"))
+    change = versions.opened_since(before, copy, business_key).first()
+    moved = loads.Moved(business_key, change.moved_from, change.has_new)
+    return spark.read.parquet(write_extract(copy, f"{folder}/{name}")), moved
 
 
 def update_star(
     t: Tables,
     folder: str,
-    since: DateLike,
+    since: DateLike = None,
     as_of: DateLike = None,
     regions: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Load what changed into a star that :func:`build_star` wrote below ``folder``.
 
-    Members whose columns changed get a new version from ``as_of`` on, and versions that closed
-    stay. Of the facts, the months from the one of ``since`` on are written anew, each row with
-    the keys valid on its date; earlier months are not touched. Aggregates read the facts.
+    Members whose columns changed get a new version from ``as_of`` on, also where that lies
+    before versions they have already, and versions that closed stay. Of the facts, the months
+    are written anew whose sources changed since the last load, however far back, or whose keys
+    moved; from ``since`` on, if given, all. Each row has the keys valid on its date. The stock of
+    ``as_of`` joins the snapshots of other days. Aggregates are brought up to date for the same
+    months. A run that breaks off can be repeated.
     """
     spark = t("products", "product_id").sparkSession
     today = sales_anchor(t, as_of)
-    month = F.trunc(F.lit(str(since)).cast("date"), "month")
-    first_key = F.year(month) * 10000 + F.month(month) * 100 + 1
     out: dict[str, DataFrame] = {}
+    moved: list[loads.Moved] = []
 
     def merge(name: str, snapshot: DataFrame, business_key: str) -> None:
-        stored = spark.read.parquet(f"{folder}/{name}")
-        own = {business_key, business_key.replace("_id", "_key")} | _VERSIONING
-        tracked = [c for c in stored.columns if c not in own]
-        merged = star.scd2_merge(stored, snapshot, business_key, tracked, today)
-        out[name] = _replace(merged, f"{folder}/{name}")
+        out[name], change = _merged(spark, folder, name, snapshot, business_key, today)
+        moved.append(change)
 
     def keep(name: str, df: DataFrame) -> None:
         out[name] = spark.read.parquet(write_extract(df, f"{folder}/{name}"))
 
-    def keep_months(name: str, df: DataFrame) -> None:
-        key = FACT_CLUSTERING[name][0]
-        star.save_fact(df.where(F.col(key) >= first_key), f"{folder}/{name}", *FACT_CLUSTERING[name])
-        out[name] = spark.read.parquet(f"{folder}/{name}")
-
     keep("dim_date", _calendar(t, today))
     merge("dim_product", star.dim_product(t, today), "product_id")
     merge("dim_supplier", star.dim_supplier(t, today), "supplier_id")
@@ -166,13 +242,24 @@ def update_star(
     keep("dim_warehouse", star.dim_warehouse(t, regions))
     products, suppliers = out["dim_product"], out["dim_supplier"]
     customers, sites = out["dim_customer"], out["dim_warehouse"]
-    keep_months("fact_sales", star.fact_sales(t, products, customers, sites))
-    keep_months("fact_inventory_daily", star.fact_inventory_daily(t, products, sites, as_of))
-    keep_months("fact_purchases", star.fact_purchases(t, products, suppliers, sites))
-    keep_months("fact_stockouts", star.fact_stockouts(t, products, sites))
-    keep("agg_sales_monthly", star.agg_sales_monthly(out["fact_sales"]))
-    keep("agg_supplier_performance", star.agg_supplier_performance(out["fact_purchases"]))
-    classes = f"{folder}/agg_abc_classification"
-    star.save_by_partition(star.refresh_abc(out["fact_sales"], as_of), classes, "analysis_date")
-    out["agg_abc_classification"] = spark.read.parquet(classes)
-    return out
+    first = int(str(since)[:4]) * 100 + int(str(since)[5:7]) if since is not None else None
+    touched: dict[str, set[loads.Month]] = {}
+    for load, build in _facts(products, suppliers, customers, sites):
+        touched[load.name] = loads.update_fact(t, folder, load, build, moved, first)
+        out[load.name] = spark.read.parquet(f"{folder}/{load.name}")
+    out["fact_inventory_daily"] = _snapshot(t, folder, products, sites, as_of)
+    update_aggregates(spark, folder, touched["fact_sales"], touched["fact_purchases"])
+    return out | _aggregates(spark, folder, out["fact_sales"], as_of)
+
+
+def _snapshot(t: Tables, folder: str, products: DataFrame, sites: DataFrame, as_of: DateLike) -> DataFrame:
+    """Add the stock of one day to the stored days, in place of that day's if it is there."""
+    path = f"{folder}/fact_inventory_daily"
+    spark = products.sparkSession
+    fresh = star.fact_inventory_daily(t, products, sites, as_of)
+    day = sales_anchor(t, as_of)
+    number, month = F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day), loads.month_number(day)
+    others = spark.read.parquet(path).where((F.col("month_key") == month) & (F.col("date_key") != number))
+    both = spark.read.parquet(write_extract(others.drop("month_key").unionByName(fresh), f"{path}.next"))
+    star.save_fact(both, path, *STOCK_CLUSTERING)
+    return spark.read.parquet(path)

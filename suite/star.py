@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions.expr import days_between, round_int
 from stocklens.operators.sales import sales_anchor
-from stocklens.plans import star
+from stocklens.plans import star, versions
 from stocklens.sources.tables import Tables
 from suite.core import SHARED, band, query, rated, rounded
 
@@ -135,8 +135,8 @@ def _observed_lead_times(t: Tables) -> DataFrame:
 def _scd2(t: Tables) -> DataFrame:
     first = F.date_sub(_day(t), 365)
     rows = t("products", "product_id", "sku", "lead_time_days")
-    return star.scd2_merge(
-        star._versioned(rows, "product_id", first), _observed_lead_times(t), "product_id", ["lead_time_days"], _day(t)
+    return versions.scd2_merge(
+        versions.first_versions(rows, "product_id", first), _observed_lead_times(t), "product_id", ["lead_time_days"], _day(t)
     )
 
 
@@ -241,8 +241,8 @@ def _two_versions(t: Tables) -> DataFrame:
     """Products with a second version where the observed lead time differs, 400 days back."""
     opened = F.date_sub(_day(t), 400)
     rows = t("products", "product_id", "sku", "lead_time_days")
-    first = star._versioned(rows, "product_id", F.date_sub(_day(t), 2000))
-    return star.scd2_merge(first, _observed_lead_times(t), "product_id", ["lead_time_days"], opened)
+    first = versions.first_versions(rows, "product_id", F.date_sub(_day(t), 2000))
+    return versions.scd2_merge(first, _observed_lead_times(t), "product_id", ["lead_time_days"], opened)
 
 
 def _sales_by_version(t: Tables) -> DataFrame:
@@ -283,7 +283,7 @@ query(
            COUNT(DISTINCT sales_order_number) AS total_orders, SUM(quantity_ordered) AS total_quantity,
            SUM(gross_amount) AS gross_revenue, SUM(net_amount) AS net_revenue, SUM(cost_amount) AS total_cost,
            SUM(profit_amount) AS total_profit,
-           CAST(SUM(net_amount) AS DOUBLE) / COUNT(DISTINCT sales_order_number) AS avg_order_value
+           CAST(SUM(net_amount) AS DOUBLE) / NULLIF(COUNT(DISTINCT sales_order_number), 0) AS avg_order_value
     FROM fact_sales GROUP BY 1, 2, 3, 4""",
 )
 

@@ -8,6 +8,7 @@ from shop import TODAY, by, shop
 from pyspark.sql import functions as F
 
 from stocklens.plans import boards, extracts, star
+from stocklens.plans.versions import first_versions, scd2_merge
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +74,7 @@ def test_dim_date_is_inclusive(spark):
 
 def _dim(spark, t):
     rows = t("products", "product_id", "sku", "lead_time_days")
-    return star._versioned(rows, "product_id", _effective(dt.date(2025, 1, 1)))
+    return first_versions(rows, "product_id", _effective(dt.date(2025, 1, 1)))
 
 
 def _updates(spark, rows):
@@ -83,7 +84,7 @@ def _updates(spark, rows):
 def test_scd2_merge(spark, t):
     dim = _dim(spark, t)
     updates = _updates(spark, [(0, "SKU-0", 9), (1, "SKU-1", 4), (77, "NEW", None)])
-    merged = star.scd2_merge(dim, updates, "product_id", ["sku", "lead_time_days"], _effective())
+    merged = scd2_merge(dim, updates, "product_id", ["sku", "lead_time_days"], _effective())
     versions = {}
     for r in merged.collect():
         versions.setdefault(r.product_id, []).append((r.lead_time_days, r.effective_date, r.expiration_date, r.is_current))
@@ -98,10 +99,10 @@ def test_scd2_merge(spark, t):
 
 def test_scd2_merge_again_changes_nothing(spark, t):
     updates = _updates(spark, [(0, "SKU-0", 9), (77, "NEW", 1)])
-    once = star.scd2_merge(_dim(spark, t), updates, "product_id", ["sku", "lead_time_days"], _effective())
-    twice = star.scd2_merge(once, updates, "product_id", ["sku", "lead_time_days"], _effective())
+    once = scd2_merge(_dim(spark, t), updates, "product_id", ["sku", "lead_time_days"], _effective())
+    twice = scd2_merge(once, updates, "product_id", ["sku", "lead_time_days"], _effective())
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
-    corrected = star.scd2_merge(
+    corrected = scd2_merge(
         twice, _updates(spark, [(0, "SKU-0", 8)]), "product_id", ["sku", "lead_time_days"], _effective()
     )
     assert sorted(r.lead_time_days for r in corrected.collect() if r.product_id == 0) == [4, 8]
@@ -205,9 +206,9 @@ def test_facts_take_the_version_valid_on_their_date(spark, t):
     dates = sorted({r.order_date for r in t("sales_orders").collect()})
     turn = dates[-1]
     rows = t("products", "product_id", "sku", "lead_time_days")
-    first = star._versioned(rows, "product_id", _effective(turn - dt.timedelta(days=1)))
+    first = first_versions(rows, "product_id", _effective(turn - dt.timedelta(days=1)))
     updates = rows.withColumn("lead_time_days", F.lit(50))
-    both = star.scd2_merge(first, updates, "product_id", ["lead_time_days"], _effective(turn))
+    both = scd2_merge(first, updates, "product_id", ["lead_time_days"], _effective(turn))
     _p, customers, _s, sites = _keys(t)
     got = star.fact_sales(t, both, customers, sites)
     named = got.join(both.select("product_key", "lead_time_days"), "product_key")
