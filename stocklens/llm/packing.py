@@ -16,6 +16,7 @@ further columns are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -35,44 +36,93 @@ LENGTH, END = 2048, 0
 IDS = np.dtype("<u4")
 #: A private-use character between parts that are encoded together.
 MARKER = "\ue000"
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?!\S)")
-BLOCK, PASSES, CACHE = 3000, 40, 600_000
+#: Pieces, and words remembered at a time; those met since are twice as many at most.
+BLOCK, CACHE = 3000, 400_000
 #: Sequences filled less than this share go into the second deal.
 SETTLED = 0.995
 PIECE = "piece int, start long, length long, ids_crc32 long"
+#: Letters, single digits and runs of signs, which the tokenizer sets apart; no apostrophes.
+_SPLIT = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_RUN = re.compile(r"[a-zà-öø-ÿ]+")
+# How tokenizers that split so are described in their files.
+_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
 
 
-def _parts(text: str) -> list[str]:
-    try:
-        text.encode("latin-1")  # then it holds no combining marks and no letters that need context
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
-    return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+def _words(text: str) -> list[str]:
+    """What stands between blanks and line ends, in lower case where that is sure."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")  # then it holds no combining marks and no letters that need context
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+    return text.lower().replace("\n", " ").split(" ")
 
 
 class Encoder:
     """Token ids of whole texts, as bytes, remembering those of words met before.
 
-    The tokenizer always breaks at white space, so the ids of a text are those of its parts
-    between blanks and line ends, one after the other. It also sets a lone full stop or comma
-    apart from the word before, and lower-cases; doing both here first, where the outcome is
-    sure to be the same, makes more words known. New parts are encoded many at a time with a
-    marker between them; its ids stand for its bytes, which no part without it can yield.
+    A tokenizer that splits at white space, and letters from digits and signs, gives a text the
+    ids of its parts, one after the other. So words are taken apart, and the ids of each new run of
+    letters are found once, many runs at a time, by a tokenizer that has the same vocabulary and
+    does nothing else; the tokens that end words tell the runs apart. Words with other characters
+    go through the whole tokenizer, with a marker between them whose ids stand for its bytes,
+    which no word without it can yield. Other kinds of tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        self.marker = self._ids(MARKER)
+        self.older: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_words = _splits_words(spec)
+        if self.by_words:
+            self.marker = self._ids(MARKER)
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            added = [re.escape(x["content"]) for x in spec["added_tokens"]]
+            self.added = re.compile("|".join(added) or "(?!)").search
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(_WORD_END)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, IDS)
-
-    def _learn(self, words: list[str]) -> None:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, IDS)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of ``words``."""
+        runs = [w for w in words if w.isalpha() and _RUN.fullmatch(w)]
+        self._learn_runs(runs)
+        mixed = words.difference(runs)
+        split = [(w, _SPLIT.findall(w.lower() if w.isascii() else w)) for w in mixed]
+        apart = [(w, parts) for w, parts in split if sum(map(len, parts)) == len(w) and not self.added(w)]
+        parts = set().union(*(parts for _, parts in apart)).difference(self.known)
+        self._learn_runs([p for p in parts if p.isalpha()])
+        self._learn_others([p for p in parts if not p.isalpha()])
+        known = self.known
+        self._learn_others(list(mixed.difference(w for w, _ in apart)))
+        for w, parts in apart:
+            known[w] = b"".join([known[p] for p in parts])
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for at in range(0, len(runs), 2000):
+            some = runs[at : at + 2000]
+            (found,) = self.plain.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, IDS)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                self._learn_others(some)
+                continue
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            self.known.update((r, raw[a:b]) for r, a, b in zip(some, [0, *stops], stops))
+
+    def _learn_others(self, words: list[str]) -> None:
         plain = [w for w in words if MARKER not in w]
         self.known.update((w, self._ids(w).tobytes()) for w in words if MARKER in w)
         width = len(self.marker)
@@ -89,14 +139,32 @@ class Encoder:
                 begin = stop + width
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_parts(x) for x in texts]
-        missing = set().union(*parts).difference(self.known)
-        if len(self.known) + len(missing) > CACHE:
-            self.known = {}
-            missing = set().union(*parts)
-        self._learn(sorted(missing))
         stop = np.array([END], IDS).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)) + stop, IDS) for p in parts]
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array([*x.ids, END], IDS) for x in found]
+        words = [_words(x) for x in texts]
+        missing = set().union(*words).difference(self.known)
+        if len(self.known) > CACHE:
+            # What the last texts used is found among the older words and stays.
+            self.known, self.older = {}, self.known
+            missing = set().union(*words)
+        self.known.update((w, self.older[w]) for w in missing & self.older.keys())
+        self._learn(missing - self.older.keys())
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)) + stop, IDS) for w in words]
+
+
+def _splits_words(spec: dict) -> bool:
+    """Whether a tokenizer is of the kind whose words can be encoded one by one."""
+    steps, rules = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    steps, rules = steps.get("normalizers", []), rules.get("pretokenizers", [])
+    return (
+        ([x["type"] for x in steps], [x["type"] for x in rules]) == _STEPS
+        and rules[0]["pattern"] == {"Regex": _RULE}
+        and rules[0]["invert"]
+        and spec["model"].get("end_of_word_suffix") == _WORD_END
+        and all(not x["content"].isalpha() and not re.search(r"\s", x["content"]) for x in spec["added_tokens"])
+    )
 
 
 @lru_cache(maxsize=1)
@@ -161,20 +229,18 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = PASSES) -> None:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> None:
     """Local search in place; emptied bins stay as empty lists.
 
-    It ends when nothing improves, or when no fewer bins could hold the pieces.
+    Every step raises the sum of squared fills, which is bounded. It ends when none does, or when
+    no fewer bins could hold the pieces.
     """
     fill = [sum(lengths[k] for k in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    for _ in range(passes):
-        if sum(1 for x in fill if x) <= least:
-            return
-        under = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
-        if len(under) < 2:
-            return
+    changed = True
+    while changed and sum(1 for x in fill if x) > least:
         changed = False
+        under = [b for b in range(len(bins)) if 0 < fill[b] < capacity]
         for donor in sorted(under, key=lambda b: fill[b]):
             while bins[donor] and (step := _best_step(donor, under, bins, fill, lengths, capacity)):
                 target, given, taken = step
@@ -184,40 +250,52 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: in
                 fill[donor] -= moved
                 fill[target] += moved
                 changed = True
-        if not changed:
-            return
+
+
+def _choices(members: list[int], lengths: list[int]) -> tuple[list[tuple[int, tuple]], list[tuple[int, tuple]]]:
+    """Single pieces and pairs by their length, shortest first, one of each length.
+
+    A bin has few different lengths, as they add up to its capacity at most, so these are few
+    however many pieces it holds.
+    """
+    by_size: dict[int, list[int]] = {}
+    for k in members:
+        by_size.setdefault(lengths[k], []).append(k)
+    sizes = sorted(by_size)
+    pairs: dict[int, tuple] = {}
+    for i, x in enumerate(sizes):
+        if len(by_size[x]) > 1:
+            pairs.setdefault(2 * x, tuple(by_size[x][:2]))
+        for y in sizes[i + 1 :]:
+            pairs.setdefault(x + y, (by_size[x][0], by_size[y][0]))
+    return [(x, (by_size[x][0],)) for x in sizes], sorted(pairs.items())
 
 
 def _best_step(donor, under, bins, fill, lengths, capacity):
-    """The step from ``donor`` that raises the squared fill most: (bin, pieces given, taken)."""
-    mine = bins[donor]
-    gifts = [((k,), lengths[k]) for k in mine]
-    if len(mine) <= 32:
-        gifts += [
-            ((k, m), lengths[k] + lengths[m]) for i, k in enumerate(mine) for m in mine[i + 1 :]
-        ]
-    best, gain = None, 0
+    """The step from ``donor`` that raises the squared fill most: (bin, pieces given, taken).
+
+    Moving d tokens changes the sum of squares by 2 d (target - donor + d), so into one bin the
+    largest d that fits is best, and the room of a bin bounds what it can bring.
+    """
+    singles, pairs = _choices(bins[donor], lengths)
+    one_sizes, two_sizes = [x for x, _ in singles], [x for x, _ in pairs]
+    hopeful = []
     for target in under:
         free = capacity - fill[target]
-        # Moving d tokens changes the sum of squares by 2 d (target - donor + d).
-        if target == donor or free <= 0 or 2 * free * (fill[target] - fill[donor] + free) <= gain:
-            continue
-        theirs = bins[target]
-        trades = [((), 0), *(((k,), lengths[k]) for k in theirs)]
-        doubles = (
-            [((k, m), lengths[k] + lengths[m]) for i, k in enumerate(theirs) for m in theirs[i + 1 :]]
-            if len(theirs) <= 32
-            else []
-        )
-        for given, size in gifts:
-            for taken, back in trades if len(given) == 2 else chain(trades, doubles):
-                d = size - back
-                if 0 < d <= free and (value := 2 * d * (fill[target] - fill[donor] + d)) > gain:
-                    if len(given) == 2 and not taken:
-                        continue
-                    best, gain = (target, given, taken), value
-                    if d == free and fill[target] + d == capacity and len(under) > 400:
-                        return best
+        if target != donor and free > 0 and (most := 2 * free * (fill[target] - fill[donor] + free)) > 0:
+            hopeful.append((-most, target))
+    best, gain = None, 0
+    for most, target in sorted(hopeful):
+        if -most <= gain:
+            break
+        free = capacity - fill[target]
+        ones, twos = _choices(bins[target], lengths)
+        tries = [(singles, one_sizes, [(0, ()), *ones, *twos]), (pairs, two_sizes, ones)]
+        for gifts, sizes, backs in tries:
+            for back, taken in backs:
+                at = bisect.bisect_right(sizes, free + back) - 1
+                if at >= 0 and (d := sizes[at] - back) > 0 and (value := 2 * d * (fill[target] - fill[donor] + d)) > gain:
+                    best, gain = (target, gifts[at][1], taken), value
     return best
 
 

@@ -17,6 +17,7 @@ from stocklens.llm import language, packing
 from conftest import WORDS, sentence  # isort: skip
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+OTHER = "byte_bpe_50k.json"
 
 
 def test_kernel_is_cosine_of_presence():
@@ -108,6 +109,62 @@ def test_ids_are_the_tokenizers():
         assert again([text])[0].tolist() == ids.tolist()
 
 
+def test_ids_of_odd_words_and_a_small_memory(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 50)
+    tokenizer = Tokenizer.from_file(PATH)
+    encode = packing.Encoder(PATH)
+    assert encode.by_words
+    rng = random.Random(1)
+    letters = "abé'sSTx.,!_-09 \n\t²İßœ́漢я|<>"
+    for _ in range(40):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path(OTHER)
+    tokenizer = Tokenizer.from_file(path)
+    encode = packing.Encoder(path)
+    for text, ids in zip(TEXTS, encode(TEXTS), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_best_step_by_brute_force(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([12, 40])
+    lengths, bins = [], []
+    for _ in range(rng.randint(2, 5)):
+        room, own = capacity, []
+        for _ in range(rng.randint(1, 40)):
+            size = rng.randint(1, rng.choice([2, 9]))
+            if size <= room:
+                room -= size
+                own.append(len(lengths))
+                lengths.append(size)
+        bins.append(own)
+    fill = [sum(lengths[k] for k in b) for b in bins]
+    under = [b for b in range(len(bins)) if fill[b] < capacity]
+    for donor in under:
+        gains = [0]
+        for target in under:
+            if target == donor:
+                continue
+            mine, theirs = ([lengths[k] for k in bins[b]] for b in (donor, target))
+            two = lambda x: [x[i] + x[j] for i in range(len(x)) for j in range(i)]
+            moves = [a - b for a in mine for b in [0, *theirs, *two(theirs)]] + [a - b for a in two(mine) for b in theirs]
+            gains += [2 * d * (fill[target] - fill[donor] + d) for d in moves if 0 < d <= capacity - fill[target]]
+        step = packing._best_step(donor, under, bins, fill, lengths, capacity)
+        if step is None:
+            assert max(gains) <= 0
+            continue
+        target, given, taken = step
+        d = sum(lengths[k] for k in given) - sum(lengths[k] for k in taken)
+        assert set(given) <= set(bins[donor]) and set(taken) <= set(bins[target])
+        assert 2 * d * (fill[target] - fill[donor] + d) == max(gains)
+
+
 def check_packed(rows, texts, length):
     tokenizer = Tokenizer.from_file(PATH)
     by_doc, by_sequence = {}, {}
