@@ -44,6 +44,7 @@ PIECE = "piece int, start long, length long, ids_crc32 long"
 #: Letters, single digits and runs of signs, which the tokenizer sets apart; no apostrophes.
 _SPLIT = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _RUN = re.compile(r"[a-zà-öø-ÿ]+")
+_SIGNS = ",.;:!?"
 # How tokenizers that split so are described in their files.
 _STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -82,6 +83,7 @@ class Encoder:
         self.by_words = _splits_words(spec)
         if self.by_words:
             self.marker = self._ids(MARKER)
+            self.signs = {x: self._ids(x).tobytes() for x in _SIGNS}
             self.plain = Tokenizer.from_file(path)
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -97,16 +99,29 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Remember the ids of ``words``."""
-        runs = [w for w in words if w.isalpha() and _RUN.fullmatch(w)]
-        self._learn_runs(runs)
-        mixed = words.difference(runs)
+        known = self.known
+        runs: set[str] = set()
+        ended, mixed = [], []
+        for w in words:
+            base = w if w.isalpha() else w[:-1]
+            if not (base.islower() and base.isascii() and base.isalpha() or _RUN.fullmatch(base)):
+                mixed.append(w)
+            elif base is w:
+                runs.add(w)
+            elif w[-1] in self.signs:
+                ended.append(w)
+                runs.add(base)
+            else:
+                mixed.append(w)
         split = [(w, _SPLIT.findall(w.lower() if w.isascii() else w)) for w in mixed]
         apart = [(w, parts) for w, parts in split if sum(map(len, parts)) == len(w) and not self.added(w)]
-        parts = set().union(*(parts for _, parts in apart)).difference(self.known)
-        self._learn_runs([p for p in parts if p.isalpha()])
+        parts = set().union(*(parts for _, parts in apart)).difference(known)
+        runs.update(p for p in parts if p.isalpha())
+        self._learn_runs(list(runs.difference(known)))
         self._learn_others([p for p in parts if not p.isalpha()])
-        known = self.known
-        self._learn_others(list(mixed.difference(w for w, _ in apart)))
+        self._learn_others(list(set(mixed).difference(w for w, _ in apart)))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.signs[w[-1]]
         for w, parts in apart:
             known[w] = b"".join([known[p] for p in parts])
 
@@ -120,7 +135,7 @@ class Encoder:
                 self._learn_others(some)
                 continue
             raw, stops = ids.tobytes(), (4 * stops).tolist()
-            self.known.update((r, raw[a:b]) for r, a, b in zip(some, [0, *stops], stops))
+            self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
     def _learn_others(self, words: list[str]) -> None:
         plain = [w for w in words if MARKER not in w]
@@ -144,14 +159,22 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array([*x.ids, END], IDS) for x in found]
         words = [_words(x) for x in texts]
-        missing = set().union(*words).difference(self.known)
         if len(self.known) > CACHE:
-            # What the last texts used is found among the older words and stays.
+            # What the next texts use is found among the older words and stays.
             self.known, self.older = {}, self.known
-            missing = set().union(*words)
-        self.known.update((w, self.older[w]) for w in missing & self.older.keys())
-        self._learn(missing - self.older.keys())
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)) + stop, IDS) for w in words]
+        found = [list(map(self.known.get, own)) for own in words]
+        missing = {w for own, ids in zip(words, found) if None in ids for w, x in zip(own, ids) if x is None}
+        older = missing & self.older.keys()
+        self.known.update((w, self.older[w]) for w in older)
+        self._learn(missing - older)
+        known = self.known
+        out = []
+        for own, ids in zip(words, found):
+            if None in ids:
+                ids = [known[w] if x is None else x for w, x in zip(own, ids)]
+            ids.append(stop)
+            out.append(np.frombuffer(b"".join(ids), IDS))
+        return out
 
 
 def _splits_words(spec: dict) -> bool:
