@@ -1,9 +1,10 @@
 """Running totals over a whole table, and numbering, without sending a table to one task.
 
 An ordered window without a partition key puts every row in one partition. Here the rows are
-summed per distinct value first; the values fall into buckets of buckets by a monotone function
-of the value, and each level is offset by the sums of the buckets before it. Every window is
-bounded by the number of buckets a level can have, not by the table. One form serves all sizes.
+summed per distinct value first, and per block of keys where equal values need an order. These
+cells fall into buckets by a monotone function of the value; a window runs inside each bucket, and
+its sums are offset by those of the buckets before it. No window is over rows of the whole table,
+or over all rows of a value. One form serves all sizes.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: log(1 + |value|), below 90 for any DECIMAL(38), times these: at most 2^18 coarse buckets, 2^20
-#: fine ones in each, and neighbouring doubles, some millions, in a fine one.
-COARSE, FINE = 1 << 10, 1 << 30
+#: log(1 + |value|), below 90 for any DECIMAL(38), times this: at most 2^18 buckets, each with the
+#: distinct values that differ by a thousandth.
+COARSE = 1 << 10
 #: A 64-bit key has 2^20 coarse blocks, each 2^20 fine ones, each 2^24 keys.
 COARSE_BITS, FINE_BITS = 44, 24
 LAST = (1 << 62) - 1
@@ -32,38 +33,40 @@ def _sum_before(column: str, order: str | Column, *partition: str) -> Column:
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
-def _values(df: DataFrame, value: str) -> DataFrame:
-    """(_value, _s, _rows_before, _sum_before, grand_total), one row per distinct value."""
-    values = (
-        df.groupBy(F.col(value).alias("_value"))
+def _cells(df: DataFrame, value: str, key: str | None) -> DataFrame:
+    """Sums of the rows before each cell of equal values, in the order of values, then keys.
+
+    A cell is a distinct value, or with a ``key`` a value and a block of keys, so that equal values
+    are cells of bounded size too. Columns: _value, _kb, _rows_before, _sum_before, _sum_upto (the
+    value's whole group included), grand_total.
+    """
+    block = F.lit(0).cast("bigint") if key is None else F.shiftright(F.col(key).cast("bigint"), FINE_BITS)
+    cells = (
+        df.groupBy(F.col(value).alias("_value"), block.alias("_kb"))
         .agg(F.count("*").alias("_n"), F.coalesce(F.sum(value), F.lit(0)).alias("_s"))
-        .withColumns({"_c": _descending("_value", COARSE), "_f": _descending("_value", FINE)})
+        .withColumn("_c", _descending("_value", COARSE))
     )
-    fine = values.groupBy("_c", "_f").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
-    coarse = fine.groupBy("_c").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    coarse = cells.groupBy("_c").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     coarse = coarse.select(  # at most 2^18 rows
         "_c",
         _sum_before("_n", "_c").alias("_n0"),
         _sum_before("_s", "_c").alias("_s0"),
         F.sum("_s").over(W.partitionBy()).alias("grand_total"),
     )
-    fine = fine.select(
-        "_c", "_f", _sum_before("_n", "_f", "_c").alias("_n1"), _sum_before("_s", "_f", "_c").alias("_s1")
-    )
     down = F.col("_value").desc_nulls_last()
-    return (
-        values.withColumns(
-            {"_n2": _sum_before("_n", down, "_c", "_f"), "_s2": _sum_before("_s", down, "_c", "_f")}
-        )
-        .join(fine, ["_c", "_f"])
-        .join(coarse, "_c")
-        .select(
-            "_value",
-            "_s",
-            (F.col("_n0") + F.col("_n1") + F.col("_n2")).alias("_rows_before"),
-            (F.col("_s0") + F.col("_s1") + F.col("_s2")).alias("_sum_before"),
-            "grand_total",
-        )
+    here = W.partitionBy("_c").orderBy(down, "_kb").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy("_c").orderBy(down).rangeBetween(W.unboundedPreceding, 0)
+    before = lambda c, window: F.coalesce(F.sum(c).over(window), F.lit(0))
+    inside = cells.select(
+        "_value", "_kb", "_c", before("_n", here).alias("_n1"), before("_s", here).alias("_s1"), before("_s", group).alias("_s2")
+    )
+    return inside.join(coarse, "_c").select(
+        "_value",
+        "_kb",
+        (F.col("_n0") + F.col("_n1")).alias("_rows_before"),
+        (F.col("_s0") + F.col("_s1")).alias("_sum_before"),
+        (F.col("_s0") + F.col("_s2")).alias("_sum_upto"),
+        "grand_total",
     )
 
 
@@ -108,10 +111,18 @@ def running_totals(
     """
     if ties not in ("share", "split"):
         raise ValueError(ties)
-    rows = _numbered(df, value, tiebreak, "_pos") if position or ties == "split" else df
-    joined = rows.join(_values(df, value), F.col(value).eqNullSafe(F.col("_value")))
+    numbered = position or ties == "split"
+    rows = df
+    if numbered:
+        block = F.shiftright(F.col(tiebreak).cast("bigint"), FINE_BITS)
+        inside = F.row_number().over(W.partitionBy(value, "_block").orderBy(tiebreak))
+        rows = df.withColumn("_block", block).withColumn("_pos", inside)
+    match = F.col(value).eqNullSafe(F.col("_value"))
+    if numbered:
+        match &= F.col("_block").eqNullSafe(F.col("_kb"))
+    joined = rows.join(_cells(df, value, tiebreak if numbered else None), match)
     if ties == "share":
-        running = F.col("_sum_before") + F.col("_s")
+        running = F.col("_sum_upto")
     else:
         place = F.col("_pos").cast("decimal(12,0)") if "decimal" in dict(df.dtypes)[value] else F.col("_pos")
         running = F.col("_sum_before") + F.coalesce(place * F.col(value), F.lit(0))

@@ -6,9 +6,18 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    IntegralType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
 from stocklens.sources.schemas import OPERATIONAL
 
@@ -85,37 +94,116 @@ def with_generated(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:
+#: Columns that hold a CSV row as it stands in the file, and why it does not fit.
+RECORD, REASONS = "_record", "_reasons"
+
+
+def _csv_columns(spark: SparkSession, path: str, declared: StructType) -> list[str]:
+    """The columns that the header names, among them all the declared ones."""
+    named = spark.read.option("header", True).csv(path).columns
+    unknown = [f.name for f in declared if f.name not in named]
+    if unknown:
+        raise ValueError(f"{path} lacks the columns {unknown}")
+    return named
+
+
+def _typed(name: str, kind: DataType) -> Column:
+    """A text as its declared type, NULL where it is not of that type."""
+    text = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, BooleanType):
+        return F.when(F.lower(text).isin("true", "false"), F.lower(text) == "true")
+    typed = text.try_cast(kind)
+    if isinstance(kind, (DateType, TimestampNTZType)):
+        return F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), typed)
+    return typed
+
+
+def _checked_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of a CSV file as typed columns, the record, and the reasons why it does not fit."""
+    declared, path = OPERATIONAL[name], f"{folder}/{name}.csv"
+    named = _csv_columns(spark, path, declared)
+    texts = StructType([*[StructField(c, StringType()) for c in named], StructField(RECORD, StringType())])
+    reader = spark.read.schema(texts).option("header", True).option("mode", "PERMISSIVE")
+    raw = reader.option("columnNameOfCorruptRecord", RECORD).csv(path)
+    # Spark keeps the record only of a row that has too few or too many values.
+    torn = F.when(F.col(RECORD).isNotNull(), F.lit(f"not {len(named)} values"))
+    faults = [
+        F.when(F.col(f"`{f.name}`").isNotNull() & _typed(f.name, f.dataType).isNull(), F.lit(f"{f.name}: no {f.dataType.simpleString()}"))
+        for f in declared
+        if not isinstance(f.dataType, StringType)
+    ]
+    reasons = F.when(torn.isNotNull(), F.array(torn)).otherwise(F.array_compact(F.array(*faults)))
+    values = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in named])
+    typed = [
+        F.col(f"`{f.name}`") if isinstance(f.dataType, StringType) else _typed(f.name, f.dataType) for f in declared
+    ]
+    return raw.select(
+        *[c.alias(f.name) for c, f in zip(typed, declared, strict=True)],
+        F.coalesce(RECORD, values).alias(RECORD),
+        reasons.alias(REASONS),
+    )
+
+
+def read_rejects(spark: SparkSession, folder: str, names: Iterable[str] | None = None) -> DataFrame:
+    """(table_name, record, reasons) of the CSV rows that :func:`read_table` leaves out with ``bad="skip"``."""
+    out = spark.createDataFrame([], "table_name string, record string, reasons array<string>")
+    for name in names or OPERATIONAL:
+        try:
+            rows = _checked_csv(spark, folder, name).where(F.size(REASONS) > 0)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        out = out.unionByName(
+            rows.select(F.lit(name).alias("table_name"), F.col(RECORD).alias("record"), F.col(REASONS).alias("reasons"))
+        )
+    return out
+
+
+def _kind(declared: DataType, found: DataType) -> DataType:
+    """The type of a Parquet column: as declared, but keys and counts may be wider, and keys texts."""
+    if isinstance(declared, IntegralType) and isinstance(found, (IntegralType, StringType)):
+        return found
+    return declared
+
+
+def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "csv", bad: str = "fail") -> DataFrame:
     """One operational table with its declared types: CSV with a header, or Parquet.
 
     CSV columns are taken by their names in the header, whatever their order; a declared column
-    that the header lacks, or a value that does not fit its type, fails the query.
+    that the header lacks fails. A row with a value that does not fit its type, or with too few or
+    too many values, fails the query, or is left out with ``bad="skip"``; :func:`read_rejects` has
+    those rows with their reasons.
     """
     if name not in OPERATIONAL:
         raise KeyError(f"unknown table {name!r}")
+    if bad not in ("fail", "skip"):
+        raise ValueError(bad)
     declared = OPERATIONAL[name]
+    if fmt == "csv" and bad == "skip":
+        rows = _checked_csv(spark, folder, name).where(F.size(REASONS) == 0)
+        return with_generated(name, rows.select(declared.names))
     if fmt == "csv":
         path = f"{folder}/{name}.csv"
-        named = spark.read.option("header", True).csv(path).columns
         by_name = {f.name: f for f in declared}
-        unknown = [c for c in by_name if c not in named]
-        if unknown:
-            raise ValueError(f"{path} lacks the columns {unknown}")
-        fields = [by_name.get(c, StructField(c, StringType())) for c in named]
+        fields = [by_name.get(c, StructField(c, StringType())) for c in _csv_columns(spark, path, declared)]
         raw = spark.read.schema(StructType(fields)).option("header", True).option("mode", "FAILFAST").csv(path)
         return with_generated(name, raw.select(declared.names))
     raw = spark.read.format(fmt).load(f"{folder}/{name}.{fmt}")
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in declared if f.name in raw.columns]
+    have = {f.name: f.dataType for f in raw.schema}
+    typed = [F.col(f.name).cast(_kind(f.dataType, have[f.name])).alias(f.name) for f in declared if f.name in have]
     further = [c for c in raw.columns if c not in declared.names]
     return with_generated(name, raw.select(*typed, *further))
 
 
-def open_tables(spark: SparkSession, folder: str, fmt: str = "csv", names: Iterable[str] | None = None) -> Tables:
+def open_tables(
+    spark: SparkSession, folder: str, fmt: str = "csv", names: Iterable[str] | None = None, bad: str = "fail"
+) -> Tables:
     """All operational tables present in ``folder``; absent ones are left out."""
     sources: dict[str, Source] = {}
     for name in names or OPERATIONAL:
         try:
-            sources[name] = Source.of(read_table(spark, folder, name, fmt))
+            sources[name] = Source.of(read_table(spark, folder, name, fmt, bad))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -1,4 +1,4 @@
-"""Writers, readers, views and whole loads: what is written is read back and counted."""
+"""Writers, readers, views and whole loads: what is written is read back, counted and compared by value."""
 
 from __future__ import annotations
 
@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens import open_tables
+from stocklens.operators.sales import sales_anchor
 from stocklens.plans import extracts, warehouse
-from stocklens.sources.tables import Tables
-from suite.core import query
+from stocklens.plans import star as star_plan
+from stocklens.sources.schemas import OPERATIONAL
+from stocklens.sources.tables import Tables, insert_into, read_rejects, write_extract
+from suite import boards, extracts as _extract_queries, inventory, suppliers  # noqa: F401 (their SQL)
+from suite.core import REGISTRY, query, row_digest
+from suite.orders import with_ledger
 from suite.star import REGIONS
 
 
@@ -25,84 +30,201 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared}/{uuid.uuid4()}"
 
 
-def _counts(frames: dict[str, DataFrame]) -> DataFrame:
+def _digests(frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]]) -> DataFrame:
+    """(name, row_count, digest) of what was read back; texts of a CSV are cast to their kinds."""
     out = None
     for name, df in frames.items():
-        one = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("name"), "row_count")
+        one = df.agg(F.count("*").alias("row_count"), F.expr(row_digest(kinds[name], sql=False)).alias("digest"))
+        one = one.select(F.lit(name).alias("name"), "row_count", "digest")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _digests_sql(selects: dict[str, str], kinds: dict[str, dict[str, str]]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{name}' AS name, COUNT(*) AS row_count, {row_digest(kinds[name], sql=True)} AS digest FROM ({sql})"
+        for name, sql in selects.items()
+    )
+
+
+_OUT = "name:s row_count:i digest:i"
+
+
+def _kinds(columns: str) -> dict[str, str]:
+    return dict(c.split(":") for c in columns.split())
+
+
 def _spark(t: Tables) -> SparkSession:
     return t("products", "product_id").sparkSession
 
 
-def _exported(t: Tables) -> DataFrame:
-    spark = _spark(t)
-    paths = extracts.export_all(t, _folder(spark))
-    return _counts({name: spark.read.parquet(path) for name, path in paths.items()})
+_EXTRACTS = {n: f"{n}_extract" for n in ("sales", "inventory", "supplier", "timeseries")}
+_EXTRACT_KINDS = {n: REGISTRY[q].columns for n, q in _EXTRACTS.items()}
+_EXTRACT_SQL = _digests_sql({n: REGISTRY[q].sql for n, q in _EXTRACTS.items()}, _EXTRACT_KINDS)
 
 
-query(
-    "export_all",
-    "name:s row_count:i",
-    _exported,
-    """
-    SELECT 'sales' AS name, COUNT(*) AS row_count FROM sales_order_items
-    UNION ALL SELECT 'inventory', COUNT(*) FROM inventory
-    UNION ALL SELECT 'supplier', COUNT(DISTINCT supplier_id) FROM purchase_orders
-    UNION ALL SELECT 'timeseries', COUNT(*) FROM (
-      SELECT DISTINCT order_date, warehouse_id, category_of FROM sales_order_items
-      JOIN sales_orders USING (so_id) JOIN products USING (product_id))""",
-)
+def _exported(t: Tables, fmt: str) -> DataFrame:
+    spark = _spark(t)
+    paths = extracts.export_all(t, _folder(spark), fmt)
+    reader = spark.read.option("header", True).format(fmt)
+    return _digests({name: reader.load(path) for name, path in paths.items()}, _EXTRACT_KINDS)
+
+
+query("export_all", _OUT, lambda t: _exported(t, "parquet"), _EXTRACT_SQL)
+query("export_csv", _OUT, lambda t: _exported(t, "csv"), _EXTRACT_SQL)
+
+#: Columns of the tables that are written and read again; values a mapping computes in DOUBLE are left out.
+_TABLES = {
+    n: _kinds(c)
+    for n, c in {
+        "warehouses": "warehouse_id:i warehouse_code:s city:s capacity_units:i operating_cost_per_unit:m is_active:b",
+        "product_categories": "category_name:s",
+        "products": "product_id:i sku:s product_name:s unit_cost:m unit_price:m lead_time_days:i is_perishable:b",
+        "suppliers": "supplier_id:i supplier_code:s supplier_name:s payment_terms_days:i quality_rating:m is_preferred:b",
+        "product_suppliers": "product_id:i supplier_id:i unit_cost:m lead_time_days:i is_primary_supplier:b",
+        "customers": "customer_id:i customer_code:s customer_name:s state:s credit_limit:m",
+        "sales_orders": "so_id:i so_number:s customer_id:i warehouse_id:i order_date:d actual_ship_date:d status:s total_amount:m",
+        "sales_order_items": "so_item_id:s so_id:i product_id:i quantity_ordered:i quantity_shipped:i unit_price:m line_total:m",
+        "purchase_orders": "po_id:i po_number:s supplier_id:i order_date:d actual_delivery_date:d status:s total_amount:m",
+        "purchase_order_items": "po_item_id:s po_id:i product_id:i quantity_ordered:i quantity_received:i unit_cost:m",
+        "inventory": "inventory_id:i warehouse_id:i product_id:i quantity_on_hand:i quantity_available:i reorder_point:i",
+        "inventory_transactions": "transaction_id:s warehouse_id:i product_id:i quantity:i reference_id:s unit_cost:m transaction_date:d",
+        "stockout_events": "stockout_id:i warehouse_id:i product_id:i stockout_start_date:d lost_sales_amount:m root_cause:s",
+        "demand_forecasts": "product_id:i warehouse_id:i forecast_date:d forecast_period:s forecasted_quantity:i",
+    }.items()
+}
+_TABLE_SQL = {n: f"SELECT * FROM {'ledger_rows' if n == 'inventory_transactions' else n}" for n in _TABLES}
 
 
 def _reopened(t: Tables) -> DataFrame:
     spark = _spark(t)
     folder = _folder(spark)
-    for name in t.names():
-        t(name).write.parquet(f"{folder}/{name}.parquet")
+    whole = with_ledger(t)
+    for name in whole.names():
+        whole(name).write.parquet(f"{folder}/{name}.parquet")
     opened = open_tables(spark, folder, "parquet")
-    return _counts({name: opened(name) for name in opened.names()})
+    return _digests({name: opened(name) for name in opened.names()}, _TABLES)
+
+
+query("open_tables", _OUT, _reopened, _digests_sql(_TABLE_SQL, _TABLES))
+
+
+# ---- CSV, with rows that do not fit -------------------------------------------------------
+
+#: What is written in place of a value in some rows: the column, the rows by their key, the text.
+_SPOILT = {
+    "products": ("unit_cost", "product_id % 50 = 3", "n/a"),
+    "customers": ("credit_limit", "customer_id % 40 = 7", "1e99"),
+    "sales_orders": ("order_date", "so_id % 300 = 1", "31.12."),
+    "inventory": ("quantity_on_hand", "product_id % 60 = 2", "many"),
+}
+_CSV_KINDS = {n: _TABLES[n] for n in _SPOILT}
+
+
+def _spoilt_csv(t: Tables, folder: str) -> None:
+    for name, (column, rows, text) in _SPOILT.items():
+        declared = OPERATIONAL[name].names
+        have = t(name).withColumn(column, F.when(F.expr(rows), text).otherwise(F.col(column).cast("string")))
+        columns = [F.col(c) if c in have.columns else F.lit(None).cast("string").alias(c) for c in declared]
+        # Categories are long numbers here, wider than their declared type.
+        columns = [F.lit(1).alias(c) if c == "category_id" else col for c, col in zip(declared, columns, strict=True)]
+        write_extract(have.select(columns), f"{folder}/{name}.csv", "csv")
+
+
+def _csv(t: Tables) -> str:
+    folder = _folder(_spark(t))
+    _spoilt_csv(t, folder)
+    return folder
+
+
+def _csv_tables(t: Tables) -> DataFrame:
+    opened = open_tables(_spark(t), _csv(t), "csv", bad="skip")
+    return _digests({name: opened(name) for name in opened.names()}, _CSV_KINDS)
 
 
-_NAMES = [
-    "warehouses", "product_categories", "products", "suppliers", "product_suppliers", "customers",
-    "sales_orders", "sales_order_items", "purchase_orders", "purchase_order_items", "inventory",
-    "stockout_events", "demand_forecasts",
-]
 query(
-    "open_tables",
-    "name:s row_count:i",
-    _reopened,
-    "\nUNION ALL ".join(f"SELECT '{n}' AS name, COUNT(*) AS row_count FROM {n}" for n in _NAMES),
+    "csv_tables",
+    _OUT,
+    _csv_tables,
+    _digests_sql({n: f"SELECT * FROM {n} WHERE NOT ({rows})" for n, (_, rows, _) in _SPOILT.items()}, _CSV_KINDS),
 )
+query(
+    "csv_rejects",
+    "table_name:s reason:s rejected:i",
+    lambda t: read_rejects(_spark(t), _csv(t))
+    .select("table_name", F.explode("reasons").alias("reason"))
+    .groupBy("table_name", "reason")
+    .agg(F.count("*").alias("rejected")),
+    "\nUNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{c}: no {OPERATIONAL[n][c].dataType.simpleString()}' AS reason, COUNT(*) AS rejected "
+        f"FROM {n} WHERE {rows} HAVING COUNT(*) > 0"
+        for n, (c, rows, _) in _SPOILT.items()
+    ),
+)
+
+
+def _inserted(t: Tables) -> DataFrame:
+    """Purchase orders appended to a catalogue table in two parts, the columns of the second turned round."""
+    spark = _spark(t)
+    base = f"trips_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{_folder(spark)}'")
+    orders = t("purchase_orders")
+    insert_into(orders.where("status = 'Delivered'"), f"{base}.orders", ["status"])
+    insert_into(orders.where("status <> 'Delivered'").select(orders.columns[::-1]), f"{base}.orders", ["status"])
+    return _digests({"purchase_orders": spark.table(f"{base}.orders")}, _TABLES)
+
+
+query("insert_into", _OUT, _inserted, _digests_sql({"purchase_orders": "SELECT * FROM purchase_orders"}, _TABLES))
+
+
+# ---- the whole star -----------------------------------------------------------------------
+
+_STAR_TABLES = [
+    "dim_product", "dim_supplier", "dim_customer", "dim_warehouse", "fact_sales", "fact_purchases",
+    "fact_inventory_daily", "fact_stockouts", "agg_sales_monthly", "agg_supplier_performance",
+]
+_STAR_VIEWS = {
+    "v_inventory_status": "inventory_status", "v_supplier_performance": "supplier_performance",
+    "v_daily_sales": "daily_sales", "vw_sales_dashboard": "vw_sales_dashboard",
+    "vw_inventory_health": "vw_inventory_health", "vw_supplier_scorecard": "vw_supplier_scorecard",
+}
+
+
+def _star_kinds(name: str) -> dict[str, str]:
+    """Columns that do not depend on the day on which the versions begin."""
+    dated = ("product_key", "supplier_key", "customer_key", "effective_date")
+    return {c: k for c, k in REGISTRY[name].columns.items() if c not in dated}
+
+
+_STAR = {n: n for n in _STAR_TABLES} | _STAR_VIEWS
+_STAR_KINDS = {n: _star_kinds(q) for n, q in _STAR.items()}
 
 
 def _loaded(t: Tables) -> DataFrame:
     spark = _spark(t)
     star = warehouse.build_star(t, _folder(spark), regions=REGIONS)
     warehouse.register_all_views(t, star)
-    views = ["v_inventory_status", "v_supplier_performance", "vw_sales_dashboard", "vw_inventory_health"]
-    tables = [n for n in star if n.startswith(("dim_", "fact_")) and n != "dim_date"]
-    return _counts({**{n: star[n] for n in tables}, **{v: spark.table(v) for v in views}})
+    return _digests({**{n: star[n] for n in _STAR_TABLES}, **{v: spark.table(v) for v in _STAR_VIEWS}}, _STAR_KINDS)
+
+
+query("build_star", _OUT, _loaded, _digests_sql({n: REGISTRY[q].sql for n, q in _STAR.items()}, _STAR_KINDS))
 
 
+#: Stock rows that are missing before the dense form adds them.
+_SPARSE = "product_id % 9 <> 4 OR warehouse_id % 2 = 0"
 query(
-    "build_star",
-    "name:s row_count:i",
-    _loaded,
-    """
-    SELECT 'dim_product' AS name, COUNT(*) AS row_count FROM products
-    UNION ALL SELECT 'dim_supplier', COUNT(*) FROM suppliers
-    UNION ALL SELECT 'dim_customer', COUNT(*) FROM customers
-    UNION ALL SELECT 'dim_warehouse', COUNT(*) FROM warehouses
-    UNION ALL SELECT 'fact_sales', COUNT(*) FROM sales_order_items
-    UNION ALL SELECT 'fact_purchases', COUNT(*) FROM purchase_order_items
-    UNION ALL SELECT 'fact_inventory_daily', COUNT(*) FROM inventory
-    UNION ALL SELECT 'fact_stockouts', COUNT(*) FROM stockout_events
-    UNION ALL SELECT 'v_inventory_status', COUNT(*) FROM inventory
-    UNION ALL SELECT 'v_supplier_performance', COUNT(*) FROM suppliers
-    UNION ALL SELECT 'vw_sales_dashboard', COUNT(*) FROM sales_order_items
-    UNION ALL SELECT 'vw_inventory_health', COUNT(*) FROM inventory""",
+    "fact_inventory_dense",
+    "inventory_fact_key:s date_key:i product_key:i warehouse_key:i quantity_on_hand:i quantity_reserved:i "
+    "quantity_available:i inventory_value:m is_stockout:b",
+    lambda t: star_plan.fact_inventory_daily(
+        t.replaced(inventory=t("inventory").where(_SPARSE)),
+        star_plan.product_versions(t, sales_anchor(t)),
+        star_plan.dim_warehouse(t, REGIONS),
+        dense=True,
+    ),
+    f"""
+    SELECT f.* REPLACE (IF({_SPARSE}, quantity_on_hand, 0) AS quantity_on_hand, IF({_SPARSE}, quantity_reserved, 0) AS quantity_reserved,
+             IF({_SPARSE}, quantity_available, 0) AS quantity_available, IF({_SPARSE}, inventory_value, 0) AS inventory_value,
+             IF({_SPARSE}, is_stockout, TRUE) AS is_stockout)
+    FROM fact_inventory_daily f""",
 )

@@ -367,8 +367,8 @@ query(
     """
     SELECT s.*, strftime(day, '%b') AS month_name, year(day) AS year, day AS full_date, sku, product_name,
            category_name, abc_class, warehouse_name, region,
-           [IF(days_of_supply > 90, 'Overstock', 'Healthy'), 'Below Reorder Point', 'Out of Stock', 'Out of Stock']
-             [1 + CAST(COALESCE(is_below_reorder, FALSE) AS INT) + 2 * CAST(is_stockout AS INT)] AS inventory_status
+           CASE WHEN is_stockout THEN 'Out of Stock' WHEN is_below_reorder THEN 'Below Reorder Point'
+                WHEN is_overstock THEN 'Overstock' ELSE 'Healthy' END AS inventory_status
     FROM (SELECT *, CAST(strptime(CAST(date_key AS VARCHAR), '%Y%m%d') AS DATE) AS day FROM fact_inventory_daily) s
     NATURAL JOIN (SELECT product_key, sku, product_name, category_name, abc_class FROM dim_product)
     NATURAL JOIN (SELECT warehouse_key, warehouse_name, region FROM dim_warehouse)""",
