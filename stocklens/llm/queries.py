@@ -154,7 +154,6 @@ WITH dw AS (
 ), iw AS (
   SELECT item_id, unnest(ws) AS w, unnest(range(len(ws))) AS j, len(ws) AS n
   FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM benchmark)
-  WHERE len(ws) >= 8
 ), same AS (
   SELECT doc_id, item_id, i - j AS d, j, n FROM dw JOIN iw USING (w)
 ), lying AS (
@@ -164,7 +163,7 @@ WITH dw AS (
 ), found AS (
   SELECT doc_id, item_id, d, n, count(*) AS n_matched FROM lying
   GROUP BY doc_id, item_id, d, n
-  HAVING max(near) >= least(13, n) - floor(least(13, n) * 2 / 13)
+  HAVING max(near) >= least(13, n) - if(n < 8, 0, floor(least(13, n) * 2 / 13))
 )
 SELECT doc_id, item_id, d AS at_word, n_matched, n AS n_item_words,
   n_matched::DOUBLE / n AS overlap
