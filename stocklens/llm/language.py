@@ -47,7 +47,12 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    """The letters of a text in lower case, single blanks for what lies between them."""
+    bare = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if bare.isascii() or bare.replace(" ", "").isalpha():
+        return bare
+    # Fractions, superscripts, and Roman and circled numbers are of words, and no letters.
+    return " ".join("".join(c if c.isalpha() else " " for c in bare).split())
 
 
 def mark(text: str, row: np.ndarray) -> None:

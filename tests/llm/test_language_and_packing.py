@@ -67,6 +67,15 @@ def test_language_edges(make_docs):
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_numbers_of_all_kinds_are_no_letters(make_docs):
+    assert [language.letters(x) for x in ("½ ² ①", "Ⅷ ⅻ", "12³", "x²y½", "É1é", "ªº", None)] == ["", "", "", "x y", "é é", "ªº", ""]
+    rng = random.Random(2)
+    rows = [(k, sentence(rng, "en", 20), "en") for k in range(40)] + [(100, "½ ² ①", "en"), (101, "Ⅷ ⅻ", None), (102, "12³", None)]
+    docs = make_docs(rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, language.train(docs)).collect()}
+    assert got[100] == got[101] == got[102] == ("und", 0.0)
+
+
 FOREIGN = [
     "Все люди рождаются свободными и равными в своем достоинстве и правах.",
     "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。",
