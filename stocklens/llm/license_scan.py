@@ -9,7 +9,9 @@ around them: words match or not, and skipped words cost, so that other words in
 match. One candidate may hold a notice many times: what the found spans leave of it is aligned again
 until nothing is covered enough. Reported is how much of the template is covered, and the span in the text.
 
-A match counts if it covers ``MIN_COVERAGE`` of the template. Of matches that overlap in the text
+A match counts if it covers ``MIN_COVERAGE`` of the template and, for templates below ``NOTICE``
+words, the names and version numbers of the template stand in the span in their order, and no word
+does that makes the notice one of another licence of the family. Of matches that overlap in the text
 the one with most matched words stays, then the better covered, then the first by name.
 
 Every row is scanned by itself over its whole text; spans are in code points, ends exclusive. Null
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stocklens.llm.common import schema_of
-from stocklens.llm.license_texts import TEMPLATES
+from stocklens.llm.license_texts import MODIFIERS, NAMES, TEMPLATES
 
 GRAM, WINDOW = 3, 3
 BAND = 6
 MIN_COVERAGE = 0.75
+#: Longer templates tell themselves apart by their texts.
+NOTICE = 200
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,6 +53,19 @@ def _winnow(codes: np.ndarray) -> np.ndarray:
     return np.unique(last + np.arange(len(views)))
 
 
+def _telling(words: list[str]) -> list[str]:
+    """The names, version numbers and words of a family's other licences, in order."""
+    return [w for w in words if w in NAMES or w in MODIFIERS or w.isdigit() and len(w) <= 2]
+
+
+def _same_licence(template: list[str], span: list[str]) -> bool:
+    own, found = _telling(template), _telling(span)
+    if [w for w in own if w in MODIFIERS] != [w for w in found if w in MODIFIERS]:
+        return False
+    rest = iter(found)
+    return all(w in rest for w in own)
+
+
 def _apart(taken: list[tuple[int, int]], first: int, last: int) -> bool:
     """Whether the span meets none of the sorted, disjoint ones."""
     k = bisect_left(taken, (last + 1, 0))
@@ -59,12 +76,13 @@ class Index:
     """The templates' words, numbered, and the inverted index of their fingerprints."""
 
     def __init__(self, templates: dict[str, str]):
-        self.names, self.words = [], []
+        self.names, self.words, self.texts = [], [], []
         self.number: dict[str, int] = {}
         for name, text in templates.items():
             words = [w.lower() for w in _WORD.findall(text)]
             self.names.append(name.partition("#")[0])
             self.words.append([self.number.setdefault(w, len(self.number) + 1) for w in words])
+            self.texts.append(words if len(words) < NOTICE else None)
         # Hashes of word numbers, mixed so that no frequent word is always the smallest.
         self.mix = np.array([zlib.crc32(str(k).encode()) for k in range(len(self.number) + 1)], np.uint64)
         self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -165,6 +183,9 @@ class Index:
         found = []
         for t, low, high in self.candidates(ids):
             for matched, first, last in self.matches(ids, t, low, high, min_coverage):
+                own = self.texts[t]
+                if own and not _same_licence(own, [m[0].lower() for m in words[first : last + 1]]):
+                    continue
                 found.append((-matched, -matched / len(self.words[t]), self.names[t], first, last))
         out, taken = [], []
         for matched, coverage, name, first, last in sorted(found):

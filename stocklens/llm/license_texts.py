@@ -1,8 +1,36 @@
-"""Licence templates: the texts and notices as their authors publish them.
+"""Licence templates: whole texts, and the notices that stand for them.
 
-``license_scan`` takes any such mapping; longer texts can be passed in the same form.
+The longer texts are the files of the folder ``licenses``, about 140 KB, named by their SPDX
+identifiers and as their publishers distribute them; shorter ones and notices are below.
+``license_scan`` takes any such mapping. It is read on the driver and goes to the tasks with them.
 """
 
+from importlib import resources
+
+# Texts that several templates share.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met: Redistributions of source code must
+retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution. {}"""
+_ENDORSEMENT = """Neither the name of the copyright holder nor the names of its contributors may be
+used to endorse or promote products derived from this software without specific prior written
+permission. """
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING
+IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the
+GNU {1} Public License as published by the Free Software Foundation, either version {2} of the
+License, or (at your option) any later version. This {0} is distributed in the hope that it will be
+useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU {3} Public License for more details."""
+
 # SPDX identifier (with a number where there are several forms) and text.
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this
@@ -18,51 +46,55 @@ LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OU
 CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MIT#2": "Released under the MIT License.",
     "MIT#3": "Licensed under the MIT License.",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification,
-are permitted provided that the following conditions are met: Redistributions of source code must
-retain the above copyright notice, this list of conditions and the following disclaimer.
-Redistributions in binary form must reproduce the above copyright notice, this list of conditions
-and the following disclaimer in the documentation and/or other materials provided with the
-distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
-EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
-MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
-    "BSD-3-Clause": """Neither the name of the copyright holder nor the names of its contributors may be
-used to endorse or promote products derived from this software without specific prior written
-permission.""",
+    "BSD-2-Clause": _BSD.format("") + _DISCLAIMER,
+    "BSD-3-Clause": _BSD.format(_ENDORSEMENT) + _DISCLAIMER,
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or
 without fee is hereby granted, provided that the above copyright notice and this permission notice
 appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
-REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
+SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event
 will the authors be held liable for any damages arising from the use of this software. Permission
 is granted to anyone to use this software for any purpose, including commercial applications, and
-to alter it and redistribute it freely.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you
+use this software in a product, an acknowledgment in the product documentation would be appreciated
+but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any
+source distribution.""",
+    "Apache-2.0#1": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use
 this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
 writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
     "Apache-2.0#2": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the
-terms of the GNU General Public License as published by the Free Software Foundation, either version
-3 of the License, or (at your option) any later version. This program is distributed in the hope
-that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
-details.""",
-    "GPL-3.0#2": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0#1": _GNU.format("program", "General", "2", "General"),
     "GPL-2.0#2": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0": """This library is free software; you can redistribute it and/or modify it under the
-terms of the GNU Lesser General Public License as published by the Free Software Foundation.""",
-    "AGPL-3.0": """You should have received a copy of the GNU Affero General Public License along with
-this program. If not, see <https://www.gnu.org/licenses/>.""",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If
+    "GPL-3.0#1": _GNU.format("program", "General", "3", "General"),
+    "GPL-3.0#2": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1#1": _GNU.format("library", "Lesser General", "2.1", "Lesser General"),
+    "LGPL-3.0#1": _GNU.format("library", "Lesser General", "3", "Lesser General"),
+    "AGPL-3.0#1": _GNU.format("program", "Affero General", "3", "Affero General"),
+    "MPL-2.0#1": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If
 a copy of the MPL was not distributed with this file, You can obtain one at
 https://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is
 free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
 code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
-means.""",
+means. In jurisdictions that recognize copyright laws, the author or authors of this software
+dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+THE SOFTWARE.""",
     "CC-BY-4.0": """This work is licensed under a Creative Commons Attribution 4.0 International
 License.""",
     "CC-BY-SA-4.0": """This work is licensed under a Creative Commons Attribution-ShareAlike 4.0
@@ -70,3 +102,13 @@ International License.""",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0#2": "Licensed under CC BY 4.0.",
 }
+TEMPLATES |= {
+    path.name.removesuffix(".txt"): path.read_text("utf-8")
+    for path in sorted(resources.files("stocklens.llm").joinpath("licenses").iterdir(), key=lambda p: p.name)
+    if path.name.endswith(".txt")
+}
+
+# Words that tell licences apart. A notice holds its own names and version numbers,
+# and no word that makes it another licence of the family.
+NAMES = set("apache mit bsd gnu mozilla isc zlib mpl cc creative commons".split())
+MODIFIERS = set("lesser affero nc sa nd sharealike noncommercial noderivatives noderivs".split())
