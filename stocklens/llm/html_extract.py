@@ -1,22 +1,25 @@
 """HTML extraction by equivalence-class template deduction.
 
 Every page becomes tokens: tags by their path from the root, and runs of text by path and words.
-Over all pages of a host, a token's occurrence vector says how often each page has it; tokens with
-equal vectors form an equivalence class. A class is considered if it has ``MIN_CLASS`` tokens and
-occurs in ``MIN_SHARE`` of the host's distinct pages, in ``MIN_PAGES`` at least. Classes are valid if
-they nest: each lies within one gap of every class that holds it, or apart from it. The valid ones
-nest into the host's template; what stands between its tokens are the slots. The main text is what
-the slots hold inside the page's main element.
+The pages of a host that have one layout (the same elements near the root) share a template. Over
+them, a token's occurrence vector says how often each page has it; tokens with equal vectors form
+an equivalence class. A class is considered if it has ``MIN_CLASS`` tokens, or is a run of text,
+and occurs in ``MIN_SHARE`` of the layout's distinct pages, in ``MIN_PAGES`` at least. Classes are
+valid if they nest: each lies within one gap of every class that holds it, or apart from it. The
+valid ones nest into the template; what stands between its tokens are the slots, and a run of text
+that is a token of the template itself is no slot. The main text is what the slots hold inside the
+page's main element; a heading of the article stays.
 
 The vectors are never gathered: one hash a (page, count), combined by exclusive or, stands for a
-token's vector, so that Spark counts a host with a third of all pages like any other. A host's
-template is small, its tokens being in most of its pages. It is written as a table and joined by
-host, broadcast or shuffled as its size asks for.
+token's vector, so that Spark counts a host with a third of all pages like any other. A template is
+small, its tokens being in most pages of its layout. Templates are written as a table and joined by
+host and layout, broadcast or shuffled as their size asks for. A page is read once: its tokens and
+the runs of its main element are written and read again.
 
 Structure decides what a template cannot: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and comments are dropped by element, role or class name; ``article`` or
-``main`` delimit the text where a page has them, else the whole rest of the page counts. A run of
-text of the template goes unless it is a heading of the article.
+``main`` delimit the text where a page has them, else the whole rest of the page counts. Inside an
+article, a name that joins the word for an aside with a subject (related-work) is no aside.
 
 Text: character references are decoded, white space inside a block is one blank, blocks are
 trimmed and joined in page order by a blank. Nothing else is dropped or cut. A null page gives an
@@ -40,8 +43,12 @@ from pyspark.sql import functions as F
 
 from stocklens.llm.common import schema_of, stored
 
-MIN_PAGES, MIN_SHARE, MIN_CLASS = 4, 0.6, 2
-#: Elements nested deeper are read, but not told apart.
+MIN_PAGES, MIN_SHARE = 4, 0.6
+#: Tokens a class needs; one run of text that is the same in so many pages is a class by itself.
+MIN_CLASS = 2
+#: Levels of elements, from the root on, that make the layout of a page.
+LAYOUT_DEPTH = 3
+#: Elements nested deeper are counted by name, and dropped as elsewhere.
 DEPTH = 512
 
 # Fixed lists of HTML elements and of words that name parts of a page.
@@ -85,7 +92,8 @@ SCOPES = {"table", "ul", "ol", "dl", "select", "article", "main", "section", "di
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
-    r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>\"']|\"[^\"<]*+\"|'[^'<]*+'|\"[^\"]{0,2000}\"|'[^']{0,2000}'|[\"'])*+)>",
+    # A quote opens a value only behind an equals sign, and the value may hold anything else.
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^<>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>",
     re.S,
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -113,6 +121,27 @@ def _hash(*parts: str) -> int:
 KEPT, LAID_OUT, OUT = 0, 1, 2
 
 
+#: Words that go with the names of asides; inside an article others make it a subject of the text.
+_NEUTRAL = set(
+    "area article articles banner bar block body bottom box btn button buttons card container content entry footer "
+    "form grid group head header icon icons image images inner item items left line link links list main "
+    "message module panel page post posts right row section side site slot small story text title top unit "
+    "view widget wrap wrapper".split()
+)
+
+
+#: Words that name an aside beside an article, and may name a section in it.
+_SUBJECTS = re.compile(r"promotions?|subscriptions?")
+
+
+def _only_aside(word: str) -> bool:
+    """Whether a class or id names nothing but an aside: its parts are such words or neutral ones."""
+    if _SUBJECTS.fullmatch(word):
+        return False
+    rest = ASIDES.sub("", word)
+    return all(len(x) <= 2 or x in _NEUTRAL or x.isdigit() for x in re.split(r"[_-]+", rest))
+
+
 def _kept_out(tag: str, attributes: str, in_article: bool) -> int:
     """Whether the element is no main text."""
     if tag in DROPPED or tag == "header" and not in_article:
@@ -133,16 +162,23 @@ def _kept_out(tag: str, attributes: str, in_article: bool) -> int:
                 if _TELLS_STATE.match(word):
                     continue
                 if ASIDES.search(word) and (tag not in ("article", "main") or "comment" in word):
-                    return OUT
+                    if not in_article or _only_aside(word):
+                        return OUT
                 if tag not in ("article", "main") and LAYOUT.search(word):
                     found = LAID_OUT
     return found
 
 
-def read_page(html: str) -> tuple[list[int], list[Run]]:
-    """The tokens of the page in order, and the runs of text outside dropped elements."""
+def read_page(html: str) -> tuple[list[int], list[Run], int]:
+    """The tokens of the page in order, the runs of text outside dropped elements, and its layout.
+
+    Tokens of text are odd, those of tags even. The layout is a hash of the paths of the elements
+    near the root, whatever their number.
+    """
     tokens: list[int] = []
     runs: list[Run] = []
+    skeleton: set[int] = set()
+    deep: dict[str, int] = {}
     # Open elements: name, how it is kept out, how far it is an article, hash of the path.
     open_: list[tuple[str, int, int, int]] = [("", KEPT, 0, 0)]
     block, at = 0, 0
@@ -153,7 +189,7 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
             return
         tag, dropped, article, path = open_[-1]
         words = " ".join(value.split())
-        token = _hash(str(path), words) if words else 0
+        token = _hash(str(path), words) | 1 if words else 0
         if words:
             tokens.append(token)
         if dropped == KEPT or dropped == LAID_OUT and article:
@@ -178,11 +214,14 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
         tag = m[2].lower()
         if tag in BLOCKS:
             block += 1
+        if m[1] and deep.get(tag):
+            deep[tag] -= 1
+            continue
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == tag:
                     close(k)
-                    tokens.append(_hash(str(open_[-1][3]), "/" + tag))
+                    tokens.append(_hash(str(open_[-1][3]), "/" + tag) & ~1)
                     break
             continue
         ended = SIBLINGS.get(tag, {"p"} if tag in END_PARAGRAPH else None)
@@ -202,8 +241,10 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
             dropped, article = LAID_OUT, 0
         elif opens and not article:
             article = 1 if dropped == LAID_OUT else 2
-        path = _hash(str(path), tag, " ".join(sorted(_classes(m[3]))))
+        path = _hash(str(path), tag, " ".join(sorted(_classes(m[3])))) & ~1
         tokens.append(path)
+        if len(open_) <= LAYOUT_DEPTH and tag not in VOID and tag not in DROPPED:
+            skeleton.add(path)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             stop = end.start() if end else len(html)
@@ -213,9 +254,12 @@ def read_page(html: str) -> tuple[list[int], list[Run]]:
                 open_.pop()
             closing = html.find(">", stop)
             at = closing + 1 if end and closing >= 0 else len(html)
-        elif tag not in VOID and not m[3].endswith("/") and len(open_) < DEPTH:
-            open_.append((tag, dropped, article, path))
-    return tokens, runs
+        elif tag not in VOID and not m[3].endswith("/"):
+            if len(open_) < DEPTH or here == OUT and open_[-1][1] != OUT:
+                open_.append((tag, dropped, article, path))
+            else:
+                deep[tag] = deep.get(tag, 0) + 1
+    return tokens, runs, _hash(*map(str, sorted(skeleton)))
 
 
 def _classes(attributes: str) -> list[str]:
@@ -233,12 +277,16 @@ def _main(attributes: str) -> bool:
     return any(m[1].lower() == "role" and (m[2] or m[3] or m[4]) == "main" for m in _ATTR.finditer(attributes))
 
 
+def main_runs(runs: list[Run]) -> list[Run]:
+    """The runs inside the page's main element, or of the whole page where it has none."""
+    best = max((r.article for r in runs if r.token), default=0)
+    return [r for r in runs if r.article == best]
+
+
 def main_text(runs: list[Run], template: frozenset[int]) -> str:
     """The runs left in the slots, as blocks of one line each."""
-    best = max((r.article for r in runs if r.token), default=0)
-    runs = [r for r in runs if r.article == best]
     blocks: dict[int, list[str]] = {}
-    for r in runs:
+    for r in main_runs(runs):
         if r.token == 0 or r.heading or r.token not in template:
             blocks.setdefault(r.block, []).append(r.text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
@@ -251,31 +299,75 @@ def host_of(url: Column) -> Column:
     return F.xxhash64(F.coalesce(found, F.lit("")))
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, place), a row for each page and token; token -1 stands for the page.
+def group_of(host: int, layout: int) -> int:
+    """The group of pages that share a template."""
+    return _hash(str(host), str(layout))
 
-    ``vector`` is a hash of (page content, count), ``place`` where the token comes first.
+
+_RUN = pa.struct(
+    [("block", pa.int32()), ("text", pa.string()), ("token", pa.int64()), ("article", pa.int32()), ("heading", pa.bool_())]
+)
+_READ = (
+    "host long, seed long, tokens array<struct<token: long, n: int, place: int>>, "
+    "runs array<struct<block: int, text: string, token: long, article: int, heading: boolean>>"
+)
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html, host) read once: each page's tokens and runs of main text.
+
+    ``host`` becomes the hash of a page's host and its layout: each layout of a host has its own
+    template. ``tokens`` says how often each token occurs and where first; token -1 stands for the
+    page. ``seed`` is a hash of the page's content.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
+            hosts, seeds, tokens, runs = [], [], [], []
             for host, html in zip(*(batch.column(c).to_pylist() for c in ("host", "html")), strict=True):
-                seed = xxhash.xxh64_intdigest((html or "").encode("utf-8", "surrogatepass"))
-                tokens = [-1, *read_page(html or "")[0]]
+                found, own, layout = read_page(html or "")
                 counts: dict[int, list[int]] = {}
-                for at, token in enumerate(tokens):
+                for at, token in enumerate([-1, *found]):
                     counts.setdefault(token, [at, 0])[1] += 1
-                for token, (at, n) in counts.items():
-                    out.append((host, token, _hash(str(seed), str(n)), at))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                hosts.append(group_of(host, layout))
+                seeds.append(_hash(html or ""))
+                tokens.append([(t, n, at) for t, (at, n) in counts.items()])
+                runs.append([(r.block, r.text, r.token, r.article, r.heading) for r in main_runs(own)])
+            token = pa.struct([("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["host", "token", "vector", "place"],
+                [
+                    batch.column("page_id"),
+                    batch.column("url"),
+                    pa.array(hosts, pa.int64()),
+                    pa.array(seeds, pa.int64()),
+                    _structs(tokens, token),
+                    _structs(runs, _RUN),
+                ],
+                ["page_id", "url", "host", "seed", "tokens", "runs"],
             )
 
-    return pages.select("host", "html").mapInArrow(rows, "host long, token long, vector long, place int")
+    return pages.select("page_id", "url", "html", "host").mapInArrow(
+        rows, f"{schema_of(pages, 'page_id', 'url')}, {_READ}"
+    )
+
+
+def _structs(lists: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """Lists of tuples as lists of structs."""
+    ends = [0]
+    for x in lists:
+        ends.append(ends[-1] + len(x))
+    columns = list(zip(*(row for x in lists for row in x), strict=True)) or [[]] * kind.num_fields
+    fields = [pa.array(c, kind.field(k).type) for k, c in enumerate(columns)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind)))
+
+
+def occurrences(read: DataFrame) -> DataFrame:
+    """(host, token, vector, place), a row for each page and token.
+
+    ``vector`` is a hash of (page content, count), ``place`` where the token comes first.
+    """
+    found = read.select("host", "seed", F.explode("tokens").alias("t"))
+    return found.select("host", "t.token", F.xxhash64("seed", "t.n").alias("vector"), "t.place")
 
 
 def nest(classes: list[tuple[int, list[tuple[float, int]]]]) -> list[int]:
@@ -300,13 +392,13 @@ def nest(classes: list[tuple[int, list[tuple[float, int]]]]) -> list[int]:
 
 
 def templates(
-    pages: DataFrame,
+    read: DataFrame,
     min_pages: int = MIN_PAGES,
     min_share: float = MIN_SHARE,
     min_class: int = MIN_CLASS,
 ) -> DataFrame:
-    """(host, tokens): the template of each host that has one. ``pages`` has host and html."""
-    seen = occurrences(pages).groupBy("host", "token", "vector").agg(F.first("place").alias("place"))
+    """(host, tokens): the template of each layout of a host that has one, from the pages as read."""
+    seen = occurrences(read).groupBy("host", "token", "vector").agg(F.first("place").alias("place"))
     vectors = seen.groupBy("host", "token").agg(
         F.bit_xor("vector").alias("vector"),
         F.count("*").alias("support"),
@@ -323,7 +415,7 @@ def templates(
         classes = [
             (int(part["support"].iloc[0]), list(zip(part["place"], part["token"], strict=True)))
             for _, part in found.groupby("vector")
-            if len(part) >= min_class
+            if len(part) >= min_class or int(part["token"].iloc[0]) % 2 and part["token"].iloc[0] != -1
         ]
         tokens = [int(t) for t in nest(classes) if t != -1]
         return pd.DataFrame({"host": [key[0]], "tokens": [tokens]})
@@ -334,15 +426,16 @@ def templates(
 def extract(pages: DataFrame, **rule) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    known = stored(templates(hosted, **rule))
-    joined = hosted.join(known, "host", "left")
+    read = stored(read_pages(hosted))
+    known = stored(templates(read, **rule))
+    joined = read.select("page_id", "url", "host", "runs").join(known, "host", "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("html", "tokens"))
+            columns = (batch.column(c).to_pylist() for c in ("runs", "tokens"))
             texts = [
-                main_text(read_page(html or "")[1], frozenset(tokens or ()))
-                for html, tokens in zip(*columns, strict=True)
+                main_text([Run(*r.values()) for r in runs], frozenset(tokens or ()))
+                for runs, tokens in zip(*columns, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -355,4 +448,4 @@ def extract(pages: DataFrame, **rule) -> DataFrame:
             )
 
     schema = f"{schema_of(pages, 'page_id', 'url')}, text string, n_chars long"
-    return joined.select("page_id", "url", "html", "tokens").mapInArrow(rows, schema)
+    return joined.select("page_id", "url", "runs", "tokens").mapInArrow(rows, schema)

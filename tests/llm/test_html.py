@@ -56,6 +56,22 @@ def test_odd_markup():
     assert len(text_of("<p>word " * 50000).split()) == 50000
 
 
+def test_sections_of_an_article_stay():
+    for name in ("related-work", "social-history", "notice-of-change", "promotion", "comments-on-kant", "subscription-guide"):
+        page = f"<article><h1>T</h1><section class='{name}'><p>text of it</p></section><p>end</p></article>"
+        assert text_of(page) == "T text of it end", name
+    for name in ("related-posts", "social-share", "share buttons", "cookie-notice", "newsletter-box", "post-comments", "ad-slot-3"):
+        assert text_of(f"<article>T<div class='{name}'>x</div></article>") == "T", name
+
+
+def test_long_attributes_and_deep_elements():
+    value = "x < y > z " * 500
+    assert text_of(f'Hello <div data-x="{value}" title=\'a "b" > c\'>world</div>') == "Hello world"
+    assert text_of('<p class=x">one</p><p title="a>b">two') == "one two"
+    deep = "<div>" * 700 + "<nav>MENU<nav>MORE</nav></nav>T<section><aside>A</aside>U</section>" + "</div>" * 700 + "<p>after"
+    assert text_of(deep) == "T U after"
+
+
 def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -89,6 +105,62 @@ def test_copies_of_a_page_make_no_template(spark):
     assert {r["text"] for r in got} == {"Head The same article on many pages."} and len(got) == 20
 
 
+def test_each_layout_of_a_host_has_its_template(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for k in range(40):
+        parts = [sentence(rng, "en", rng.randint(5, 20)) for _ in range(rng.randint(1, 4))]
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        notice = "<p>You read this free of charge.</p>" if k % 20 < 15 else ""
+        if k % 2:
+            html = f"<html><body><div class=top><b>Daily</b> <i>news</i></div><div class=story>{body}{notice}</div></body></html>"
+        else:
+            html = f"<html><body><section><em>Our shop</em><div class=text>{body}</div><u>Call us</u></section></body></html>"
+            notice = ""
+        rows.append((k, "http://two.example/", html))
+        want[k] = " ".join(parts)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(spark, rows)).collect()}
+    assert got == want
+    # Without templates the boxes' texts stay: it is the deduction that drops them.
+    alone = {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(spark, rows), min_pages=99).collect()}
+    assert all(len(alone[k]) > len(want[k]) for k in want)
+
+
+def classes_by_hand(pages, min_pages, min_share, min_class):
+    """The valid classes of pages of one layout, from whole occurrence vectors."""
+    distinct = list(dict.fromkeys(pages))
+    read = [html_extract.read_page(html)[0] for html in distinct]
+    tokens = {t for found in read for t in found}
+    classes = {}
+    for t in tokens:
+        vector = tuple(found.count(t) for found in read)
+        support = sum(n > 0 for n in vector)
+        if support >= min_pages and support >= min_share * len(distinct):
+            places = [1 + found.index(t) for found in read if t in found]
+            classes.setdefault(vector, (support, []))[1].append((sum(places) / len(places), t))
+    every = tuple([1] * len(distinct))
+    if every in classes:  # what stands for the page itself
+        classes[every][1].append((0.0, -1))
+    kept = [c for c in classes.values() if len(c[1]) >= min_class or c[1][0][1] % 2]
+    return set(html_extract.nest(kept)) - {-1}
+
+
+def test_templates_by_brute_force(spark):
+    rng = random.Random(10)
+    for _ in range(3):
+        shell = [f"<div class=c{rng.randrange(9)}><b>{sentence(rng, 'en', 2)}</b></div>" for _ in range(4)]
+        pages = []
+        for _ in range(14):
+            inner = "".join(f"<p>{sentence(rng, 'en', 4)}</p>" for _ in range(rng.randint(1, 3)))
+            some = [x for x in shell if rng.random() < 0.9]
+            pages.append(f"<html><body><main>{''.join(some[:2])}<div class=slot>{inner}</div>{''.join(some[2:])}</main></body></html>")
+        pages.append(pages[0])
+        rows = [(k, "http://x.example", html) for k, html in enumerate(pages)]
+        hosted = pages_of(spark, rows).withColumn("host", F.lit(5).cast("long"))
+        found = html_extract.templates(html_extract.read_pages(hosted)).collect()
+        assert [set(r["tokens"]) for r in found] == [classes_by_hand(pages, 4, 0.6, 2)]
+
+
 def test_nesting():
     outer = (9, [(0.0, 1), (10.0, 2), (20.0, 3)])
     inner = (9, [(11.0, 4), (12.0, 5)])
