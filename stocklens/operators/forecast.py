@@ -16,7 +16,7 @@ from stocklens.functions.expr import (
     round_half_even_int,
     round_to,
 )
-from stocklens.operators.sales import live_lines, sales_anchor
+from stocklens.operators.sales import live_lines, sales_anchor, from_first_key
 from stocklens.sources.tables import Tables
 
 # Accuracy grades by mean absolute percentage error.
@@ -109,7 +109,7 @@ def forecast_accuracy(t: Tables, as_of: DateLike = None, days: int = 90) -> Data
         not_cancelled() & in_window(F.col("order_date"))
     )
     actuals = (
-        t("sales_order_items", "so_id", "product_id", "quantity_ordered")
+        from_first_key(t("sales_order_items", "so_id", "product_id", "quantity_ordered"), orders, "so_id")
         .join(orders.select("so_id", "warehouse_id", F.col("order_date").alias("forecast_date")), "so_id")
         .groupBy("product_id", "warehouse_id", "forecast_date")
         .agg(F.sum("quantity_ordered").alias("sold"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stocklens.functions.expr import DateLike, label_from, pct, ratio, round_to
-from stocklens.operators.sales import months_back, sales_anchor
+from stocklens.operators.sales import months_back, sales_anchor, from_first_key
 from stocklens.sources.tables import Tables
 
 # Unit fill bounds of the service grades.
@@ -27,7 +27,9 @@ def fill_rate_service(t: Tables, as_of: DateLike = None, months: int = 3) -> Dat
     )
     complete = F.col("quantity_shipped") >= F.col("quantity_ordered")
     per_order = (
-        t("sales_order_items", "so_id", "product_id", "quantity_ordered", "quantity_shipped")
+        from_first_key(
+            t("sales_order_items", "so_id", "product_id", "quantity_ordered", "quantity_shipped"), orders, "so_id"
+        )
         .groupBy("so_id")
         .agg(
             F.count("*").alias("lines"),

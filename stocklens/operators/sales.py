@@ -17,16 +17,28 @@ def months_back(day: Column, months: int) -> Column:
     return F.add_months(day, -months)
 
 
+def from_first_key(lines: DataFrame, orders: DataFrame, key: str) -> DataFrame:
+    """``lines`` from the least key of the (filtered) ``orders`` on that they are to be joined with.
+
+    The key comes from the orders as a scalar subquery and reaches the scan of the lines, so where
+    orders are numbered as they come in, a window of recent days reads its own row groups only.
+    """
+    return lines.filter(F.col(key) >= orders.agg(F.min(key)).scalar())
+
+
 def live_lines(t: Tables, order_columns: list[str], item_columns: list[str], since: Column | None = None) -> DataFrame:
     """Lines of orders that were not cancelled, optionally from a date on.
 
-    The order side is filtered before the join, so only surviving order keys are matched.
+    The order side is filtered before the join, so only surviving order keys are matched; with a
+    date, lines before their first key are not read.
     """
     need = list(dict.fromkeys(["so_id", "status", "order_date", *order_columns]))
     orders = t("sales_orders", *need).filter(not_cancelled())
     if since is not None:
         orders = orders.filter(F.col("order_date") >= since)
     items = t("sales_order_items", "so_id", *item_columns)
+    if since is not None:
+        items = from_first_key(items, orders, "so_id")
     return items.join(orders.select("so_id", *[c for c in order_columns if c != "so_id"]), "so_id")
 
 

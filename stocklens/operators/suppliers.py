@@ -78,33 +78,49 @@ def supplier_performance(t: Tables) -> DataFrame:
 def supplier_scorecard_sql(t: Tables, as_of: DateLike = None, months: int = 12) -> DataFrame:
     """Scorecard of recent deliveries; the fill rate spans all time and mapped products only."""
     since = months_back(_purchase_anchor(t, as_of), months)
-    recent = t(
-        "purchase_orders", "supplier_id", "status", "order_date", "expected_delivery_date",
+    orders = t(
+        "purchase_orders", "po_id", "supplier_id", "status", "order_date", "expected_delivery_date",
         "actual_delivery_date", "total_amount",
-    ).filter((F.col("status") == "Delivered") & (F.col("order_date") >= since))
-    deliveries = recent.groupBy("supplier_id").agg(
-        F.count("*").alias("total_orders"),
-        F.sum("total_amount").alias("total_purchase_value"),
-        F.avg(_variance()).alias("avg_var"),
-        F.stddev_samp(_variance()).alias("sd_var"),
-        F.count_if(_on_time()).alias("on_time"),
+    ).filter(F.col("status") == "Delivered").select(
+        "po_id", "supplier_id", "total_amount", (F.col("order_date") >= since).alias("recent"),
+        _variance().alias("late"), _on_time().alias("in_time"),
+    )
+    # Orders meet their lines once. One aggregation gives both grains: a row per order for the
+    # deliveries, and a row per supplier and product for the fill rate.
+    lines = t("purchase_order_items", "po_id", "product_id", "quantity_ordered", "quantity_received")
+    order = ["po_id", "total_amount", "recent", "late", "in_time"]
+    grains = (
+        orders.join(lines, "po_id", "left")
+        .groupingSets([["supplier_id", *order], ["supplier_id", "product_id"]], "supplier_id", "product_id", *order)
+        .agg(
+            F.grouping("po_id").alias("_per_product"),
+            F.sum("quantity_received").alias("received"),
+            F.sum("quantity_ordered").alias("ordered"),
+        )
     )
-    fill = (
-        t("purchase_orders", "po_id", "supplier_id", "status")
-        .filter(F.col("status") == "Delivered")
-        .join(t("purchase_order_items", "po_id", "product_id", "quantity_ordered", "quantity_received"), "po_id")
-        .groupBy("supplier_id", "product_id")
-        .agg(F.sum("quantity_received").alias("received"), F.sum("quantity_ordered").alias("ordered"))
-        .join(t("product_suppliers", "product_id", "supplier_id"), ["product_id", "supplier_id"])
+    mapped = t("product_suppliers", "product_id", "supplier_id").withColumn("mapped", F.lit(True))
+    is_order = (F.col("_per_product") == 0) & F.col("recent")
+    is_mapped = (F.col("_per_product") == 1) & F.col("mapped")
+    of_order = lambda c: F.when(is_order, F.col(c))
+    of_product = lambda c: F.when(is_mapped, F.col(c))
+    figures = (
+        grains.join(mapped, ["product_id", "supplier_id"], "left")
         .groupBy("supplier_id")
-        .agg(round_to(pct(F.sum("received"), F.sum("ordered")), 2).alias("fill_rate"))
+        .agg(
+            F.count_if(is_order).alias("total_orders"),
+            F.sum(of_order("total_amount")).alias("total_purchase_value"),
+            F.avg(of_order("late")).alias("avg_var"),
+            F.stddev_samp(of_order("late")).alias("sd_var"),
+            F.count_if(is_order & F.col("in_time")).alias("on_time"),
+            round_to(pct(F.sum(of_product("received")), F.sum(of_product("ordered"))), 2).alias("fill_rate"),
+        )
+        .filter(F.col("total_orders") > 0)
     )
     on_time = ratio("on_time", "total_orders")
     filled = F.col("fill_rate_pct")
     score = on_time * 40 + filled * 0.4 + label_up_to(F.abs("avg_var"), CONSISTENCY_POINTS, LOWEST_POINTS)
     return (
-        deliveries.join(t("suppliers", "supplier_id", "supplier_code", "supplier_name"), "supplier_id")
-        .join(fill, "supplier_id", "left")
+        figures.join(t("suppliers", "supplier_id", "supplier_code", "supplier_name"), "supplier_id")
         .withColumn("fill_rate_pct", F.coalesce("fill_rate", F.lit(0.0)))
         .select(
             "supplier_id",

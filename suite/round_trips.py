@@ -12,6 +12,7 @@ from stocklens import open_tables
 from stocklens.operators.sales import sales_anchor
 from stocklens.plans import extracts, warehouse
 from stocklens.plans import star as star_plan
+from stocklens.sources.bucketed import open_bucketed, save_bucketed
 from stocklens.sources.schemas import OPERATIONAL
 from stocklens.sources.tables import Tables, insert_into, read_rejects, write_extract
 from suite import boards, extracts as _extract_queries, inventory, suppliers  # noqa: F401 (their SQL)
@@ -177,6 +178,26 @@ def _inserted(t: Tables) -> DataFrame:
 query("insert_into", _OUT, _inserted, _digests_sql({"purchase_orders": "SELECT * FROM purchase_orders"}, _TABLES))
 
 
+# ---- orders and lines side by side --------------------------------------------------------
+
+
+def _bucketed(t: Tables) -> Tables:
+    spark = _spark(t)
+    base = f"side_{uuid.uuid4().hex}"
+    needed = ("products", "product_categories", "customers", "warehouses", "sales_orders", "sales_order_items")
+    few = Tables.of(**{name: t(name) for name in needed})
+    save_bucketed(few, base, 8, _folder(spark))
+    return open_bucketed(spark, base)
+
+
+for _name in ("abc_summary", "sales_extract", "fill_rate_service"):
+    query(
+        f"{_name}_bucketed",
+        " ".join(f"{c}:{k}" for c, k in REGISTRY[_name].columns.items()),
+        lambda t, build=REGISTRY[_name].build: build(_bucketed(t)),
+        REGISTRY[_name].sql,
+    )
+
 # ---- the whole star -----------------------------------------------------------------------
 
 _STAR_TABLES = [

@@ -7,7 +7,14 @@ from shop import LINES, PRODUCTS, STOCK, SUPPLIERS, by, line, product, sale, sho
 
 from stocklens.operators import quality
 from stocklens.sources.schemas import OPERATIONAL, STAR
-from stocklens.sources.tables import insert_into, open_tables, read_table, register_views, write_extract
+from stocklens.sources.tables import (
+    insert_into,
+    open_tables,
+    read_rejects,
+    read_table,
+    register_views,
+    write_extract,
+)
 
 
 def test_schema_catalogue():
@@ -102,3 +109,35 @@ def test_csv_columns_are_taken_by_name(spark, tmp_path):
     (tmp_path / "product_categories.csv").write_text("category_id,category_name,parent_category_id\nseven,Tools,\n")
     with pytest.raises(Exception, match="MALFORMED|CAST|FAILFAST"):
         read_table(spark, str(tmp_path), "product_categories").collect()
+
+
+def test_rows_that_do_not_fit_are_set_aside_with_reasons(spark, tmp_path):
+    (tmp_path / "products.csv").write_text(
+        "product_id,sku,product_name,category_id,unit_cost,unit_price,weight_kg,volume_cubic_m,lead_time_days,"
+        "safety_stock_days,min_order_quantity,is_perishable,is_active\n"
+        '1,A,"Saw, small",7,1.50,3.00,,,4,2,1,True,false\n'
+        "two,B,Drill,7,x,3.00,,,4,2,1,True,perhaps\n"
+        "3,C,Short row,7\n"
+        "4,D,Long row,7,1.50,3.00,,,4,2,1,True,True,1,2\n"
+        "5,E,Too dear,7,123456789012.00,3.00,,,4,2,1,,True\n"
+    )
+    (tmp_path / "stockout_events.csv").write_text(
+        "stockout_id,warehouse_id,product_id,stockout_start_date,stockout_end_date,demand_during_stockout,"
+        "lost_sales_amount,root_cause\n1,4,85,2024-09-08,,8,128.08,\n2,4,85,8.9.24,,8,128.08,\n"
+    )
+    t = open_tables(spark, str(tmp_path), bad="skip")
+    assert t.names() == ["products", "stockout_events"]
+    (saw,) = t("products").collect()
+    assert (saw.product_id, saw.product_name, saw.is_perishable, saw.is_active) == (1, "Saw, small", True, False)
+    assert [r.stockout_id for r in t("stockout_events").collect()] == [1]
+    bad = {(r.table_name, r.record.split(",")[0]): r.reasons for r in read_rejects(spark, str(tmp_path)).collect()}
+    assert bad == {
+        ("products", "two"): ["product_id: no int", "unit_cost: no decimal(12,2)", "is_active: no boolean"],
+        ("products", "3"): ["not 13 values"],
+        ("products", "4"): ["not 13 values"],
+        ("products", "5"): ["unit_cost: no decimal(12,2)"],
+        ("stockout_events", "2"): ["stockout_start_date: no timestamp_ntz"],
+    }
+    with pytest.raises(ValueError):
+        read_table(spark, str(tmp_path), "products", bad="ignore")
+    assert read_rejects(spark, str(tmp_path), ["suppliers"]).count() == 0
