@@ -426,7 +426,7 @@ def templates(
 def extract(pages: DataFrame, **rule) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    read = stored(read_pages(hosted))
+    read = stored(read_pages(hosted), "zstd")  # mostly text, read twice
     known = stored(templates(read, **rule))
     joined = read.select("page_id", "url", "host", "runs").join(known, "host", "left")
 
