@@ -39,6 +39,8 @@ BAND = 6
 MIN_COVERAGE = 0.75
 #: Longer templates tell themselves apart by their texts.
 NOTICE = 200
+#: Share of a longer template's fingerprints that its candidates have.
+LEAST_SHARE = 0.1
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -76,7 +78,7 @@ class Index:
     """The templates' words, numbered, and the inverted index of their fingerprints."""
 
     def __init__(self, templates: dict[str, str]):
-        self.names, self.words, self.texts = [], [], []
+        self.names, self.words, self.texts, self.kept = [], [], [], []
         self.number: dict[str, int] = {}
         for name, text in templates.items():
             words = [w.lower() for w in _WORD.findall(text)]
@@ -88,7 +90,9 @@ class Index:
         self.grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ids in enumerate(self.words):
             codes = self.codes(np.array(ids, np.int64))
-            for at in _winnow(codes).tolist():
+            kept = _winnow(codes).tolist()
+            self.kept.append(len(kept))
+            for at in kept:
                 self.grams[int(codes[at])].append((t, at))
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
@@ -102,6 +106,7 @@ class Index:
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least offset, greatest offset) of the votes that lie within a band."""
         votes: dict[int, set[int]] = defaultdict(set)
+        places: dict[int, set[int]] = defaultdict(set)
         # A hash over a word that no template has cannot be in the index.
         if len(ids) < GRAM:
             return []
@@ -112,8 +117,12 @@ class Index:
         for at in np.flatnonzero(full).tolist():
             for t, place in self.grams.get(int(codes[at]), ()):
                 votes[t].add(at - place)
+                places[t].add(place)
         out = []
         for t, offsets in votes.items():
+            # A long text that is covered enough has more fingerprints in common than some phrases.
+            if len(self.words[t]) >= NOTICE and len(places[t]) < LEAST_SHARE * self.kept[t]:
+                continue
             run = None
             for offset in sorted(offsets):
                 if run is None or offset - run[1] > BAND:
