@@ -160,6 +160,24 @@ def test_orders_and_lines_in_buckets_join_without_an_exchange(spark, t, no_broad
         assert "hashpartitioning(so_id" not in join
 
 
+def test_many_rows_in_a_small_file_are_not_broadcast(spark, tmp_path):
+    """The files have some hundred kilobytes, the rows some ten megabytes and more."""
+    ids = spark.range(400_000).select(F.col("id").alias("product_id"))
+    ids.selectExpr("product_id", "'name' AS sku", "1L AS category_id", "CAST(2 AS DECIMAL(12,2)) AS unit_cost").write.parquet(
+        f"{tmp_path}/products.parquet"
+    )
+    ids.selectExpr("0L AS warehouse_id", "product_id", "5L AS quantity_on_hand", "0L AS quantity_reserved").write.parquet(f"{tmp_path}/inventory.parquet")
+    big = open_tables(spark, str(tmp_path), "parquet", ["products", "inventory"])
+    joined = big("inventory", "product_id", "quantity_on_hand").join(big("products", "product_id", "unit_cost"), "product_id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 400_000
+    few = spark.createDataFrame([(0, "W")], "warehouse_id long, warehouse_code string")
+    few.write.parquet(f"{tmp_path}/warehouses.parquet")
+    sites = open_tables(spark, str(tmp_path), "parquet", ["warehouses"])("warehouses", "warehouse_id", "warehouse_code")
+    plan = big("inventory", "warehouse_id", "product_id").join(sites, "warehouse_id")._jdf.queryExecution().executedPlan()
+    assert "BroadcastHashJoin" in plan.toString()
+
+
 def test_one_scan_a_child_table(t, no_broadcast):
     refs = [r for r in quality.REFERENCES if r[0] == "sales_order_items"]
     plan = explained(quality.check_references(t, refs)).split("\n\n")
