@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stocklens.operators import abc, forecast, fulfilment, inventory, quality, suppliers
 from stocklens.operators.sales import live_lines
 from stocklens.plans import extracts
+from stocklens.sources import bucketed
 from stocklens.sources.bucketed import open_bucketed, save_bucketed
 from stocklens.sources.tables import Tables
 from suite.core import load_all
@@ -160,6 +161,29 @@ def test_orders_and_lines_in_buckets_join_without_an_exchange(spark, t, no_broad
         assert "hashpartitioning(so_id" not in join
 
 
+def test_buckets_follow_the_lines(spark, t, monkeypatch, tmp_path):
+    few = {n: t(n) for n in ("products", "sales_orders", "sales_order_items")}
+    lines = few["sales_order_items"].count()
+    monkeypatch.setattr(bucketed, "LINES_PER_BUCKET", -(-lines // 13))
+    save_bucketed(Tables.of(**few), "many_lines", folder=str(tmp_path / "db"))
+    for name in ("sales_orders", "sales_order_items"):
+        described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED many_lines.{name}").collect()}
+        assert described["Num Buckets"] == "13"
+    assert spark.table("many_lines.sales_order_items").count() == lines
+    assert bucketed.buckets_for(Tables.of(products=t("products"))) == 8
+
+
+def test_bucketed_lines_meet_their_orders_without_an_exchange(spark, t, no_broadcast, tmp_path):
+    names = ("products", "product_categories", "customers", "warehouses", "sales_orders", "sales_order_items")
+    save_bucketed(Tables.of(**{n: t(n) for n in names}), "extract_side", 4, str(tmp_path / "db"))
+    side = open_bucketed(spark, "extract_side")
+    one = extracts.sales_extract(side, side("products", "product_id").withColumn("abc_class", F.lit("A")))
+    tree = one._jdf.queryExecution().executedPlan().toString()
+    # Orders move to meet their customers and sites, and once to their buckets; lines move by product only.
+    moved = [line for line in tree.split("\n") if "Exchange hashpartitioning(so_id" in line]
+    assert len(moved) == 1, moved
+
+
 def test_many_rows_in_a_small_file_are_not_broadcast(spark, tmp_path):
     """The files have some hundred kilobytes, the rows some ten megabytes and more."""
     ids = spark.range(400_000).select(F.col("id").alias("product_id"))
