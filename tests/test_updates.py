@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import io
 import itertools
 import random
 from pathlib import Path
@@ -176,6 +178,17 @@ def test_digests_do_not_depend_on_order_and_see_every_change(spark):
     assert all(now[m] != base[m] for m in base)
 
 
+def test_lines_move_to_their_products_as_hashes(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        loads.source_digests(shop(spark), loads.SALES).explain("formatted")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [p for p in out.getvalue().split("\n\n") if "Exchange" in p and "hashpartitioning(product_id" in p]
+    assert any("_line_one" in p for p in moved)
+    assert not any("so_item_id" in p or "quantity_ordered" in p for p in moved), moved
+
+
 def test_update_star_equals_a_whole_load(spark, tmp_path):
     t, (after, _) = shop(spark), _changed(spark)
     build_star(t, f"{tmp_path}/star", as_of=TODAY)
