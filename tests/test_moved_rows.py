@@ -60,3 +60,23 @@ def test_lines_move_once_for_a_months_figures(spark, tmp_path):
     assert one.keys() == many.keys()
     for k, r in one.items():
         assert many[k].total_orders == r.total_orders and many[k].net_revenue == 3 * r.net_revenue
+
+
+def test_digests_move_hashes_of_lines_and_orders(spark, no_broadcast):
+    t = shop(spark)
+    for load in (loads.SALES, loads.PURCHASES):
+        moved = [p for p in exchanges(loads.source_digests(t, load)) if f"hashpartitioning({load.order_key}" in p]
+        assert len(moved) == 2
+        for p in moved:
+            given = p.split("]: [")[1].split("]")[0]
+            assert {c.split("#")[0].strip() for c in given.split(",")} <= {load.order_key, "_line_one", "month", "_order"}, given
+
+
+def test_updates_read_their_sources_from_files(spark):
+    t = OrderBook(spark, FOLDER).tables()
+    kept = updates._sources(t, loads.SALES, loads.PURCHASES)
+    for load in (loads.SALES, loads.PURCHASES):
+        for name in (load.lines, load.orders):
+            assert not exchanges(kept(name)) and "Join" not in explained(kept(name))
+            was = t(name, *kept(name).columns)
+            assert was.exceptAll(kept(name)).count() == kept(name).exceptAll(was).count() == 0
