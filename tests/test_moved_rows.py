@@ -80,3 +80,10 @@ def test_updates_read_their_sources_from_files(spark):
             assert not exchanges(kept(name)) and "Join" not in explained(kept(name))
             was = t(name, *kept(name).columns)
             assert was.exceptAll(kept(name)).count() == kept(name).exceptAll(was).count() == 0
+
+
+def test_the_ledger_is_made_of_stored_tables(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(round_trips, "with_ledger", lambda t, made=round_trips.with_ledger: seen.append(t) or made(t))
+    round_trips._reopened(OrderBook(spark, FOLDER).tables())
+    assert len(seen) == 1 and not exchanges(seen[0]("purchase_orders")) and "Join" not in explained(seen[0]("purchase_order_items"))
