@@ -37,13 +37,17 @@ def stock_intervals(t: Tables, as_of: DateLike = None) -> DataFrame:
     ledger = inventory_ledger(t) if "inventory_transactions" not in t else t("inventory_transactions")
     today = sales_anchor(t, as_of)
     moved = ledger.select(*_PAIR, F.col("transaction_date").cast("date").alias("day"), "quantity").where(F.col("day") <= today)
-    start = F.coalesce(moved.agg(F.min("day")).scalar(), today)
+    # The first day is read with the columns of the movements, so that both come of the same shuffles.
+    first = moved.agg(F.min(F.struct("day", *_PAIR, "quantity")).alias("first")).select("first.day").scalar()
+    start = F.coalesce(first, today)
     stock = t("inventory", *_PAIR, "quantity_on_hand")
     # A stock row stands on the first day and brings today's stock along.
     opening = stock.select(*_PAIR, start.alias("day"), F.lit(0).cast("bigint").alias("quantity"), "quantity_on_hand")
+    # Movements move once, by the pair, for the sums of a day and for the windows over its days.
     daily = (
         moved.select(*_PAIR, "day", F.col("quantity").cast("bigint").alias("quantity"), F.lit(0).alias("quantity_on_hand"))
         .unionByName(opening)
+        .repartition(*_PAIR)
         .groupBy(*_PAIR, "day")
         .agg(F.sum("quantity").alias("net"), F.sum("quantity_on_hand").alias("_held"))
     )
@@ -70,22 +74,35 @@ def stock_intervals(t: Tables, as_of: DateLike = None) -> DataFrame:
     return levels.select(*_PAIR, F.explode(spans).alias("span")).select(*_PAIR, "span.*")
 
 
+def _cut(intervals: DataFrame, period: str, months: int) -> DataFrame:
+    """Intervals cut at the ends of periods, with the first day of each one's ``period``."""
+    first, last = F.trunc("from_date", period), F.trunc(F.date_sub("until_date", 1), period)
+    start = F.col(period)
+    return (
+        intervals.withColumn(period, F.explode(F.sequence(first, last, F.expr(f"INTERVAL {months} MONTH"))))
+        .withColumn("from_date", F.greatest("from_date", start))
+        .withColumn("until_date", F.least("until_date", F.add_months(start, months)))
+    )
+
+
+def monthly(intervals: DataFrame) -> DataFrame:
+    """Intervals cut at the ends of months, with their ``month_key``, as they are written.
+
+    Stock that stands still has an interval a month. So that these do not move, intervals move cut at
+    the ends of years, and are cut at those of months by the task that writes them. A task sorts
+    several times what it reads, so the number of tasks is fixed: by what they read, Spark would merge
+    them until they spill.
+    """
+    tasks = 2 * int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    years = _cut(intervals, "year", 12).repartitionByRange(tasks, "year", *_PAIR).drop("year")
+    months = _cut(years, "month", 1).withColumn("month_key", month_number(F.col("month"))).drop("month")
+    return months.sortWithinPartitions("month_key", *_PAIR, "from_date")
+
+
 def save_history(intervals: DataFrame, path: str) -> None:
     """Write intervals in monthly folders, cut at the ends of months."""
-    first, last = F.trunc("from_date", "month"), F.trunc(F.date_sub("until_date", 1), "month")
-    month = F.col("_month")
-    (
-        intervals.withColumn("_month", F.explode(F.sequence(first, last, F.expr("INTERVAL 1 MONTH"))))
-        .withColumn("from_date", F.greatest("from_date", month))
-        .withColumn("until_date", F.least("until_date", F.add_months(month, 1)))
-        .withColumn("month_key", month_number(month))
-        .drop("_month")
-        .repartitionByRange("month_key", *_PAIR)
-        .sortWithinPartitions("month_key", *_PAIR, "from_date")
-        .write.mode("overwrite")
-        .partitionBy("month_key")
-        .parquet(path)
-    )
+    writer = monthly(intervals).write.mode("overwrite").option("compression", "zstd")
+    writer.partitionBy("month_key").parquet(path)
 
 
 def stock_on(intervals: DataFrame, days: Iterable[Column]) -> DataFrame:

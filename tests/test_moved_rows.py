@@ -72,6 +72,25 @@ def test_digests_move_hashes_of_lines_and_orders(spark, no_broadcast):
             assert {c.split("#")[0].strip() for c in given.split(",")} <= {load.order_key, "_line_one", "month", "_order"}, given
 
 
+def test_still_stock_moves_once_a_year(spark, tmp_path):
+    days = [(0, 1, dt.date(2023, 5, 5), dt.date(2025, 2, 3), 7), (0, 2, dt.date(2024, 1, 31), dt.date(2024, 2, 1), 3)]
+    df = spark.createDataFrame(days, "warehouse_id int, product_id int, from_date date, until_date date, quantity_on_hand long")
+    tree = explained(stock_history.monthly(df)).split("\n\n")[0]
+    assert tree.count("Generate") == 2 and tree.index("Generate") < tree.index("Exchange") < tree.rindex("Generate")
+    stock_history.save_history(df, f"{tmp_path}/h")
+    got = sorted((r.product_id, r.from_date, r.until_date, r.month_key) for r in spark.read.parquet(f"{tmp_path}/h").collect())
+    assert len(got) == 22 + 1 and got[-1] == (2, dt.date(2024, 1, 31), dt.date(2024, 2, 1), 202401)
+    assert got[0][1:] == (dt.date(2023, 5, 5), dt.date(2023, 6, 1), 202305)
+    assert got[21][1:] == (dt.date(2025, 2, 1), dt.date(2025, 2, 3), 202502)
+    assert all(a[2] == b[1] for a, b in zip(got[:21], got[1:22], strict=True))
+
+
+def test_movements_move_once_for_their_intervals(spark, no_broadcast):
+    moves = spark.createDataFrame([(0, 1, TODAY, 5)], "warehouse_id int, product_id int, transaction_date date, quantity int")
+    tree = explained(stock_history.stock_intervals(shop(spark).replaced(inventory_transactions=moves), TODAY)).split("Subqueries")[0]
+    assert sum("Arguments: hashpartitioning(warehouse_id" in line for line in tree.split("\n")) == 1
+
+
 def test_updates_read_their_sources_from_files(spark):
     t = OrderBook(spark, FOLDER).tables()
     kept = updates._sources(t, loads.SALES, loads.PURCHASES)
