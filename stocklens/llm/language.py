@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stocklens.llm.common import schema_of, stored
+from stocklens.llm.common import in_small_batches, schema_of, stored
 
 MAX_GRAM, LOG_WIDTH = 3, 15
 WIDTH = 1 << LOG_WIDTH
@@ -180,7 +180,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS)
     )
     # A table of known, bounded size: no text is shuffled to find the sample.
     sample = labelled.join(stored(chosen), "doc_id", "left_semi").select("lang", "text")
-    found = sample.mapInArrow(_presence, "lang string, grams binary").where("grams is not null")
+    found = in_small_batches(sample).mapInArrow(_presence, "lang string, grams binary").where("grams is not null")
     got = sorted((r["lang"], bytes(r["grams"])) for r in found.toLocalIterator())
     rows = np.zeros((len(got), WIDTH), np.uint8)
     for row, (_, grams) in zip(rows, got, strict=True):
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     schema = f"{schema_of(docs, 'doc_id')}, held_out boolean, lang_pred string, score double"
-    return kept.mapInArrow(rows, schema)
+    return in_small_batches(kept).mapInArrow(rows, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
@@ -216,4 +216,4 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float) -> DataFram
             fine = [x and p >= min_score for x, p in zip(backed, best, strict=True)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return in_small_batches(docs).mapInArrow(rows, docs.schema)

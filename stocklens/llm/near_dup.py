@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stocklens.llm.common import saved, schema_of
+from stocklens.llm.common import in_small_batches, saved, schema_of
 
 BITS = 64
 N_WORDS, RADIUS, SEED, DIRECT = 3, 3, 42, 256
@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
                 [batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"{schema_of(docs, 'doc_id')}, fp long")
+    sent = in_small_batches(docs.select("doc_id", "text"))
+    return sent.mapInArrow(rows, f"{schema_of(docs, 'doc_id')}, fp long")
 
 
 def covering_masks(radius: int = RADIUS, seed: int = 0) -> list[int]:

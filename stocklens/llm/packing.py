@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stocklens.llm.common import saved, schema_of
+from stocklens.llm.common import in_small_batches, saved, schema_of
 
 LENGTH, END = 2048, 0
 IDS = np.dtype("<u4")
 #: A private-use character between parts that are encoded together.
 MARKER = "\ue000"
 #: Pieces, and words remembered at a time; those met since are twice as many at most.
-BLOCK, CACHE = 3000, 400_000
+BLOCK, CACHE = 3000, 100_000
 #: Sequences filled less than this share go into the second deal.
 SETTLED = 0.995
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -232,7 +232,8 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"{schema_of(docs, 'doc_id')}, {PIECE}")
+    found = in_small_batches(docs.select("doc_id", "text"))
+    return found.mapInArrow(rows, f"{schema_of(docs, 'doc_id')}, {PIECE}")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
