@@ -133,8 +133,11 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once; NULL keys do not collide."""
+    # Counted and not filtered: a filter would reach the scan, and rows that several keys of a derived
+    # table are made of would move once for each key instead of once.
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return df.filter(present).groupBy(*keys).agg(F.count("*").alias("occurrences")).filter("occurrences > 1")
+    counted = F.count(F.when(present, F.lit(1))).alias("occurrences")
+    return df.groupBy(*keys).agg(counted).filter("occurrences > 1")
 
 
 def missing_references(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:

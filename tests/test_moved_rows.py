@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from shop import TODAY, shop
 
+from stocklens.operators import quality
 from stocklens.plans import loads, star, stock_history
 from suite import round_trips, updates
 from suite.orderbook import OrderBook
@@ -106,3 +107,24 @@ def test_the_ledger_is_made_of_stored_tables(spark, monkeypatch):
     monkeypatch.setattr(round_trips, "with_ledger", lambda t, made=round_trips.with_ledger: seen.append(t) or made(t))
     round_trips._reopened(OrderBook(spark, FOLDER).tables())
     assert len(seen) == 1 and not exchanges(seen[0]("purchase_orders")) and "Join" not in explained(seen[0]("purchase_order_items"))
+
+
+def test_purchase_heads_move_once_to_their_orders(spark, no_broadcast):
+    t = OrderBook(spark, FOLDER).tables()
+    for columns in (["po_id", "order_date"], ["po_id", "status", "total_amount"]):
+        moved = [p for p in exchanges(t("purchase_orders", *columns)) if "hashpartitioning(l_orderkey" in p]
+        assert len(moved) == 1 and not any("l_suppkey" in p.split("hashpartitioning(")[1].split(")")[0] for p in moved)
+
+
+def test_keys_of_one_table_share_what_they_are_made_of(spark):
+    t = OrderBook(spark, FOLDER).tables()
+    df = quality.check_unique(t, {"purchase_orders": [["po_id"], ["po_number"]]})
+    assert [(r.duplicated_keys, r.surplus_rows) for r in df.collect()] == [(0, 0), (0, 0)]
+    assert "ReusedExchange" in explained(df)
+
+
+def test_keys_with_a_null_do_not_collide(spark):
+    rows = [(1, 1), (1, 1), (1, 1), (2, None), (2, None), (None, None), (None, None), (3, 3)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    assert [tuple(r) for r in quality.key_violations(df, ["a", "b"]).collect()] == [(1, 1, 3)]
+    assert sorted(tuple(r) for r in quality.key_violations(df, ["a"]).collect()) == [(1, 3), (2, 2)]
