@@ -109,6 +109,25 @@ def test_the_ledger_is_made_of_stored_tables(spark, monkeypatch):
     assert len(seen) == 1 and not exchanges(seen[0]("purchase_orders")) and "Join" not in explained(seen[0]("purchase_order_items"))
 
 
+def test_lines_side_by_side_with_their_orders_stay_for_digests_and_facts(spark, no_broadcast):
+    t = OrderBook(spark, FOLDER).tables()
+    kept = updates._sources(t, loads.SALES, loads.PURCHASES)
+    assert not any("hashpartitioning(po_id" in p for p in exchanges(loads.source_digests(kept, loads.PURCHASES)))
+    assert not any("hashpartitioning(po_id" in p and "po_item_id" in p for p in exchanges(updates._purchases(kept)(kept)))
+    for load in (loads.SALES, loads.PURCHASES):
+        assert kept.stored_by(load.lines) == load.order_key and t.stored_by(load.lines) is None
+        assert loads.collected(loads.source_digests(kept, load)) == loads.collected(loads.source_digests(t, load))
+
+
+def test_a_facts_month_does_not_move(spark, tmp_path):
+    rows = [(20240131, 2, "a"), (20240201, 1, "b"), (None, 1, "c"), (20240105, 1, "d")]
+    df = spark.createDataFrame(rows, "date_key int, product_key int, name string")
+    star.save_fact(df, f"{tmp_path}/f", "date_key", "product_key", whole=True)
+    got = spark.read.parquet(f"{tmp_path}/f").collect()
+    assert {(r.date_key, r.product_key, r.name, r.month_key) for r in got} == {(*r, r[0] and r[0] // 100) for r in rows}
+    assert list(tmp_path.glob("f/month_key=202401/*.zstd.parquet"))
+
+
 def test_purchase_heads_move_once_to_their_orders(spark, no_broadcast):
     t = OrderBook(spark, FOLDER).tables()
     for columns in (["po_id", "order_date"], ["po_id", "status", "total_amount"]):
