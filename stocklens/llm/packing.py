@@ -27,6 +27,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ LENGTH, END = 2048, 0
 IDS = np.dtype("<u4")
 #: A private-use character between parts that are encoded together.
 MARKER = "\ue000"
-#: Pieces, and words remembered at a time; those met since are twice as many at most.
-BLOCK, CACHE = 3000, 100_000
+#: Pieces, and runs of letters remembered at a time; those met since are twice as many at most.
+BLOCK, CACHE = 3000, 200_000
 #: Sequences filled less than this share go into the second deal.
 SETTLED = 0.995
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -51,14 +52,14 @@ _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD_END = "</w>"
 
 
-def _words(text: str) -> list[str]:
-    """What stands between blanks and line ends, in lower case where that is sure."""
+def _lowered(text: str) -> str:
+    """In lower case where that is sure."""
     if not text.isascii():
         try:
             text.encode("latin-1")  # then it holds no combining marks and no letters that need context
         except UnicodeEncodeError:
-            return text.replace("\n", " ").split(" ")
-    return text.lower().replace("\n", " ").split(" ")
+            return text
+    return text.lower()
 
 
 class Encoder:
@@ -97,33 +98,52 @@ class Encoder:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found.ids, IDS)
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of ``words``."""
-        known = self.known
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; their parts are remembered, signs after letters only once."""
+        if len(self.known) > CACHE:
+            # What the next texts use is found among the older ones and stays.
+            self.known, self.older = {}, self.known
+        known, older, signs, letters = self.known, self.older, self.signs, _RUN.fullmatch
+        ids = list(map(known.get, words))
         runs: set[str] = set()
-        ended, mixed = [], []
-        for w in words:
-            base = w if w.isalpha() else w[:-1]
-            if not (base.islower() and base.isascii() and base.isalpha() or _RUN.fullmatch(base)):
-                mixed.append(w)
-            elif base is w:
-                runs.add(w)
-            elif w[-1] in self.signs:
-                ended.append(w)
+        waiting, mixed = [], []
+        for at, x in enumerate(ids):
+            if x is not None:
+                continue
+            w = words[at]
+            if letters(w):
+                base, sign = w, b""
+            elif w and w[-1] in signs and letters(w[:-1]):
+                base, sign = w[:-1], signs[w[-1]]
+            else:
+                mixed.append(at)
+                continue
+            x = known.get(base)
+            if x is None and (x := older.get(base)) is not None:
+                known[base] = x
+            if x is None:
+                waiting.append((at, base, sign))
                 runs.add(base)
             else:
-                mixed.append(w)
-        split = [(w, _SPLIT.findall(w.lower() if w.isascii() else w)) for w in mixed]
-        apart = [(w, parts) for w, parts in split if sum(map(len, parts)) == len(w) and not self.added(w)]
-        parts = set().union(*(parts for _, parts in apart)).difference(known)
-        runs.update(p for p in parts if p.isalpha())
-        self._learn_runs(list(runs.difference(known)))
-        self._learn_others([p for p in parts if not p.isalpha()])
-        self._learn_others(list(set(mixed).difference(w for w, _ in apart)))
-        for w in ended:
-            known[w] = known[w[:-1]] + self.signs[w[-1]]
-        for w, parts in apart:
-            known[w] = b"".join([known[p] for p in parts])
+                ids[at] = x + sign if sign else x
+        parts = []
+        for at in mixed:
+            w = words[at]
+            own = _SPLIT.findall(w.lower() if w.isascii() else w)
+            parts.append((at, own if sum(map(len, own)) == len(w) and not self.added(w) else [w]))
+        others = set()
+        for x in set(chain.from_iterable(own for _, own in parts)).difference(known):
+            if x in older:
+                known[x] = older[x]
+            else:
+                (runs if letters(x) else others).add(x)
+        self._learn_runs(list(runs))
+        self._learn_others(list(others))
+        for at, base, sign in waiting:
+            ids[at] = known[base] + sign
+        for at, own in parts:
+            ids[at] = b"".join([known[x] for x in own])
+        return ids
 
     def _learn_runs(self, runs: list[str]) -> None:
         for at in range(0, len(runs), 2000):
@@ -154,27 +174,21 @@ class Encoder:
                 begin = stop + width
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        stop = np.array([END], IDS).tobytes()
+        stop = np.array([END], IDS)
         if not self.by_words:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array([*x.ids, END], IDS) for x in found]
-        words = [_words(x) for x in texts]
-        if len(self.known) > CACHE:
-            # What the next texts use is found among the older words and stays.
-            self.known, self.older = {}, self.known
-        found = [list(map(self.known.get, own)) for own in words]
-        missing = {w for own, ids in zip(words, found) if None in ids for w, x in zip(own, ids) if x is None}
-        older = missing & self.older.keys()
-        self.known.update((w, self.older[w]) for w in older)
-        self._learn(missing - older)
-        known = self.known
-        out = []
-        for own, ids in zip(words, found):
-            if None in ids:
-                ids = [known[w] if x is None else x for w, x in zip(own, ids)]
-            ids.append(stop)
-            out.append(np.frombuffer(b"".join(ids), IDS))
-        return out
+        # What stands between blanks and line ends: each different word is looked up once.
+        lines = pa.array(map(_lowered, texts), pa.large_string())
+        words = pc.split_pattern(pc.replace_substring(lines, "\n", " "), " ")
+        ends = np.cumsum(words.value_lengths().to_numpy())
+        words = words.flatten().dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        starts = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // IDS.itemsize, out=starts[1:])
+        found = pa.LargeListArray.from_arrays(starts, np.frombuffer(b"".join(ids), IDS)).take(words.indices)
+        values, stops = found.flatten().to_numpy(), found.offsets.to_numpy()[ends].tolist()
+        return [np.append(values[a:b], stop) for a, b in zip([0, *stops], stops)]
 
 
 def _splits_words(spec: dict) -> bool:
@@ -196,7 +210,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _in_turn(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+def _in_turn(texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters."""
     some, size = [], 0
     for text in texts:

@@ -131,6 +131,17 @@ def test_ids_of_odd_words_and_a_small_memory(monkeypatch):
             assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_words_are_looked_up_once_and_remembered_without_their_signs():
+    encode = packing.Encoder(PATH)
+    learnt, learn = [], encode._learn_runs
+    encode._learn_runs = lambda runs: (learnt.extend(runs), learn(runs))
+    texts = ["stone stone, river. stone;\nriver: stone! river?", "River, STONE. stone"] * 3
+    tokenizer = Tokenizer.from_file(PATH)
+    for text, ids in [*zip(texts, encode(texts)), *zip(texts, encode(texts))]:
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert sorted(learnt) == sorted(encode.known) == ["river", "stone"]
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path(OTHER)
     tokenizer = Tokenizer.from_file(path)
