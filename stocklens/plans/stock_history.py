@@ -22,7 +22,7 @@ from stocklens.functions.expr import DateLike
 from stocklens.operators.ledger import inventory_ledger
 from stocklens.operators.sales import sales_anchor
 from stocklens.plans.loads import month_number
-from stocklens.sources.tables import Tables
+from stocklens.sources.tables import Tables, freed_shuffles
 
 _PAIR = ["warehouse_id", "product_id"]
 
@@ -102,7 +102,8 @@ def monthly(intervals: DataFrame) -> DataFrame:
 def save_history(intervals: DataFrame, path: str) -> None:
     """Write intervals in monthly folders, cut at the ends of months."""
     writer = monthly(intervals).write.mode("overwrite").option("compression", "zstd")
-    writer.partitionBy("month_key").parquet(path)
+    with freed_shuffles(intervals.sparkSession):
+        writer.partitionBy("month_key").parquet(path)
 
 
 def stock_on(intervals: DataFrame, days: Iterable[Column]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import datetime as dt
 import io
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from shop import TODAY, shop
 
 from stocklens.operators import quality
 from stocklens.plans import loads, star, stock_history
+from stocklens.sources import tables
 from suite import round_trips, updates
 from suite.orderbook import OrderBook
 
@@ -147,3 +149,52 @@ def test_keys_with_a_null_do_not_collide(spark):
     df = spark.createDataFrame(rows, "a int, b int")
     assert [tuple(r) for r in quality.key_violations(df, ["a", "b"]).collect()] == [(1, 1, 3)]
     assert sorted(tuple(r) for r in quality.key_violations(df, ["a"]).collect()) == [(1, 3), (2, 2)]
+
+
+def test_what_a_write_moved_is_deleted_when_it_ends(spark, tmp_path):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(setting), []
+    with tables.freed_shuffles(spark):
+        seen.append(spark.conf.get(setting))
+    assert seen == ["true"] and spark.conf.get(setting) == before
+
+    def moved():
+        place = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {n for n in place.getAllFiles().mkString("\n").split("\n") if n.endswith((".data", ".index"))}
+
+    there = moved()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("date_key")).agg(F.count("*").alias("n"))
+    tables.write_extract(df, f"{tmp_path}/a")
+    star.save_fact(df, f"{tmp_path}/b", "date_key", "n", whole=True)
+    assert loads.collected(df.selectExpr("int(date_key) AS month", "n", "n AS s", "n AS x")).keys() == set(range(7))
+    for _ in range(50):
+        if moved() <= there:
+            break
+        time.sleep(0.1)
+    assert moved() <= there
+
+
+def test_a_long_fact_is_written_in_parts(spark, tmp_path, monkeypatch):
+    t = OrderBook(spark, FOLDER).tables()
+    kept = updates._sources(t, loads.SALES)
+    # A line without its order, and an order without a date.
+    orders = kept("sales_orders").where("so_id % 50 <> 7").withColumn("order_date", F.when(F.col("so_id") % 40 != 3, F.col("order_date")))
+    kept = kept.replaced(sales_orders=orders)
+    build = updates._sales(kept)
+    writes = []
+    monkeypatch.setattr(loads, "save_fact", lambda *a, save=star.save_fact, **k: writes.append(k) or save(*a, **k))
+    whole = loads.load_fact(kept, f"{tmp_path}/one", loads.SALES, build)
+    assert len(writes) == 1
+    monkeypatch.setattr(loads, "LINES_PER_WRITE", 2000)
+    parts = loads.load_fact(kept, f"{tmp_path}/many", loads.SALES, build)
+    assert len(writes) >= 5 and [k["whole"] for k in writes[1:]] == [True] + [False] * (len(writes) - 2)
+    assert whole.count() == t("sales_order_items").count() and whole.where("date_key IS NULL").count() > 0
+    assert whole.exceptAll(parts).count() == parts.exceptAll(whole).count() == 0
+    # What is left to do is done in parts as well.
+    before = len(writes)
+    late = kept.replaced(sales_orders=orders.withColumn("actual_ship_date", F.date_add("actual_ship_date", 1)))
+    assert loads.update_fact(late, f"{tmp_path}/many", loads.SALES, build) and len(writes) > before + 3
+    again, now = spark.read.parquet(f"{tmp_path}/many/fact_sales"), build(late)
+    assert again.select(now.columns).exceptAll(now).count() == 0 and again.count() == now.count()
+    # Lines that do not lie by their order are read once.
+    assert loads._writes(t, loads.SALES, {202401, None}, {202401: (5000, 0, 0)}) == [{202401, None}]
