@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stocklens.functions.expr import DateLike, at_least_value, days_between, money, ratio
 from stocklens.operators.sales import live_lines
-from stocklens.sources.tables import Tables
+from stocklens.sources.tables import Tables, kept
 
 # Days of demand in a reorder, and the share of the reorder point below which
 # a product is likely to run out.
@@ -17,17 +17,22 @@ REORDER_DAYS = 30
 STOCKOUT_SHARE = 0.5
 
 
-def inventory_ledger(t: Tables) -> DataFrame:
+def inventory_ledger(t: Tables, folder: str | None = None) -> DataFrame:
     """Receipts of delivered purchases and issues of shipped sales, in one signed ledger.
 
     ``transaction_id`` names the movement's source line: it needs no global ordering, is unique
-    as that line's id is, and stays the same when the ledger is rebuilt.
+    as that line's id is, and stays the same when the ledger is rebuilt. With a ``folder``, receipts
+    are written there, so that what they moved is gone before the issues move.
     """
-    columns = [
-        "warehouse_id", "product_id", "transaction_type", "quantity", "reference_type",
-        "reference_id", "unit_cost", "transaction_date",
-    ]
-    receipts = (
+    received = receipts(t)
+    if folder is not None:
+        received = kept(received, f"{folder}/receipts")
+    return received.unionByName(issues(t))
+
+
+def receipts(t: Tables) -> DataFrame:
+    """What delivered purchases brought in."""
+    return (
         t("purchase_order_items", "po_item_id", "po_id", "product_id", "quantity_received", "unit_cost")
         .filter(F.col("quantity_received") > 0)
         .join(
@@ -48,7 +53,11 @@ def inventory_ledger(t: Tables) -> DataFrame:
             F.col("actual_delivery_date").alias("transaction_date"),
         )
     )
-    issues = (
+
+
+def issues(t: Tables) -> DataFrame:
+    """What shipped sales took out."""
+    return (
         t("sales_order_items", "so_item_id", "so_id", "product_id", "quantity_shipped")
         .filter(F.col("quantity_shipped") > 0)
         .join(
@@ -70,7 +79,6 @@ def inventory_ledger(t: Tables) -> DataFrame:
             F.col("actual_ship_date").alias("transaction_date"),
         )
     )
-    return receipts.unionByName(issues).select("transaction_id", *columns)
 
 
 def order_totals(t: Tables) -> DataFrame:

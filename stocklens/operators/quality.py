@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from stocklens.sources.tables import Tables
+from stocklens.sources.tables import Tables, kept
 
 # The constraints of the data model.
 KEYS: dict[str, list[list[str]]] = {
@@ -148,12 +148,19 @@ def missing_references(child: DataFrame, column: str, parent: DataFrame, parent_
     return wanted.join(keys, "value", "left_anti")
 
 
-def check_unique(t: Tables, keys: Mapping[str, list[list[str]]] = KEYS) -> DataFrame:
-    """Duplicated values and surplus rows per declared key."""
-    out = []
+def check_unique(
+    t: Tables, keys: Mapping[str, list[list[str]]] = KEYS, folder: str | None = None
+) -> DataFrame:
+    """Duplicated values and surplus rows per declared key.
+
+    With a ``folder``, the counts of a table are written there before the next table is read: what its
+    keys moved is gone then.
+    """
+    tables = []
     for name, groups in keys.items():
         if name not in t:
             continue
+        out = []
         for cols in groups:
             out.append(
                 key_violations(t(name, *cols), cols)
@@ -168,7 +175,9 @@ def check_unique(t: Tables, keys: Mapping[str, list[list[str]]] = KEYS) -> DataF
                     "surplus_rows",
                 )
             )
-    return _union(out)
+        counts = _union(out)
+        tables.append(counts if folder is None else kept(counts, f"{folder}/{name}"))
+    return _union(tables)
 
 
 def _counts_per_column(df: DataFrame, name: str, bad: dict[str, object]) -> DataFrame:

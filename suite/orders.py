@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import DataFrame
+
 from stocklens.operators import forecast, fulfilment, ledger, quality, stockouts
 from stocklens.sources.tables import Tables
-from suite.core import SHARED, band, query, rounded
+from suite.core import SHARED, band, query, rounded, shared_folder
+
+
+def _folder(t: Tables) -> str:
+    return shared_folder(t("products", "product_id").sparkSession)
+
 
 # ---- stockouts ------------------------------------------------------------------------
 
@@ -197,7 +204,7 @@ query(
     "inventory_ledger",
     "transaction_id:s warehouse_id:i product_id:i transaction_type:s quantity:i reference_type:s reference_id:s unit_cost:m "
     "transaction_date:d",
-    ledger.inventory_ledger,
+    lambda t: ledger.inventory_ledger(t, _folder(t)),
     "SELECT * FROM ledger_rows",
 )
 
@@ -259,8 +266,8 @@ query(
 )
 
 # The ledger stands for the movements table.
-def with_ledger(t: Tables) -> Tables:
-    return t.replaced(inventory_transactions=ledger.inventory_ledger(t))
+def with_ledger(t: Tables, folder: str | None = None) -> Tables:
+    return t.replaced(inventory_transactions=ledger.inventory_ledger(t, folder))
 
 
 SHARED["inventory_transactions"] = "SELECT * FROM ledger_rows"
@@ -434,7 +441,12 @@ _RATING_SQL = """
     SELECT 'suppliers' AS table_name, 'quality_rating' AS column_name,
            COUNT(*) FILTER (quality_rating < 0 OR quality_rating > 5) AS violations FROM suppliers"""
 
-query("dq_unique", "table_name:s columns:s duplicated_keys:i surplus_rows:i", lambda t: quality.check_unique(with_ledger(t)), _unique_sql())
+def _unique(t: Tables) -> DataFrame:
+    folder = _folder(t)
+    return quality.check_unique(with_ledger(t, f"{folder}/ledger"), folder=f"{folder}/counts")
+
+
+query("dq_unique", "table_name:s columns:s duplicated_keys:i surplus_rows:i", _unique, _unique_sql())
 query("dq_required", "table_name:s column_name:s violations:i", lambda t: quality.check_required(with_ledger(t)), _required_sql())
 query(
     "dq_references",
