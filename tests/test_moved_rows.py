@@ -11,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from shop import TODAY, shop
 
-from stocklens.operators import quality
-from stocklens.plans import loads, star, stock_history
+from stocklens.operators import ledger, quality
+from stocklens.plans import extracts, loads, star, stock_history, warehouse
 from stocklens.sources import tables
 from suite import round_trips, updates
+from suite import star as star_queries
 from suite.orderbook import OrderBook
 
 FOLDER = "/root/testdata/sf0.001"
@@ -198,3 +199,97 @@ def test_a_long_fact_is_written_in_parts(spark, tmp_path, monkeypatch):
     assert again.select(now.columns).exceptAll(now).count() == 0 and again.count() == now.count()
     # Lines that do not lie by their order are read once.
     assert loads._writes(t, loads.SALES, {202401, None}, {202401: (5000, 0, 0)}) == [{202401, None}]
+
+
+def test_keys_from_a_members_versions_are_those_of_its_days(spark):
+    day = lambda m, d=1: dt.date(2024, m, d)
+    dim = spark.createDataFrame(
+        [
+            (1, 100, day(2), None),  # one open version
+            (2, 200, day(2), day(5)), (2, 201, day(5), day(8)), (2, 202, day(8), None),
+            (3, 300, day(3), day(6)),  # one that ended
+            (4, 400, day(4), None), (4, 400, day(4), None),  # the same twice
+            (5, None, day(4), None), (None, 600, day(4), None),
+        ],
+        "product_id int, product_key long, effective_date date, expiration_date date",
+    )
+    days = [None, day(1), day(2), day(4, 30), day(5), day(7), day(8), day(12)]
+    rows = spark.createDataFrame([(p, d) for p in (1, 2, 3, 4, 5, 6, None) for d in days], "product_id int, d date")
+    was = star._with_key(rows, dim, "product_id", "d")
+    now = star._key_on(star._with_versions(rows, dim, "product_id"), "product_id", "d")
+    got = lambda df: sorted(map(str, df.select("product_id", "d", "product_key").collect()))
+    assert got(now) == got(was) and len(got(now)) > rows.count()
+
+
+def _text(df, column):
+    """Exchanges by one column that carry another."""
+    by, carried = column
+    return [p for p in exchanges(df) if f"hashpartitioning({by}" in p and carried in p.split("]: [")[1].split("]")[0]]
+
+
+def test_purchase_lines_do_not_move_to_their_products_again(spark, no_broadcast, tmp_path):
+    t, since = OrderBook(spark, FOLDER).tables(), F.lit(str(TODAY)).cast("date")
+    keys = star.product_versions(t, since), star.supplier_versions(t, since), star.dim_warehouse(t)
+    fact = star.fact_purchases(t, *keys)
+    assert not _text(fact, ("product_id", "po_item_id")) and len(_text(fact, ("po_id", "po_item_id"))) == 1
+    parts = star.fact_purchases(t, *keys, folder=str(tmp_path))
+    assert "Join" not in explained(spark.read.parquet(f"{tmp_path}/lines")) and len(exchanges(parts)) < len(exchanges(fact))
+    assert fact.count() == parts.count() == t("purchase_order_items").count()
+    assert fact.exceptAll(parts).count() == 0
+
+
+def test_a_ledger_and_its_keys_are_made_one_after_the_other(spark, no_broadcast, tmp_path):
+    t = OrderBook(spark, FOLDER).tables()
+    whole, parts = ledger.inventory_ledger(t), ledger.inventory_ledger(t, f"{tmp_path}/l")
+    assert whole.columns == parts.columns and whole.count() == parts.count()
+    assert whole.exceptAll(parts).count() == 0 and "po_id" not in explained(parts)
+    keys = {"purchase_orders": [["po_id"]], "inventory_transactions": [["transaction_id"]], "absent": [["x"]]}
+    t = t.replaced(inventory_transactions=parts.unionByName(parts.where("quantity = 7")))
+    once = quality.check_unique(t, keys)
+    staged = quality.check_unique(t, keys, folder=f"{tmp_path}/c")
+    assert not exchanges(staged) and sorted(staged.collect()) == sorted(once.collect())
+    assert [r.surplus_rows > 0 for r in sorted(staged.collect())] == [True, False]
+
+
+def test_texts_of_few_members_do_not_move_with_lines(spark, no_broadcast):
+    t = OrderBook(spark, FOLDER).tables()
+    assert not _text(extracts.sales_extract(t), ("product_id", "warehouse_name"))
+    since = F.lit(str(TODAY)).cast("date")
+    s = {
+        "fact_sales": star.fact_sales(t, star.product_versions(t, since), star.customer_versions(t, since), star.dim_warehouse(t)),
+        "dim_date": star.order_calendar(t), "dim_product": star.dim_product(t, since),
+        "dim_customer": star.dim_customer(t, since), "dim_warehouse": star.dim_warehouse(t),
+    }
+    view = star.vw_sales_dashboard(*[s[n] for n in ("fact_sales", "dim_date", "dim_product", "dim_customer", "dim_warehouse")])
+    assert not _text(view, ("customer_key", "month_name")) and not _text(view, ("product_key", "month_name"))
+
+
+def test_aggregates_are_made_in_parts_of_their_months(spark, tmp_path, monkeypatch):
+    sales, bought = _facts(spark, f"{tmp_path}/src")
+    for name, df, key in (("fact_sales", sales, "date_key"), ("fact_purchases", bought, "order_date_key")):
+        undated = df.withColumn(key, F.lit(None).cast("int")).limit(1)
+        star.save_fact(df.unionByName(undated), f"{tmp_path}/f/{name}", key, "product_key", whole=True)
+    facts = [spark.read.parquet(f"{tmp_path}/f/{n}") for n in ("fact_sales", "fact_purchases")]
+    names = ("agg_sales_monthly", "supplier_months", "agg_supplier_performance")
+
+    def stored(folder):
+        return {n: sorted(map(str, spark.read.parquet(f"{folder}/{n}").collect())) for n in names}
+
+    warehouse.save_aggregates(f"{tmp_path}/one", *facts)
+    monkeypatch.setattr(loads, "LINES_PER_WRITE", 2)
+    assert len(warehouse._in_parts(facts[0])) > 2
+    warehouse.save_aggregates(f"{tmp_path}/many", *facts)
+    assert stored(f"{tmp_path}/one") == stored(f"{tmp_path}/many") and all(stored(f"{tmp_path}/one").values())
+    # Months without rows are emptied, whichever part they are in.
+    sold = {r.month_key for r in facts[0].select("month_key").distinct().collect()}
+    star.save_fact(sales.limit(1), f"{tmp_path}/f/fact_sales", "date_key", "product_key", whole=True)
+    (tmp_path / "many/fact_sales").symlink_to(tmp_path / "f/fact_sales")
+    warehouse.update_aggregates(spark, f"{tmp_path}/many", sold, set())
+    left = spark.read.parquet(f"{tmp_path}/many/agg_sales_monthly")
+    assert left.agg(F.sum("total_orders")).first()[0] == 1
+
+
+def test_read_back_tables_are_digested_one_after_the_other(spark):
+    t = OrderBook(spark, FOLDER).tables()
+    assert not exchanges(round_trips._digests({"purchase_orders": t("purchase_orders")}, round_trips._TABLES))
+    assert "/agg_supplier_performance" in explained(star_queries._supplier_scorecard(t))
